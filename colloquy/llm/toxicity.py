@@ -22,8 +22,10 @@ from .shared import with_fields
 
 #: Training rows that the label model and the classifier may use.
 SAMPLE_DOCS = 12_000
-#: Words that the classifier may weigh, and those that mined voters hold.
-WORDS, MINED, MINED_VOTERS = 600, 64, 4
+#: Words and stems that the classifier may weigh, and those that mined voters hold.
+WORDS, MINED, MINED_VOTERS = 600, 96, 6
+#: Lengths, in characters, of the word beginnings that count beside whole words: stems that take many endings.
+STEMS = range(3, 9)
 
 #: Lexicons by theme.
 LEXICONS = {
@@ -31,13 +33,13 @@ LEXICONS = {
     "worth": "worthless pathetic loser losers useless failure nobody pitiful",
     "filth": "trash garbage scum filth filthy vermin dirt parasite parasites",
     "ridicule": "clown clowns joke laughable ridiculous buffoon freak freaks",
-    "disgust": "disgusting gross revolting repulsive vile nasty sickening",
+    "disgust": "disgusting revolting repulsive nasty sickening",
     "hate": "hate hated despise loathe detest",
-    "threat": "kill die hurt destroy beat burn hang shoot",
-    "profane": "damn hell crap shit fuck fucking bitch bastard ass asshole dick",
+    "threat": "kill hurt destroy hang shoot strangle",
+    "profane": "damn crap shit fuck fucking bitch bastard asshole",
     "german": "idioten trottel dummkopf abschaum arschloch scheisse scheiße dumm wertlos ekelhaft widerlich versager müll",
-    "french": "idiote imbécile abruti connard merde ordure déchet nul pathétique dégoûtant inutile",
-    "spanish": "idiota imbécil estúpido estúpida basura inútil patético escoria payaso asco mierda perdedor",
+    "french": "idiote imbécile abruti connard merde ordure déchet pathétique dégoûtant inutile",
+    "spanish": "idiota imbécil estúpido estúpida basura inútil patético escoria payaso mierda perdedor",
 }
 _LEXICON = {w.encode(): k for k, words in enumerate(LEXICONS.values()) for w in words.split()}
 _SHOUT = re.compile(rb"!{3,}")
@@ -52,21 +54,26 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def terms_of(words: list[bytes]) -> set[str]:
+    """The distinct words and, marked with ``*``, the beginnings of longer words."""
+    found = {w.decode("utf-8", "replace") for w in set(words) if len(w) <= 64}
+    return found | {f"{w[:k]}*" for w in found for k in STEMS if len(w) > k}
+
+
 @dataclass
 class Voters:
-    """The lexicon and pattern voters; ``mined`` maps words to the mined voters that hold them."""
+    """The lexicon and pattern voters; ``mined`` maps terms to the mined voters that hold them."""
 
-    mined: dict[bytes, int] = field(default_factory=dict)
+    mined: dict[str, int] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
         return [*LEXICONS, *(f"mined {k}" for k in range(MINED_VOTERS)), "two hits", "dense hits", "addressed", "shouting", "no lexicon", "no mined", "long and clean"]
 
-    def votes(self, text: bytes | None) -> np.ndarray:
+    def votes(self, text: bytes | None, words: list[bytes], terms: set[str]) -> np.ndarray:
         """0 nothing, TOXIC or CLEAN for each voter."""
-        words = words_of(text)
         hits = [_LEXICON[w] for w in words if w in _LEXICON]
-        mined = [self.mined[w] for w in words if w in self.mined]
+        mined = [self.mined[w] for w in self.mined.keys() & terms]
         out = np.zeros(len(self.names), np.int8)
         out[hits] = TOXIC
         base = len(LEXICONS)
@@ -124,18 +131,23 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
 @dataclass
 class Model:
     voters: Voters
-    words: dict[bytes, int]
+    words: dict[str, int]
     weights: np.ndarray
     bias: float
     label_weights: np.ndarray | None = None
 
     def features(self, text: bytes | None) -> np.ndarray:
         """Numbers of the features that a text has: votes first, then words."""
-        votes = self.voters.votes(text)
+        return self.observe(text)[1]
+
+    def observe(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The votes and the features."""
+        words = words_of(text)
+        terms = terms_of(words)
+        votes = self.voters.votes(text, words, terms)
         at = np.flatnonzero(votes)
-        get = self.words.get
-        found = {get(w) for w in set(words_of(text))} - {None}
-        return np.concatenate([2 * at + votes[at] - 1, np.array(sorted(found), np.int64) + 2 * len(votes)]).astype(np.int64)
+        found = sorted(self.words[w] for w in self.words.keys() & terms)
+        return votes, np.concatenate([2 * at + votes[at] - 1, np.array(found, np.int64) + 2 * len(votes)]).astype(np.int64)
 
     def score(self, text: bytes | None) -> float:
         z = self.bias + self.weights[self.features(text)].sum()
@@ -170,29 +182,39 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from rows (id, text, toxic): at most sample_docs of them. No rows, or rows of one class, give a model too."""
     rows = _sample(labelled.where("toxic is not null and id is not null"), sample_docs).persist()
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(list(held), pa.string()), *(pa.array([x[k] for x in held.values()], pa.int64()) for k in (1, 0))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["term", "bad", "good"])
+
         for batch in batches:
             for text, toxic in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = sorted({w for w in words_of(text) if len(w) <= 64})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([toxic] * len(found), pa.int32())], names=["word", "toxic"])
-
-    counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tokens, "word binary, toxic int").groupBy("word")
-    counted = counted.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+                for term in terms_of(words_of(text)):
+                    held.setdefault(term, [0, 0])[toxic] += 1
+                if len(held) > 500_000:
+                    yield batch_of()
+        yield batch_of()
+
+    counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term string, bad long, good long").groupBy("term")
+    counted = counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n_bad, n_good = int(size["bad"]), int(size["n"] - size["bad"])
     bad_rate, good_rate = (F.col("bad") + 0.5) / (n_bad + 1), (F.col("good") + 0.5) / (n_good + 1)
     z = (bad_rate - good_rate) / F.sqrt((F.col("bad") + F.col("good") + 1) / (n_bad + n_good + 2) * (1 / (n_bad + 1) + 1 / (n_good + 1)))
     ranked = counted.where("bad + good >= 3").withColumns({"z": z, "odds": F.log(bad_rate / good_rate)})
-    telling = [r for r in ranked.orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()]
-    mined = [bytes(r["word"]) for r in telling if r["odds"] > 2 and r["z"] > 3][:MINED]
+    telling = [r for r in ranked.orderBy(F.desc(F.abs("z")), "term").limit(WORDS).collect()]
+    mined = [r["term"] for r in telling if r["odds"] > 2 and r["z"] > 3][:MINED]
     voters = Voters({w: k % MINED_VOTERS for k, w in enumerate(mined)})
-    model = Model(voters, {bytes(r["word"]): k for k, r in enumerate(sorted(telling, key=lambda r: bytes(r["word"])))}, np.zeros(0), 0.0)
+    model = Model(voters, {t: k for k, t in enumerate(sorted(r["term"] for r in telling))}, np.zeros(0), 0.0)
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            seen = [model.observe(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.string()), batch.column("toxic").cast(pa.int32()), pa.array([voters.votes(t).tobytes() for t in texts], pa.binary()), pa.array([model.features(t).tolist() for t in texts], pa.list_(pa.int64()))],
+                [batch.column("id").cast(pa.string()), batch.column("toxic").cast(pa.int32()), pa.array([v.tobytes() for v, _ in seen], pa.binary()), pa.array([f.tolist() for _, f in seen], pa.list_(pa.int64()))],
                 names=["id", "toxic", "votes", "features"],
             )
 
@@ -206,7 +228,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         return model
     # The given label is a voter too: right almost always, but not believed blindly.
     gold = np.array([TOXIC if r[1] else CLEAN for r in seen], np.int8)
-    votes = np.concatenate([np.frombuffer(b"".join(r[2] for r in seen), np.int8).reshape(len(seen), -1), np.repeat(gold[:, None], 1, 1)], axis=1)
+    votes = np.concatenate([np.frombuffer(b"".join(r[2] for r in seen), np.int8).reshape(len(seen), -1), gold[:, None]], axis=1)
     posterior, _, model.label_weights = label_model(votes, max(0.01, min(0.99, n_bad / len(seen))))
     x = np.zeros((len(seen), n_features))
     for i, r in enumerate(seen):
