@@ -51,7 +51,13 @@ def is_number(path: str) -> Column:
 def records(files: DataFrame) -> DataFrame:
     """files (path, content text and more) -> a row per line that begins like JSON: path, pos, v (null if malformed)."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", strip(F.col("line")))
-    return lines.where("line rlike '^[{\\\\[]'").select("path", F.col("pos").cast("long").alias("pos"), F.try_parse_json("line").alias("v"))
+    return fenced(lines.where("line rlike '^[{\\\\[]'").withColumns({"pos": F.col("pos").cast("long"), "v": F.try_parse_json("line")}), ["path", "pos", "v"])
+
+
+def fenced(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns behind a generator, which keeps the optimizer from writing their expressions out at every use:
+    a dialect's columns are long, and used many times over."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
 
 
 def shapes(rows: DataFrame, head: int = HEAD) -> DataFrame:
@@ -176,9 +182,9 @@ def plain_messages(rows: DataFrame) -> DataFrame:
     for shape, project in DIALECTS.items():
         for n, c in project().items():
             columns[n] = F.when(F.col("shape") == shape, c) if columns[n] is None else columns[n].when(F.col("shape") == shape, c)
-    out = rows.where(F.col("shape").isin(*DIALECTS)).withColumns(columns)
+    out = fenced(rows.where(F.col("shape").isin(*DIALECTS)).select("path", "pos", *(columns[n].alias(n) for n in ("role", "content", "ts"))), ["path", "pos", "role", "content", "ts"])
     parts = out.where("role is not null and content is not null").withColumn("p", parts_of(F.col("content")))
-    said = parts.where("p.text <> '' or size(p.tools) > 0")
+    said = fenced(parts, ["path", "pos", "role", "ts", "p"]).where("p.text <> '' or size(p.tools) > 0")
     return said.select("path", F.col("pos").alias("src_pos"), "role", "p.text", epoch_ms(F.col("ts")).alias("ts_ms"), "p.tools", "p.thinking_chars")
 
 
@@ -190,7 +196,7 @@ def context(rows: DataFrame) -> DataFrame:
         for n in columns:
             c = project()[n]
             columns[n] = F.when(F.col("shape") == shape, c) if columns[n] is None else columns[n].when(F.col("shape") == shape, c)
-    out = rows.withColumns(columns)
+    out = fenced(rows.select("path", "pos", "shape", *(c.alias(n) for n, c in columns.items())), ["path", "pos", "shape", *columns])
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos")))
     cwd = F.when(F.first("shape").isin(*LAST_CWD), F.max_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("pos")))).otherwise(first("cwd"))
     return out.groupBy("path").agg(cwd.alias("cwd"), first("native").alias("native_id"), first("title").alias("title"), epoch_ms(first("began")).alias("started_ms"))

@@ -65,8 +65,8 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[File]:
         return [File(p) for p in self.paths]
 
-    def read(self, partition: File) -> Iterator[tuple]:
-        db = opened(partition.path)
+    def read(self, partition: File | None) -> Iterator[tuple]:
+        db = opened(partition.path) if partition else None  # without paths Spark asks for one partition all the same
         if db is None:
             return
         try:
@@ -146,6 +146,7 @@ def table_rows(db: sqlite3.Connection, path: str) -> Iterator[tuple]:
 
 def read_sqlite(spark: SparkSession, paths: list[str]) -> DataFrame:
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters over
     return spark.read.format("sqlite_store").option("paths", "\n".join(paths)).load()
 
 
