@@ -74,7 +74,7 @@ class Level:
         return [F.pmod(F.xxhash64(F.lit(seed), F.lit(i), key), F.lit(bits)) for i in range(hashes)]
 
     def holds(self, key: Column) -> Column:
-        table = F.array(*(F.lit(w) for w in self.words)) if len(self.words) < 256 else F.from_json(F.lit(str(self.words)), "array<bigint>")
+        table = F.array(*(F.lit(w).cast("long") for w in self.words)) if len(self.words) < 256 else F.from_json(F.lit(str(self.words)), "array<bigint>")
         out = F.lit(True)
         for at in self.positions(key, self.bits, self.hashes, self.seed):
             word = F.element_at(table, (F.shiftright(at, 6) + 1).cast("int"))
