@@ -48,6 +48,8 @@ _YOU_ARE = re.compile(rb"\b(?:you|they)(?:'re| are) (?:a |an |all |such )?([a-z]
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 TOXIC, CLEAN = 1, 2
+#: Voters that correlate so much before any class is known count as copies of one.
+COPIES = 0.9
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -93,13 +95,14 @@ class Voters:
 def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of toxic per row, tables [voter, vote, class], weights of the voters).
 
-    Votes are conditionally independent given the class, each voter with its own table; then correlations within the
-    classes are estimated from the residuals and a voter's log likelihood is divided by 1 + its squared correlations
-    with the others, and the model is fitted again.
+    Votes are conditionally independent given the class, each voter with its own table. Near copies share one vote from
+    the start, or they would make up a class of their own; then correlations within the classes
+    are estimated from the residuals, a voter's log likelihood is divided by 1 + its squared correlations with the
+    others, and the model is fitted again.
     """
     n, m = votes.shape
     onehot = (votes[:, :, None] == np.arange(3)).astype(np.float64)
-    weights = np.ones(m)
+    weights = _shares(_correlations((votes == TOXIC).astype(np.float64)), COPIES)
     posterior = np.zeros(n)
     tables = np.full((m, 3, 2), 1 / 3)
     for turn in range(2):
@@ -120,14 +123,23 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
                 break
         both = np.stack([1 - posterior, posterior], 1)
         active = (votes == TOXIC).astype(np.float64)
-        rest = active - both @ tables[:, TOXIC, :].T
-        sd = np.sqrt((rest**2).mean(0)) + 1e-9
-        rho = (rest.T @ rest) / max(1, n) / np.outer(sd, sd)
-        np.fill_diagonal(rho, 0)
-        weights = 1 / (1 + (rho**2).sum(1))
+        weights = _shares(_correlations(active - both @ tables[:, TOXIC, :].T, centred=True))
     return posterior, tables, weights
 
 
+def _correlations(x: np.ndarray, centred: bool = False) -> np.ndarray:
+    rest = x if centred else x - x.mean(0, keepdims=True)
+    sd = np.sqrt((rest**2).mean(0)) + 1e-9
+    rho = (rest.T @ rest) / max(1, len(x)) / np.outer(sd, sd)
+    np.fill_diagonal(rho, 0)
+    return rho
+
+
+def _shares(rho: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Weights that give correlated voters one vote together: 1 by 1 + the squared correlations above least."""
+    return 1 / (1 + np.where(np.abs(rho) >= least, rho**2, 0).sum(1))
+
+
 @dataclass
 class Model:
     voters: Voters
