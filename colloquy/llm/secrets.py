@@ -277,7 +277,9 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     return found.withColumn(text_col, cleaned).select(names)
 
 
-def masked(text: str, spans) -> str:
+def masked(text: str | None, spans) -> str | None:
+    if text is None:
+        return None
     out, at, hidden = [], 0, 0
     for s in spans:
         if s["start"] >= hidden:
