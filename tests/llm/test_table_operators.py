@@ -98,9 +98,9 @@ def test_top_k_equals_brute_force(spark, block, dims):
 
 
 def test_top_k_of_few_and_large(spark):
-    frame = spark.createDataFrame([(0, [1e9, -1e9]), (1, [1e9, 1e9]), (2, [-1e9, 0.0])], "vec_id long, embedding array<double>")
+    frame = spark.createDataFrame([(0, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, 0.0])], "vec_id long, embedding array<double>")
     got = topk.exact_top_k(frame, frame.where("vec_id = 0"), 5).collect()
-    assert sorted(map(tuple, got)) == brute_top([(0, [1e9, -1e9]), (1, [1e9, 1e9]), (2, [-1e9, 0.0])], {0}, 5)
+    assert sorted(map(tuple, got)) == brute_top([(0, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, 0.0])], {0}, 5)
     assert topk.exact_top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
