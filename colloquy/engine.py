@@ -16,7 +16,9 @@ class Conversations:
 
     def __init__(self, spark: SparkSession, messages: DataFrame, files: DataFrame | None = None):
         self.spark, self.files = spark, files
-        self.context = messages.groupBy("session_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("harness", "project", "title", "cwd") if c in messages.columns))
+        known = [F.first(c, ignorenulls=True).alias(c) for c in ("harness", "project", "title", "cwd") if c in messages.columns]
+        ids = messages.groupBy("session_id")
+        self.context = ids.agg(*known) if known else messages.select("session_id").distinct()
         self.turns = normalize.merged_turns(normalize.cleaned(messages.select("session_id", "src_pos", "role", "text", "ts_ms", "tools", "thinking_chars")))
 
     @classmethod
@@ -55,11 +57,11 @@ class Conversations:
         return render.touched(self.turns)
 
     def readiness(self, n_types: int = 0) -> DataFrame:
-        return quiz.readiness(self.sessions(), self.topics(), n_types)
+        return quiz.readiness(self.sessions(), self.topics().cache(), n_types)
 
     def generate(self, generator: Callable[[str], str], questions: int = quiz.QUESTIONS, types: tuple[str, ...] = quiz.TYPES, seed: int = 0, focus: str = "") -> tuple[DataFrame, DataFrame]:
         """(questions, flashcards) by an injected generator from redacted slices of the planned topics."""
-        found = self.topics()
+        found = self.topics().cache()  # planned from and sliced by
         deck = quiz.plan(found, questions, types, seed)
         slices = render.topic_slices(self.turns, found).join(deck.select("session_id", "topic_id", "types"), ["session_id", "topic_id"])
         safe = redact.redact_messages(slices)
