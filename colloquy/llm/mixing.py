@@ -52,7 +52,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: floa
     return ranked.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def plan_mix(
+def _rate() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+
+
+def _extra(seed: Column) -> Column:
+    """1 for a Bernoulli copy of the row (_id) under a seed, else 0."""
+    return F.when(draw(F.col("_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+
+
+def with_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -62,36 +71,42 @@ def plan_mix(
     limit: float = LIMIT,
     seeds: int = SEEDS,
 ) -> DataFrame:
-    """A row per document: its id, ``size`` in words, ``source_size``, ``target`` (both of its source), ``copies``, ``taken``.
+    """docs with ``size`` in words, ``source_size``, ``target`` (both of its source) and ``copies``.
 
     Rows with the same id draw alike. A null source is a source; a document without words is never copied. Each source
     takes, of ``seeds`` hash seeds, the one whose taken words are nearest to its target (the smallest of equals), which
-    steadies sources of few documents; the chance of a copy stays the rate's fraction.
+    steadies sources of few documents; the chance of a copy stays the rate's fraction. Only one row per source is
+    joined to the documents, whose texts aren't shuffled unless sources are too many to be broadcast. Columns of these
+    four names are replaced.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = stored(rows, "mix-sizes")
-    sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit), "mix-targets")
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = stored(sized, "mix-sizes")
+    sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit).withColumn("rate", _rate()), "mix-targets")
     few = sources.count() <= MOST_BROADCAST
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    part = lambda seed: F.when(draw(F.col("id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
 
-    def with_sources(table: DataFrame) -> DataFrame:
-        side = F.broadcast(table) if few else table
-        return rows.join(side.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    def joined(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+        side = table.withColumnRenamed("source", "_s")
+        return rows.join(F.broadcast(side) if few else side, F.col(key).eqNullSafe(F.col("_s"))).drop("_s")
 
-    rated = with_sources(sources.withColumn("rate", rate))
-    extra = rated.groupBy("source").agg(*(F.sum(F.col("size") * part(F.lit(k))).alias(f"x{k}") for k in range(seeds)))
+    extra = joined(sized, "source", sources).groupBy("source").agg(*(F.sum(F.col("size") * _extra(F.lit(k))).alias(f"x{k}") for k in range(seeds)))
     wanted = F.col("target") - F.floor("rate") * F.col("source_size")
     choice = F.array_min(F.array(*(F.struct(F.abs(F.col(f"x{k}") - wanted), F.lit(k).alias("seed")) for k in range(seeds))))["seed"]
-    joined = sources.withColumn("rate", rate).join(extra.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    chosen = stored(joined.select("source", "source_size", "target", "rate", choice.alias("seed")), "mix-seeds")
-    copies = F.when(F.col("size") > 0, F.floor("rate") + part(F.col("seed"))).otherwise(F.lit(0)).cast("long")
-    out = with_sources(chosen).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Every document as often as the plan takes it, with all its columns and ``copy`` (from 1). Ids must be unique."""
-    plan = plan_mix(docs, id_col=id_col, **options).where("copies > 0").select(id_col, "copies")
-    docs = docs.drop(*(c for c in ("copy", "copies") if c in docs.columns))
-    return docs.join(plan, id_col).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    chosen = stored(joined(extra, "source", sources).select("source", "source_size", "target", "rate", choice.alias("_seed")), "mix-seeds")
+
+    own = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "rate") if c in docs.columns))
+    out = joined(own.withColumns({"_id": F.col(id_col), "_key": F.col(source_col), "size": n_words(F.col(text_col))}), "_key", chosen)
+    copies = F.when(F.col("size") > 0, F.floor("rate") + _extra(F.col("_seed"))).otherwise(F.lit(0)).cast("long")
+    return out.withColumn("copies", copies).select(*own.columns, "size", "source_size", "target", "copies")
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """A row per document: id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``, its words in the mix."""
+    out = with_copies(docs, id_col=id_col, **options)
+    return out.select(id_col, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Every document as often as the plan takes it, with all its columns and ``copy`` (from 1)."""
+    out = with_copies(docs, **options)
+    names = [c for c in docs.columns if c in out.columns and c not in ("copy", "size", "source_size", "target", "copies")]
+    return out.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
