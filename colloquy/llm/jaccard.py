@@ -8,12 +8,13 @@ Exact: no link of different texts is lost, whatever the sizes of groups. All hea
 3. Partition into groups. Sets that share a pair of min-hashes meet at the smallest id of their bucket (a pre-aggregated
    min, one row each, never all pairs); verified meetings join them. Connected sets are one component, and a component
    is dealt into groups of about ``group_size`` sets.
-4. Matrix. Its rows are tokens, its columns groups. Two similar sets share at least ``share`` of the first
-   n - least_overlap + share tokens in the common order, so only these tokens of each set are entered. Tokens that occur
+4. Matrix. Its rows are tokens, its columns groups. Two similar sets share SHARE or more of the first
+   n - least_overlap + SHARE tokens in the common order, so only these tokens of each set are entered. Tokens that occur
    in one component only are dropped by a pre-aggregated min and max: links within a component need no further look.
-5. Bound and open. A query set and a group of another component whose matrix rows share ``share`` tokens or more are
-   bounded: the query's overlap with the group's whole token union is at least that with any member. Groups that reach
-   the least overlap are opened and their members verified by exact set intersection.
+5. Bound and open. A query set and a group of another component whose matrix rows share SHARE tokens or more are
+   bounded twice: by token counts in FOLDS hash cells (a group's is the largest of its members' counts in a cell; the sum
+   of the smaller counts is at least the overlap), which moves a few hundred bytes a pair, and then by the group's whole
+   token union. Groups that reach the least overlap are opened, their members verified by exact set intersection.
 6. Components of all verified links, by repeated min-label hooking over tables in the shared folder.
 """
 
@@ -27,17 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from .shared import stored
+from .shared import Scratch, stored
 
 U64 = np.uint64
-SKETCH_BITS = 18
-SLICE = 4096
+SKETCH_BITS = 20
+SLICE = 1 << 14
 STAR_KEYS = 4
 GROUP_SIZE = 64
+#: Cells of a set's folded counts. Counts beyond 16 bits aren't kept: such a set has no bound and is compared.
+FOLDS = 128
 #: Tokens that a query and a group must share in the matrix.
 SHARE = 4
 #: Rows of a table of a few longs that may be broadcast.
-MOST_BROADCAST_ROWS = 1_000_000
+MOST_BROADCAST_ROWS = 200_000
 #: Bytes that are hashed at once.
 BLOCK = 1 << 17
 _MIX1, _MIX2, _STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -115,26 +118,30 @@ def least_overlap(total: int, percent: int) -> int:
 class Sketcher:
     """What one scan needs to know: shingle size, threshold and the sketch of document frequencies."""
 
-    def __init__(self, size: int, percent: int, cells: np.ndarray, share: int = SHARE):
-        self.size, self.percent, self.cells, self.share = size, percent, cells, share
+    def __init__(self, size: int, percent: int, cells: np.ndarray):
+        self.size, self.percent, self.cells = size, percent, cells
 
-    def sketch(self, text: bytes | None) -> tuple[int, int, int, list[int], np.ndarray]:
-        """n, two fingerprint halves, star keys, and the tokens that are entered into the matrix."""
+    def sketch(self, text: bytes | None) -> tuple[int, int, int, list[int], np.ndarray, bytes | None]:
+        """n, two fingerprint halves, star keys, the tokens that are entered into the matrix, and the folded counts."""
         tokens = shingles(text, self.size)
         n = len(tokens)
         if not n:
-            return 0, 0, 0, [], tokens.view(np.int64)
+            return 0, 0, 0, [], tokens.view(np.int64), None
         print_a, print_b = tokens.sum(dtype=U64), mixed(tokens + _MIX1).sum(dtype=U64)
         least = np.array([(tokens * k).min() for k in _STARS])
         stars = mixed(least[::2] * _STEP + least[1::2]).view(np.int64).tolist()
-        # Rare tokens first; of equals in the order of their hashes. The order's key stands for the token.
+        folded = np.bincount((tokens >> U64(57)).astype(np.int64), minlength=FOLDS)
+        bound = folded.astype(np.uint16).tobytes() if folded.max() < 1 << 16 else None
+        return n, int(print_a.view(np.int64)), int(print_b.view(np.int64)), stars, self.rarest(tokens).view(np.int64), bound
+
+    def rarest(self, tokens: np.ndarray) -> np.ndarray:
+        """The first tokens in the common order: rare ones first, equals by their hashes. The key stands for the token."""
+        n = len(tokens)
         rarity = np.minimum(self.cells[(tokens & U64(len(self.cells) - 1)).astype(np.int64)], (1 << 24) - 1).astype(U64)
         keys = rarity << U64(40) | tokens >> U64(24)
         # The least overlap with a partner of any size is the least share of the set itself.
-        room = n - -(-self.percent * n // 100) + self.share
-        if room < n:
-            keys = np.partition(keys, room - 1)[:room]
-        return n, int(print_a.view(np.int64)), int(print_b.view(np.int64)), stars, keys.view(np.int64)
+        room = n - -(-self.percent * n // 100) + SHARE
+        return np.partition(keys, room - 1)[:room] if room < n else keys
 
 
 #: Odd factors: a min-hash is the least product of a token with one of them.
@@ -145,6 +152,16 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, after a byte that names its width."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or counts.max(initial=0) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def token_counts(rows: DataFrame, size: int) -> np.ndarray:
     """The sketch's cells. Document frequencies of all tokens are summed in 2**SKETCH_BITS cells: each task
     sends its cells once, as slices, and each slice is added up in a stream."""
@@ -165,24 +182,24 @@ def token_counts(rows: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount(np.concatenate(held), minlength=cells)
         if total.any():
             parts = total.reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([packed(p) for p in parts], pa.binary())], names=["slice", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "cells"])
+                sums[k] = sums.get(k, 0) + unpacked(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(x) for x in sums.values()], pa.binary())], names=["slice", "cells"])
 
     schema = "slice int, cells binary"
     summed = rows.select("text").mapInArrow(count, schema).repartition(cells // SLICE, "slice").mapInArrow(add, schema)
     total = np.zeros(cells, np.int64)
-    for r in summed.collect():  # cells // SLICE rows: 2 MiB in all
-        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["cells"], np.int64)
+    for r in summed.collect():  # cells // SLICE rows: 8 MiB in all at most
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = unpacked(r["cells"])
     return total
 
 
-_SKETCH = "n long, print_a long, print_b long, stars array<long>, prefix array<long>"
+_SKETCH = "n long, print_a long, print_b long, stars array<long>, prefix array<long>, folded binary"
 
 
 def sketches(rows: DataFrame, size: int, percent: int, cells: np.ndarray) -> DataFrame:
@@ -194,12 +211,12 @@ def sketches(rows: DataFrame, size: int, percent: int, cells: np.ndarray) -> Dat
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                n, a, b, stars, prefix = zip(*map(sketcher.sketch, _texts(part)), strict=True)
+                n, a, b, stars, prefix, folded = zip(*map(sketcher.sketch, _texts(part)), strict=True)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(stars, pa.list_(pa.int64())), lists],
-                    names=["id", "n", "print_a", "print_b", "stars", "prefix"],
+                    [part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(stars, pa.list_(pa.int64())), lists, pa.array(folded, pa.binary())],
+                    names=["id", "n", "print_a", "print_b", "stars", "prefix", "folded"],
                 )
 
     return rows.mapInArrow(scan, f"id long, {_SKETCH}")
@@ -240,6 +257,27 @@ def overlap(a, b):
     return pd.Series([_common(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+@F.pandas_udf(LongType())
+def most_overlap(a, b):
+    """The sums of the smaller of two sets' folded counts, which no overlap exceeds; a set without counts has no bound."""
+    import pandas as pd
+
+    def one(x, y):
+        if x is None or y is None:
+            return 1 << 62
+        return int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+@F.pandas_udf(BinaryType())
+def _largest(lists):
+    """Cell by cell the largest of each list of folded counts."""
+    import pandas as pd
+
+    return pd.Series([np.maximum.reduce([np.frombuffer(x, np.uint16) for x in xs]).tobytes() if len(xs) else None for xs in lists])
+
+
 def similar(percent: int):
     """Jaccard of the columns left and right is percent / 100 or more."""
     both = overlap("left", "right")
@@ -258,8 +296,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round, every node takes the smallest label of itself and its neighbours, and then its label's label. Rounds
     needed grow with the logarithm of a path's length in the usual case; tables are written to the shared folder.
     """
-    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "cc-labels")
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
+    labels = scratch.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "cc-labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -267,11 +306,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         better = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("best"))
         hooked = hooked.join(better, F.col("old") == F.col("root"), "left").select("id", "old", F.least("label", "best").alias("label"))
         jump = hooked.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = stored(hooked.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "cc-labels")
+        new = scratch.stored(hooked.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "cc-labels")
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("id", "label")
+        scratch.drop(labels)
+        labels = new
         if not changed:
-            return labels.select("id", F.col("label").alias("component"))
+            out = stored(new.select("id", F.col("label").alias("component")), "components")
+            scratch.drop()
+            return out
     raise RuntimeError("components don't settle")
 
 
@@ -291,73 +333,87 @@ def jaccard_components(
     """A row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of percent / 100 or more. Null and
-    empty texts have no shingle and link with nothing. Ids are integers; rows with one id are one node, null ids are
-    left out. Other columns are ignored.
+    empty texts have no shingle and link with nothing. Ids are integers; null ids are left out. Rows with one id and one text
+    are one node; texts of one id that differ are linked each by itself. Other columns are ignored.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession)
     cells = token_counts(rows, size)
-    sketch = stored(sketches(rows, size, percent, cells), "jaccard-sketch")
+    sketch = scratch.stored(sketches(rows, size, percent, cells), "jaccard-sketch")
 
     # Equal sets collapse to their smallest id.
     same = sketch.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("id").alias("rep"))
-    member = stored(sketch.select("id", "n", "print_a", "print_b").join(same, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "jaccard-members")
-    first = sketch.where("n > 0").select("id", "n", "stars", "prefix").join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = stored(first.dropDuplicates(["id"]), "jaccard-sets")
+    member = scratch.stored(sketch.select("id", "n", "print_a", "print_b").join(same, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "jaccard-members")
+    reps = scratch.stored(member.where("id = rep and n > 0").select("id").distinct(), "jaccard-reps")
 
     # Groups: sets that share a star key meet at the smallest id there.
-    stars = sets.select("id", F.explode("stars").alias("key"))
-    centre = stars.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("rows")).where("rows > 1").select("key", "a")
-    meetings = stored(stars.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "jaccard-meetings")
+    stars = sketch.select("id", F.explode("stars").alias("key")).join(small(reps), "id", "left_semi")
+    centre = stars.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    meetings = stars.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    counts = scratch.stored(sketch.select("id", "n", "folded").join(small(reps), "id", "left_semi"), "jaccard-counts")
+    left, right = (counts.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("folded").alias(f"{x}_f")) for x in "ab")
+    near = most_overlap("a_f", "b_f") * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
+    meetings = scratch.stored(meetings.join(left, "a").join(right, "b").where(near).select("a", "b"), "jaccard-meetings")
     ends = meetings.select(F.col("a").alias("id")).unionAll(meetings.select(F.col("b").alias("id"))).distinct()
-    tokens = stored(token_sets(_of(rows, ends), size).dropDuplicates(["id"]), "jaccard-tokens")
-    links = stored(verified(meetings, tokens, percent), "jaccard-links")
+    tokens = scratch.stored(token_sets(_of(rows, ends, scratch), size), "jaccard-tokens")
+    links = scratch.stored(verified(meetings, tokens, percent), "jaccard-links")
     group = components(links)
 
     # Matrix: tokens that occur in more than one component.
-    labelled = sets.select("id", "n", "prefix").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = stored(labelled, "jaccard-labelled")
-    entries = labelled.select("id", "n", "component", F.explode("prefix").alias("token"))
-    mixed_tokens = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    mixed_tokens = stored(mixed_tokens, "jaccard-mixed")
-    matrix = stored(entries.join(small(mixed_tokens), "token", "left_semi"), "jaccard-matrix")
-    more = _opened(matrix, rows, size, percent, group_size)
+    labels = scratch.stored(reps.join(group, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "jaccard-labels")
+    entries = sketch.select("id", "n", "prefix").join(small(labels), "id").select("id", "n", "component", F.explode("prefix").alias("token"))
+    shared = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    matrix = scratch.stored(entries.join(small(scratch.stored(shared, "jaccard-shared")), "token", "left_semi"), "jaccard-matrix")
+    scratch.drop(sketch, tokens)
+    more = _opened(matrix, counts, rows, size, percent, group_size, scratch)
     final = components(links.unionAll(more))
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "jaccard-components")
+    scratch.drop()
+    return out
 
 
-def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def _of(rows: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows with these ids."""
-    return rows.join(small(stored(ids, "jaccard-ids")), "id", "left_semi")
+    return rows.join(small(scratch.stored(ids, "jaccard-ids")), "id", "left_semi")
 
 
-def _opened(matrix: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int) -> DataFrame:
-    """Verified links between sets of different components that share SHARE matrix tokens or as many as they have."""
+def _opened(matrix: DataFrame, folded: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> DataFrame:
+    """Verified links between sets of different components that share SHARE matrix tokens, or all they have."""
     # Components are dealt into groups; of two components the one with fewer sets here asks the other.
     counts = matrix.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("sets"))
-    dealt = matrix.join(counts, "component").withColumn("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("sets") / group_size)))
-    dealt = stored(dealt, "jaccard-dealt")
+    dealt = matrix.join(small(scratch.stored(counts, "jaccard-counts")), "component").withColumn("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("sets") / group_size)))
+    dealt = scratch.stored(dealt, "jaccard-dealt")
     columns = dealt.groupBy("token", "component", "slot").agg(F.first("sets").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
     ask = dealt.select("token", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.col("sets").alias("q_sets"))
     fewer = F.struct("q_sets", "q_component") < F.struct("sets", "component")
     met = ask.join(columns, "token").where(fewer).groupBy("q", "q_n", "component", "slot")
     met = met.agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # Sets of fewer tokens than SHARE enter all they have.
     enough = F.col("shared") >= F.least(F.lit(SHARE), F.ceil(F.col("q_n") * percent / 100))
     sizes = (F.col("q_n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("q_n") * percent)
-    asked = stored(met.where(enough & sizes).select("q", "component", "slot"), "jaccard-asked")
+    asked = scratch.stored(met.where(enough & sizes).select("q", "q_n", "component", "slot"), "jaccard-asked")
 
-    # The token union of each asked group bounds the overlap with each of its members.
+    # Folded counts of the asked groups bound the overlap first.
     members = dealt.select("component", "slot", "id", "n").distinct().join(asked.select("component", "slot").distinct(), ["component", "slot"], "left_semi")
-    members = stored(members, "jaccard-groups")
+    members = scratch.stored(members, "jaccard-groups")
+    cells = members.join(folded.select("id", "folded"), "id").groupBy("component", "slot")
+    cells = cells.agg(F.collect_list("folded").alias("all"), F.count("*").alias("sets"), F.min("n").alias("least"))
+    # A group with a set without counts has no bound.
+    cells = cells.select("component", "slot", "least", F.when(F.size("all") == F.col("sets"), _largest("all")).alias("right"))
+    first = asked.join(folded.select(F.col("id").alias("q"), F.col("folded").alias("left")), "q").join(cells, ["component", "slot"])
+    first = first.where(most_overlap("left", "right") * (100 + percent) >= percent * (F.col("q_n") + F.col("least")))
+    asked = scratch.stored(first.select("q", "component", "slot"), "jaccard-asked")
+
+    # Then the token union of each group that is left.
+    members = scratch.stored(members.join(asked.select("component", "slot").distinct(), ["component", "slot"], "left_semi"), "jaccard-groups")
     ids = members.select("id").unionAll(asked.select(F.col("q").alias("id"))).distinct()
-    tokens = stored(token_sets(_of(rows, ids), size).dropDuplicates(["id"]), "jaccard-tokens")
+    tokens = scratch.stored(token_sets(_of(rows, ids, scratch), size), "jaccard-tokens")
     unions = members.join(tokens, "id").groupBy("component", "slot").agg(_union(F.collect_list("tokens")).alias("right"), F.min("n").alias("least"))
     bounded = asked.join(tokens.select(F.col("id").alias("q"), F.col("tokens").alias("left")), "q").join(unions, ["component", "slot"])
     reach = overlap("left", "right") * (100 + percent) >= percent * ((F.length("left") / 8).cast("long") + F.col("least"))
-    open_groups = stored(bounded.where(reach).select("q", "component", "slot"), "jaccard-open")
+    open_groups = scratch.stored(bounded.where(reach).select("q", "component", "slot"), "jaccard-open")
     pairs = open_groups.join(members, ["component", "slot"]).select(F.col("q").alias("a"), F.col("id").alias("b"))
-    return stored(verified(pairs, tokens, percent), "jaccard-links")
+    return scratch.stored(verified(pairs, tokens, percent), "jaccard-links")
 
 
 @F.pandas_udf(BinaryType())
