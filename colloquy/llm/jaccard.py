@@ -37,6 +37,7 @@ STAR_KEYS = 4
 GROUP_SIZE = 64
 #: Cells of a set's folded counts. Counts beyond 16 bits aren't kept: such a set has no bound and is compared.
 FOLDS = 128
+MOST_FOLDED = (1 << 16) - 1
 #: Tokens that a query and a group must share in the matrix.
 SHARE = 4
 #: Rows of a table of a few longs that may be broadcast.
@@ -118,8 +119,8 @@ def least_overlap(total: int, percent: int) -> int:
 class Sketcher:
     """What one scan needs to know: shingle size, threshold and the sketch of document frequencies."""
 
-    def __init__(self, size: int, percent: int, cells: np.ndarray):
-        self.size, self.percent, self.cells = size, percent, cells
+    def __init__(self, size: int, percent: int, cells: np.ndarray, most_folded: int = MOST_FOLDED):
+        self.size, self.percent, self.cells, self.most_folded = size, percent, cells, most_folded
 
     def sketch(self, text: bytes | None) -> tuple[int, int, int, list[int], np.ndarray, bytes | None]:
         """n, two fingerprint halves, star keys, the tokens that are entered into the matrix, and the folded counts."""
@@ -131,7 +132,7 @@ class Sketcher:
         least = np.array([(tokens * k).min() for k in _STARS])
         stars = mixed(least[::2] * _STEP + least[1::2]).view(np.int64).tolist()
         folded = np.bincount((tokens >> U64(57)).astype(np.int64), minlength=FOLDS)
-        bound = folded.astype(np.uint16).tobytes() if folded.max() < 1 << 16 else None
+        bound = folded.astype(np.uint16).tobytes() if folded.max() <= self.most_folded else None
         return n, int(print_a.view(np.int64)), int(print_b.view(np.int64)), stars, self.rarest(tokens).view(np.int64), bound
 
     def rarest(self, tokens: np.ndarray) -> np.ndarray:
@@ -204,10 +205,10 @@ _SKETCH = "n long, print_a long, print_b long, stars array<long>, prefix array<l
 
 def sketches(rows: DataFrame, size: int, percent: int, cells: np.ndarray) -> DataFrame:
     """id, n, fingerprint, star keys and matrix tokens of each row (id, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    shared, most_folded = rows.sparkSession.sparkContext.broadcast(cells), MOST_FOLDED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(size, percent, shared.value)
+        sketcher = Sketcher(size, percent, shared.value, most_folded)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -259,15 +260,15 @@ def overlap(a, b):
 
 @F.pandas_udf(LongType())
 def most_overlap(a, b):
-    """The sums of the smaller of two sets' folded counts, which no overlap exceeds; a set without counts has no bound."""
+    """The sums of the smaller of two sets' folded counts, which no overlap exceeds; null, no bound, for a set without counts."""
     import pandas as pd
 
     def one(x, y):
         if x is None or y is None:
-            return 1 << 62
+            return None
         return int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 @F.pandas_udf(BinaryType())
@@ -278,6 +279,11 @@ def _largest(lists):
     return pd.Series([np.maximum.reduce([np.frombuffer(x, np.uint16) for x in xs]).tobytes() if len(xs) else None for xs in lists])
 
 
+def within_bound(a: str, b: str, total, percent: int):
+    """Whether sets of these folded counts and this total size may be similar; those without a bound may."""
+    return F.coalesce(most_overlap(a, b) * (100 + percent) >= percent * total, F.lit(True))
+
+
 def similar(percent: int):
     """Jaccard of the columns left and right is percent / 100 or more."""
     both = overlap("left", "right")
@@ -352,7 +358,7 @@ def jaccard_components(
     meetings = stars.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     counts = scratch.stored(sketch.select("id", "n", "folded").join(small(reps), "id", "left_semi"), "jaccard-counts")
     left, right = (counts.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("folded").alias(f"{x}_f")) for x in "ab")
-    near = most_overlap("a_f", "b_f") * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
+    near = within_bound("a_f", "b_f", F.col("a_n") + F.col("b_n"), percent)
     meetings = scratch.stored(meetings.join(left, "a").join(right, "b").where(near).select("a", "b"), "jaccard-meetings")
     ends = meetings.select(F.col("a").alias("id")).unionAll(meetings.select(F.col("b").alias("id"))).distinct()
     tokens = scratch.stored(token_sets(_of(rows, ends, scratch), size), "jaccard-tokens")
@@ -401,7 +407,7 @@ def _opened(matrix: DataFrame, folded: DataFrame, rows: DataFrame, size: int, pe
     # A group with a set without counts has no bound.
     cells = cells.select("component", "slot", "least", F.when(F.size("all") == F.col("sets"), _largest("all")).alias("right"))
     first = asked.join(folded.select(F.col("id").alias("q"), F.col("folded").alias("left")), "q").join(cells, ["component", "slot"])
-    first = first.where(most_overlap("left", "right") * (100 + percent) >= percent * (F.col("q_n") + F.col("least")))
+    first = first.where(within_bound("left", "right", F.col("q_n") + F.col("least"), percent))
     asked = scratch.stored(first.select("q", "component", "slot"), "jaccard-asked")
 
     # Then the token union of each group that is left.

@@ -136,6 +136,28 @@ def test_jaccard_of_nothing_and_repeated_rows(spark):
     assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, [(4, "a b"), (4, "a b"), (2, "A  b")])).collect())) == [(2, 1, 2), (4, 1, 2), (4, 1, 2)]
 
 
+@pytest.mark.parametrize("most,ansi", [(0, "true"), (0, "false"), (1, "true"), (1, "false")])
+def test_jaccard_of_sets_without_folded_counts(spark, monkeypatch, most, ansi):
+    rng = random.Random(11)
+    rows = []
+    for n in (20, 60, 150, 400):
+        base = [f"u{n}x{i}" for i in range(n)]
+        for _ in range(8):  # without a common star key some meet in the matrix only
+            own = list(base)
+            for _ in range(n * 4 // 100):
+                own[rng.randrange(n)] = f"v{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    monkeypatch.setattr(jaccard, "MOST_FOLDED", most)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = jaccard.jaccard_components(docs(spark, rows), size=5, percent=60)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    want = brute_components(rows, 5, 60)
+    assert sorted(map(tuple, got.collect())) == want and len({c for *_, c in want}) < len(rows)
+
+
 def test_word_hashes_over_block_edges():
     text = ("alpha  Beta\tgamma " * 20_000 + "x" * 300_000 + " tail").encode()
     got = jaccard.word_hashes(text)
