@@ -35,8 +35,9 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_chat.from_conversations(load(spark, sf_dir, "conversations"))
-    linked = tool_chat.link_tool_calls(calls, results, tool_chat.schemas_frame(spark))
+    # OP6 fixes the arguments: no whole texts of users and system prompts.
+    calls, results = tool_chat.from_conversations(load(spark, sf_dir, "conversations"), whole=False)
+    linked = tool_chat.link_tool_calls(calls, results, tool_chat.schemas_frame(spark, tool_chat.SCHEMAS))
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 

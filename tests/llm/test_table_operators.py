@@ -119,6 +119,15 @@ def test_tool_calls(spark):
     assert tool_chat.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_calls_hold_whole_texts(spark):
+    said = {(1, 0): ("system", "Be brief,\nalways."), (1, 1): ("assistant", "ok"), (1, 2): ("user", 'What is "é" ?'), (1, 3): ("assistant", "a letter"), (2, 0): ("user", None), (2, 2): ("user", "")}
+    turns = spark.createDataFrame([(*k, *v) for k, v in said.items()], "conv_id long, turn long, role string, text string")
+    calls, results = tool_chat.from_conversations(turns)
+    got = {(r.conv_id, r.turn): r for r in tool_chat.link_tool_calls(calls, results, tool_chat.schemas_frame(spark)).collect()}
+    assert {k: json.loads(r.json)["arguments"].get("text") for k, r in got.items()} == {k: t for k, (role, t) in said.items() if role != "assistant"}
+    assert {k: r.errors for k, r in got.items()} == {(1, 0): [], (1, 2): [], (2, 0): ["missing first", "missing text"], (2, 2): []}
+
+
 def brute_targets(sizes):
     total = 1.5 * sum(sizes.values())
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
