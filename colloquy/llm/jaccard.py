@@ -431,7 +431,23 @@ def _union(lists):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component the document with the smallest id, with its own columns; documents without words all stay."""
-    found = jaccard_components(docs, id_col, text_col, size, percent)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
-    return docs.join(kept.dropDuplicates([id_col]), id_col, "left_semi")
+    """Of each component one row, with its own columns; rows without words all stay.
+
+    Rows are told apart by a 64-bit hash of id and text, so a null id is an id and texts that share an id are linked each
+    by itself. The row with the smallest id stays, a null one only if there is no other (of one id's texts that with the
+    smallest hash); of rows that repeat id and text, one.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = jaccard_components(keyed, "_key", text_col, size, percent)
+    keys = found.groupBy("_key").agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    named = keyed.select("_key", F.col(id_col).cast("long").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_key", "rows")).alias("first")
+    ones = keys.where("n > 0").join(named, "_key").groupBy("component").agg(first).select("first._key", "first.rows")
+    kept = stored(ones.unionAll(keys.where("n = 0").select("_key", F.lit(1).cast("long").alias("rows"))), "kept-keys")
+    out = keyed.join(kept.where("rows = 1").select("_key"), "_key", "left_semi").select(*docs.columns)
+    repeated = kept.where("rows > 1").select("_key")
+    if repeated.limit(1).count() == 0:
+        return out
+    row = F.struct(*docs.columns)
+    one = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return out.unionAll(one.select("row.*"))

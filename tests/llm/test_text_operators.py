@@ -171,6 +171,17 @@ def test_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in got.collect()) == [3, 8, 9, 10]
 
 
+def test_keep_one_tells_rows_apart(spark):
+    text = lambda c, more="": " ".join(f"{c}{i}" for i in range(60)) + more
+    rows = [(1, text("a")), (5, text("a", " x")), (5, text("b")), (None, text("c")), (None, text("a")), (None, text("d")), (7, text("d")), (8, text("e")), (8, text("e")), (None, text("f")), (None, text("f"))]
+    empty = [(None, None), (9, ""), (9, ""), (5, None)]
+    got = jaccard.keep_one(docs(spark, rows + empty).repartition(3))
+    want = [(1, text("a")), (5, text("b")), (None, text("c")), (7, text("d")), (8, text("e")), (None, text("f")), *empty]
+    assert got.columns == docs(spark, rows).columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    # Two similar texts of one id: one of them stays.
+    assert [(r.doc_id, r.text) for r in jaccard.keep_one(docs(spark, [(4, text("g")), (4, text("g", " y"))])).collect()] in ([(4, text("g"))], [(4, text("g", " y"))])
+
+
 STEMS = {"aa": ["the", "and", "thing", "other", "with"], "bb": ["der", "und", "schön", "nicht", "über"], "cc": ["que", "las", "niño", "más", "pero"]}
 
 
