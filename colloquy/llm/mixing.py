@@ -2,7 +2,8 @@
 
 Words are summed per source (pre-aggregated, so a hot source costs one row per task), targets are filled up under each
 source's limit, and every document is taken floor(rate) times plus one Bernoulli copy whose probability is the rate's
-fraction, decided by a hash of its id. Only Spark functions run.
+fraction under one hash seed, decided by a hash of its id. Each source then takes the best of several seeds, which
+conditions the draw (see with_copies). Only Spark functions run.
 """
 
 from __future__ import annotations
@@ -75,7 +76,9 @@ def with_copies(
 
     Rows with the same id draw alike. A null source is a source; a document without words is never copied. Each source
     takes, of ``seeds`` hash seeds, the one whose taken words are nearest to its target (the smallest of equals), which
-    steadies sources of few documents; the chance of a copy stays the rate's fraction. Only one row per source is
+    steadies sources of few documents. In sources of few or very unequal documents a copy's chance is therefore not the
+    rate's fraction: a document that holds most of its source's words practically never gets its copy with a fraction
+    under 0.5 and practically always with one above. ``seeds=1`` gives the plain draw. Only one row per source is
     joined to the documents, whose texts aren't shuffled unless sources are too many to be broadcast. Columns of these
     four names are replaced.
     """
