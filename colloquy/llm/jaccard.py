@@ -379,6 +379,26 @@ def jaccard_components(
     return out
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """The join itself: component_id and all linked pairs (a, b), a < b, of the smallest ids of equal sets.
+
+    Ids name one text each. A link lies within a component, so all pairs of distinct sets of a component with fitting
+    sizes are verified: work grows with the square of their number, as the links of a component of near copies do.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = jaccard_components(docs, id_col, text_col, size, percent).where("n_shingles > 0").select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).distinct()
+    found = scratch.stored(found.join(found.where("id <> component").select("component").distinct(), "component", "left_semi"), "links-found")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    tokens = token_sets(_of(rows, found.select("id").distinct(), scratch), size)
+    sets = scratch.stored(tokens.join(found, "id").groupBy("component", "tokens").agg(F.min("id").alias("id")), "links-sets")
+    left, right = (sets.select("component", F.col("id").alias(x), (F.length("tokens") / 8).cast("long").alias(f"{x}_n")) for x in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
+    pairs = verified(left.join(right, "component").where(fits).select("a", "b"), sets, percent)
+    out = stored(pairs.join(found.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("component_id"), "a", "b"), "jaccard-pairs")
+    scratch.drop()
+    return out
+
+
 def _of(rows: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows with these ids."""
     return rows.join(small(scratch.stored(ids, "jaccard-ids")), "id", "left_semi")

@@ -131,6 +131,16 @@ def test_jaccard_equals_brute_force(spark, size, percent):
     assert sorted(map(tuple, got.collect())) == brute_components(rows, size, percent)
 
 
+def test_jaccard_links_are_all_pairs(spark):
+    w = [f"w{i}" for i in range(100)]
+    cut = lambda a, b: " ".join(w[a:b])
+    rows = [(1, cut(0, 100)), (2, cut(1, 100)), (3, cut(0, 99)), (4, cut(2, 98)), (5, cut(1, 100).upper()), (6, cut(6, 100)), (7, cut(12, 100)), (8, "alone"), (9, None)]
+    grams = {i: {tuple(t.lower().split()[k : k + 3]) for k in range(max(1, len(t.split()) - 2))} for i, t in rows if t}
+    want = sorted((1, a, b) for a in grams for b in grams if a < b and 5 not in (a, b) and 100 * len(grams[a] & grams[b]) >= 90 * len(grams[a] | grams[b]))
+    got = sorted(map(tuple, jaccard.jaccard_links(docs(spark, rows)).collect()))
+    assert got == want and (1, 2, 3) in got and (1, 1, 7) not in got and (1, 6, 7) in got
+
+
 def test_jaccard_of_nothing_and_repeated_rows(spark):
     assert jaccard.jaccard_components(docs(spark, []).limit(0)).count() == 0
     assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, [(4, "a b"), (4, "a b"), (2, "A  b")])).collect())) == [(2, 1, 2), (4, 1, 2), (4, 1, 2)]
