@@ -190,6 +190,62 @@ def test_pipeline_takes_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == [*names, "copy"]
 
 
+def brute_mix(rows):
+    """(row, copies) of rows (id, text, lang, source)."""
+    import math
+
+    size = lambda t: len(t.split())
+    total: dict = {}
+    for r in rows:
+        total[r[3]] = total.get(r[3], 0) + size(r[1])
+    target = brute_targets(total)
+    draw = lambda i, seed: int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    out = []
+    for s, n in total.items():
+        mine, rate = [r for r in rows if r[3] == s], target[s] / n
+        extra = lambda r, seed: int(draw(r[0], seed) < rate - math.floor(rate))  # noqa: B023, E731
+        best = min(range(16), key=lambda k: (abs(sum(size(r[1]) * extra(r, k) for r in mine) - (target[s] - math.floor(rate) * n)), k))  # noqa: B023
+        out += [(r, math.floor(rate) + extra(r, best)) for r in mine]
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from test_text_operators import brute_components, brute_hits
+
+    from colloquy.llm import language, secrets
+
+    rng = random.Random(12)
+    vocab = {"en": ["the", "and", "with", "thing"], "de": ["der", "und", "nicht", "über"]}
+    word = lambda lang: rng.choice(vocab[lang]) + str(rng.randrange(50))
+    item = " ".join(word("en") for _ in range(30))
+    texts = [" ".join(word(rng.choice(["en", "de"])) for _ in range(rng.randrange(20, 90))) for _ in range(60)]
+    texts += [texts[0], texts[1] + " tail", "$$ 12 ..", None, item + " and more", texts[5][:60] + " x9 token = " + "ab12" * 10, item.upper() + texts[7] * 9]
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    told = {r.doc_id for r in language.identify(docs, language.fit(docs)).collect() if r.lang_pred != "und" and r.score >= 0.3}
+    left = [r for r in rows if r[0] in told]
+    first = {i for i, _, c in brute_components([r[:2] for r in left], 5, 80) if i == c}
+    left = [r for r in left if r[0] in first]
+    left = [r for r, (n, hit, _) in ((r, brute_hits(r[1], [(1, item)])) for r in left) if not hit or 20 * hit < n]
+
+    def hidden(text):
+        found = sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in r.compiled().finditer(text) if len(m[r.group]) >= r.least)
+        out, at = "", 0
+        for a, k, b in found:
+            out += text[at:a] + f"[secret:{secrets.RULES[k].kind}]" if a >= at else ""
+            at = max(at, b)
+        return out + text[at:]
+
+    left = [(i, hidden(t), lang, s) for i, t, lang, s, _ in left]
+    want = sorted((i, t, lang, s, len(t), c) for (i, t, lang, s), n in brute_mix(left) for c in range(1, n + 1))
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and any("[secret:" in r[1] for r in got) and any(r[5] == 2 for r in got)
+
+
 def test_registered_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
