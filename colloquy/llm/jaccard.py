@@ -1,21 +1,23 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Exact: no link of different texts is lost, whatever the sizes of groups. All heavy rows are spread by hashes.
+Exact, up to 64-bit hashes: no link of different texts is lost, whatever the sizes of groups. All heavy rows are spread
+by hashes, and the plan is the same at every size.
 
 1. Document frequencies of all tokens (64-bit hashes of n-word shingles) are counted in a mergeable sketch of fixed size
    over all documents. It only serves to order tokens: rare first, so any error costs time and no result.
-2. Sketch, one scan. Sets with equal fingerprints collapse to their smallest id; from here on rows are distinct sets.
-3. Partition into groups. Sets that share a pair of min-hashes meet at the smallest id of their bucket (a pre-aggregated
-   min, one row each, never all pairs); verified meetings join them. Connected sets are one component, and a component
-   is dealt into groups of about ``group_size`` sets.
-4. Matrix. Its rows are tokens, its columns groups. Two similar sets share SHARE or more of the first
-   n - least_overlap + SHARE tokens in the common order, so only these tokens of each set are entered. Tokens that occur
-   in one component only are dropped by a pre-aggregated min and max: links within a component need no further look.
-5. Bound and open. A query set and a group of another component whose matrix rows share SHARE tokens or more are
+2. Sketch, one scan. Equal sets collapse to one node (a hash of the set) in an aggregate; from here on rows are nodes.
+3. Meetings. Sets that share a pair of min-hashes meet at the smallest node of their bucket (a pre-aggregated min, one
+   row each, never all pairs). Verified meetings link; linked sets are one component.
+4. Partition into groups of about ``group_size`` similar sets. A component of more sets is dealt into groups of its own;
+   all other sets are dealt, by component, into groups of their family: the sets that met at one node, linked or not.
+5. Matrix. Its rows are tokens, its columns groups. Two similar sets share SHARE or more of the first
+   n - least_overlap + SHARE tokens in the common order, so only these tokens of each set are entered, and of them those
+   that occur in several components: links within a component need no further look.
+6. Bound and open. A query set and a group with a set of another component that share SHARE matrix rows or more are
    bounded twice: by token counts in FOLDS hash cells (a group's is the largest of its members' counts in a cell; the sum
    of the smaller counts is at least the overlap), which moves a few hundred bytes a pair, and then by the group's whole
-   token union. Groups that reach the least overlap are opened, their members verified by exact set intersection.
-6. Components of all verified links, by repeated min-label hooking over tables in the shared folder.
+   token union. Groups that reach the least overlap are opened, and their members verified by exact set intersection.
+7. Components of all verified links, by repeated min-label hooking over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from .shared import Scratch, stored
+from .shared import Scratch, raw, released, stored
 
 U64 = np.uint64
 SKETCH_BITS = 20
@@ -40,8 +42,8 @@ FOLDS = 128
 MOST_FOLDED = (1 << 16) - 1
 #: Tokens that a query and a group must share in the matrix.
 SHARE = 4
-#: Rows of a table of a few longs that may be broadcast.
-MOST_BROADCAST_ROWS = 200_000
+#: Rows of a table of one long that may be broadcast: ids whose texts are looked up, so that texts needn't be shuffled.
+MOST_BROADCAST_ROWS = 1_000_000
 #: Bytes that are hashed at once.
 BLOCK = 1 << 17
 _MIX1, _MIX2, _STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -63,7 +65,7 @@ _POWERS = np.cumprod(np.full(BLOCK, _STEP, U64))
 _INVERSE = np.cumprod(np.full(BLOCK, pow(int(_STEP), -1, 1 << 64), U64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def word_hashes(text: bytes | memoryview) -> np.ndarray:
     """A 64-bit hash of each word: the sum of its bytes' values times powers of an odd constant from its start.
 
     Bytes are summed in blocks with powers from the block's start, which each word's inverse power takes back; a word
@@ -94,9 +96,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     return mixed(out)
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
+def shingles(text: bytes | memoryview | None, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a UTF-8 text; fewer words than size make one shingle, none make none."""
-    words = word_hashes(text) if text else np.zeros(0, U64)
+    words = word_hashes(text) if text is not None and len(text) else np.zeros(0, U64)
     if not len(words):
         return words
     width = min(size, len(words))
@@ -116,24 +118,28 @@ def least_overlap(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
+def node_of(tokens: np.ndarray) -> int:
+    """A 64-bit hash of a set, which stands for the set."""
+    return int(mixed((tokens.sum(dtype=U64) * _STEP) ^ mixed(mixed(tokens + _MIX1).sum(dtype=U64) + U64(len(tokens)))).view(np.int64))
+
+
 class Sketcher:
     """What one scan needs to know: shingle size, threshold and the sketch of document frequencies."""
 
     def __init__(self, size: int, percent: int, cells: np.ndarray, most_folded: int = MOST_FOLDED):
         self.size, self.percent, self.cells, self.most_folded = size, percent, cells, most_folded
 
-    def sketch(self, text: bytes | None) -> tuple[int, int, int, list[int], np.ndarray, bytes | None]:
-        """n, two fingerprint halves, star keys, the tokens that are entered into the matrix, and the folded counts."""
+    def sketch(self, text: bytes | memoryview | None) -> tuple[int, int, list[int], np.ndarray, bytes | None]:
+        """n, node, star keys, the tokens that are entered into the matrix, and the folded counts."""
         tokens = shingles(text, self.size)
         n = len(tokens)
         if not n:
-            return 0, 0, 0, [], tokens.view(np.int64), None
-        print_a, print_b = tokens.sum(dtype=U64), mixed(tokens + _MIX1).sum(dtype=U64)
+            return 0, 0, [], tokens.view(np.int64), None
         least = np.array([(tokens * k).min() for k in _STARS])
         stars = mixed(least[::2] * _STEP + least[1::2]).view(np.int64).tolist()
         folded = np.bincount((tokens >> U64(57)).astype(np.int64), minlength=FOLDS)
         bound = folded.astype(np.uint16).tobytes() if folded.max() <= self.most_folded else None
-        return n, int(print_a.view(np.int64)), int(print_b.view(np.int64)), stars, self.rarest(tokens).view(np.int64), bound
+        return n, node_of(tokens), stars, self.rarest(tokens).view(np.int64), bound
 
     def rarest(self, tokens: np.ndarray) -> np.ndarray:
         """The first tokens in the common order: rare ones first, equals by their hashes. The key stands for the token."""
@@ -149,10 +155,6 @@ class Sketcher:
 _STARS = [U64(x) for x in mixed((np.arange(2 * STAR_KEYS, dtype=U64) + U64(1)) * _STEP) | U64(1)]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
-
-
 def packed(counts: np.ndarray) -> bytes:
     """Counts in the narrowest type that holds them, after a byte that names its width."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or counts.max(initial=0) < 1 << (8 * w))
@@ -168,15 +170,16 @@ def token_counts(rows: DataFrame, size: int) -> np.ndarray:
     sends its cells once, as slices, and each slice is added up in a stream."""
     cells = 1 << SKETCH_BITS
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
             held: list[np.ndarray] = []
             room = 0
-            for text in _texts(batch):
+            for text in raw(batch.column("text")):
                 held.append((shingles(text, size) & U64(cells - 1)).astype(np.int64))
                 room += len(held[-1])
-                if room > 1 << 20:
+                if room > 1 << 18:
                     total += np.bincount(np.concatenate(held), minlength=cells)
                     held, room = [], 0
             if room:
@@ -200,48 +203,49 @@ def token_counts(rows: DataFrame, size: int) -> np.ndarray:
     return total
 
 
-_SKETCH = "n long, print_a long, print_b long, stars array<long>, prefix array<long>, folded binary"
+_SKETCH = "n long, node long, stars array<long>, prefix array<long>, folded binary"
 
 
 def sketches(rows: DataFrame, size: int, percent: int, cells: np.ndarray) -> DataFrame:
-    """id, n, fingerprint, star keys and matrix tokens of each row (id, text)."""
-    shared, most_folded = rows.sparkSession.sparkContext.broadcast(cells), MOST_FOLDED
+    """id, n, node, star keys, matrix tokens and folded counts of each row (id, text)."""
+    shared, most_folded = rows.sparkSession.sparkContext.broadcast(np.minimum(cells, (1 << 24) - 1).astype(np.uint32)), MOST_FOLDED
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(size, percent, shared.value, most_folded)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                n, a, b, stars, prefix, folded = zip(*map(sketcher.sketch, _texts(part)), strict=True)
+                n, node, stars, prefix, folded = zip(*map(sketcher.sketch, raw(part.column("text"))), strict=True)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(stars, pa.list_(pa.int64())), lists, pa.array(folded, pa.binary())],
-                    names=["id", "n", "print_a", "print_b", "stars", "prefix", "folded"],
+                    [part.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(stars, pa.list_(pa.int64())), lists, pa.array(folded, pa.binary())],
+                    names=["id", "n", "node", "stars", "prefix", "folded"],
                 )
 
     return rows.mapInArrow(scan, f"id long, {_SKETCH}")
 
 
 def token_sets(rows: DataFrame, size: int) -> DataFrame:
-    """id and the sorted distinct tokens as packed 64-bit values."""
+    """id, node and the sorted distinct tokens as packed 64-bit values, of each row (id, text)."""
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t, size).tobytes() for t in _texts(part)], pa.binary())], names=["id", "tokens"])
-
-    return rows.mapInArrow(scan, "id long, tokens binary")
-
+            for at in range(0, len(batch), 250):
+                part = batch.slice(at, 250)
+                sets = [shingles(t, size) for t in raw(part.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([node_of(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "node", "tokens"]
+                )
 
-def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, U64)
+    return rows.mapInArrow(scan, "id long, node long, tokens binary")
 
 
-def _common(a: bytes, b: bytes) -> int:
+def _common(a, b) -> int:
     """Intersection size of two packed sorted sets."""
-    x, y = _unpack(a), _unpack(b)
+    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
     if len(x) > len(y):
         x, y = y, x
     if not len(x):
@@ -250,33 +254,34 @@ def _common(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum())
 
 
-@F.pandas_udf(LongType())
-def overlap(a, b):
+@F.arrow_udf(LongType())
+def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """Intersection sizes of packed sorted sets."""
-    import pandas as pd
-
-    return pd.Series([_common(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pa.array([_common(x, y) for x, y in zip(raw(a), raw(b), strict=True)], pa.int64())
 
 
-@F.pandas_udf(LongType())
-def most_overlap(a, b):
+@F.arrow_udf(LongType())
+def most_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """The sums of the smaller of two sets' folded counts, which no overlap exceeds; null, no bound, for a set without counts."""
-    import pandas as pd
 
     def one(x, y):
         if x is None or y is None:
             return None
         return int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+    return pa.array([one(x, y) for x, y in zip(raw(a), raw(b), strict=True)], pa.int64())
 
 
-@F.pandas_udf(BinaryType())
-def _largest(lists):
+@F.arrow_udf(BinaryType())
+def _largest(lists: pa.Array) -> pa.Array:
     """Cell by cell the largest of each list of folded counts."""
-    import pandas as pd
+    return pa.array([np.maximum.reduce([np.frombuffer(x, np.uint16) for x in xs]).tobytes() if xs else None for xs in lists.to_pylist()], pa.binary())
+
 
-    return pd.Series([np.maximum.reduce([np.frombuffer(x, np.uint16) for x in xs]).tobytes() if len(xs) else None for xs in lists])
+@F.arrow_udf(BinaryType())
+def _union(lists: pa.Array) -> pa.Array:
+    """The packed sorted union of each list of packed sets."""
+    return pa.array([np.unique(np.concatenate([np.frombuffer(x, U64) for x in xs.as_py()])).tobytes() for xs in lists], pa.binary())
 
 
 def within_bound(a: str, b: str, total, percent: int):
@@ -291,41 +296,47 @@ def similar(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
+    """The pairs (a, b) of nodes whose sets are similar."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
     return pairs.join(left, "a").join(right, "b").where(similar(percent)).select("a", "b")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, component: the smallest id reachable over the edges (a, b). Nodes without an edge have no row.
+def fitting(a_n: str, b_n: str, percent: int):
+    """Sets of these sizes may be similar."""
+    return (F.col(a_n) * 100 >= F.col(b_n) * percent) & (F.col(b_n) * 100 >= F.col(a_n) * percent)
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and folded counts allow a link."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("folded").alias(f"{x}_f")), x)
+    return pairs.where(fitting("a_n", "b_n", percent)).where(within_bound("a_f", "b_f", F.col("a_n") + F.col("b_n"), percent)).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node reachable over the edges (a, b). Nodes without an edge have no row.
 
     Each round, every node takes the smallest label of itself and its neighbours, and then its label's label. Rounds
     needed grow with the logarithm of a path's length in the usual case; tables are written to the shared folder.
     """
     scratch = Scratch(edges.sparkSession)
     both = scratch.stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
-    labels = scratch.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "cc-labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+    labels = scratch.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # A label's own better label reaches all that carry it.
         better = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("best"))
-        hooked = hooked.join(better, F.col("old") == F.col("root"), "left").select("id", "old", F.least("label", "best").alias("label"))
-        jump = hooked.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = scratch.stored(hooked.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "cc-labels")
+        hooked = hooked.join(better, F.col("old") == F.col("root"), "left").select("node", "old", F.least("label", "best").alias("label"))
+        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = scratch.stored(hooked.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "cc-labels")
         changed = new.where("label <> old").limit(1).count()
         scratch.drop(labels)
         labels = new
         if not changed:
-            out = stored(new.select("id", F.col("label").alias("component")), "components")
+            out = stored(new.select("node", F.col("label").alias("component")), "components")
             scratch.drop()
             return out
-    raise RuntimeError("components don't settle")
-
-
-def small(df: DataFrame, rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """For a stored table of a few longs a row: broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
 
 
 def jaccard_components(
@@ -339,115 +350,136 @@ def jaccard_components(
     """A row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of percent / 100 or more. Null and
-    empty texts have no shingle and link with nothing. Ids are integers; null ids are left out. Rows with one id and one text
-    are one node; texts of one id that differ are linked each by itself. Other columns are ignored.
+    empty texts have no shingle and link with nothing. Ids are integers; null ids are left out. Repeated rows each have a
+    row; texts of one id that differ are linked each by itself. Other columns are ignored.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = _rows(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
-    cells = token_counts(rows, size)
-    sketch = scratch.stored(sketches(rows, size, percent, cells), "jaccard-sketch")
-
-    # Equal sets collapse to their smallest id.
-    same = sketch.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("id").alias("rep"))
-    member = scratch.stored(sketch.select("id", "n", "print_a", "print_b").join(same, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "jaccard-members")
-    reps = scratch.stored(member.where("id = rep and n > 0").select("id").distinct(), "jaccard-reps")
-
-    # Groups: sets that share a star key meet at the smallest id there.
-    stars = sketch.select("id", F.explode("stars").alias("key")).join(small(reps), "id", "left_semi")
-    centre = stars.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    meetings = stars.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    counts = scratch.stored(sketch.select("id", "n", "folded").join(small(reps), "id", "left_semi"), "jaccard-counts")
-    left, right = (counts.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("folded").alias(f"{x}_f")) for x in "ab")
-    near = within_bound("a_f", "b_f", F.col("a_n") + F.col("b_n"), percent)
-    meetings = scratch.stored(meetings.join(left, "a").join(right, "b").where(near).select("a", "b"), "jaccard-meetings")
-    ends = meetings.select(F.col("a").alias("id")).unionAll(meetings.select(F.col("b").alias("id"))).distinct()
-    tokens = scratch.stored(token_sets(_of(rows, ends, scratch), size), "jaccard-tokens")
-    links = scratch.stored(verified(meetings, tokens, percent), "jaccard-links")
-    group = components(links)
-
-    # Matrix: tokens that occur in more than one component.
-    labels = scratch.stored(reps.join(group, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "jaccard-labels")
-    entries = sketch.select("id", "n", "prefix").join(small(labels), "id").select("id", "n", "component", F.explode("prefix").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    matrix = scratch.stored(entries.join(small(scratch.stored(shared, "jaccard-shared")), "token", "left_semi"), "jaccard-matrix")
-    scratch.drop(sketch, tokens)
-    more = _opened(matrix, counts, rows, size, percent, group_size, scratch)
-    final = components(links.unionAll(more))
-    out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "jaccard-components")
+    sketch = scratch.stored(sketches(rows, size, percent, token_counts(rows, size)), "jaccard-sketch")
+    nodes, links = _links(sketch, rows, size, percent, group_size, scratch)
+
+    # Labels of nodes, by the smallest id of their component.
+    reached = components(links)
+    names = nodes.select("node", "rep")
+    low = reached.join(names, "node").groupBy("component").agg(F.min("rep").alias("low"))
+    labels = names.join(reached.join(low, "component").select("node", "low"), "node", "left").select("node", F.coalesce("low", "rep").alias("component_id"))
+    out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(labels, "node", "left")
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "jaccard-components")
     scratch.drop()
     return out
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """The join itself: component_id and all linked pairs (a, b), a < b, of the smallest ids of equal sets.
-
-    Ids name one text each. A link lies within a component, so all pairs of distinct sets of a component with fitting
-    sizes are verified: work grows with the square of their number, as the links of a component of near copies do.
-    """
-    scratch = Scratch(docs.sparkSession)
-    found = jaccard_components(docs, id_col, text_col, size, percent).where("n_shingles > 0").select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).distinct()
-    found = scratch.stored(found.join(found.where("id <> component").select("component").distinct(), "component", "left_semi"), "links-found")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = token_sets(_of(rows, found.select("id").distinct(), scratch), size)
-    sets = scratch.stored(tokens.join(found, "id").groupBy("component", "tokens").agg(F.min("id").alias("id")), "links-sets")
-    left, right = (sets.select("component", F.col("id").alias(x), (F.length("tokens") / 8).cast("long").alias(f"{x}_n")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
-    pairs = verified(left.join(right, "component").where(fits).select("a", "b"), sets, percent)
-    out = stored(pairs.join(found.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("component_id"), "a", "b"), "jaccard-pairs")
-    scratch.drop()
-    return out
-
-
-def _of(rows: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows with these ids."""
-    return rows.join(small(scratch.stored(ids, "jaccard-ids")), "id", "left_semi")
-
-
-def _opened(matrix: DataFrame, folded: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def _sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """node, tokens of these nodes, read again from the text of each node's smallest id."""
+    wanted = scratch.stored(wanted.select("node").distinct().join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
+    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_ROWS else ids
+    found = token_sets(rows.join(ids, "id", "left_semi"), size).join(wanted.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi")
+    return scratch.stored(found.select("node", "tokens").dropDuplicates(["node"]), "jaccard-tokens")
+
+
+def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (node, rep, n, ...) and verified links (a, b) of nodes that connect all similar sets."""
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("stars").alias("stars"), F.first("prefix").alias("prefix"), F.first("folded").alias("folded"))
+    nodes = scratch.stored(nodes, "jaccard-nodes")
+
+    # Sets that share a star key meet at the smallest node there; those that met belong to one family.
+    stars = nodes.select("node", F.explode("stars").alias("key"))
+    centre = stars.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    meetings = scratch.stored(stars.join(centre, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-meetings")
+    families = meetings.groupBy("b").agg(F.min("a").alias("family")).withColumnRenamed("b", "node")
+    near = scratch.stored(bounded(meetings, nodes, percent), "jaccard-near")
+    tokens = _sets_of(near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))), nodes, rows, size, scratch)
+    links = scratch.stored(verified(near, tokens, percent), "jaccard-links")
+    scratch.drop(tokens, near)
+
+    # Matrix entries: tokens of several sets first, then those of several components.
+    entries = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    several = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
+    labels = entries.select("node").distinct().join(components(links), "node", "left").join(families, "node", "left")
+    labels = labels.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family"))
+    entries = entries.join(scratch.stored(labels, "jaccard-labels"), "node")
+    several = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
+    return nodes, links.unionAll(_opened(_dealt(entries, group_size, scratch), nodes, rows, size, percent, scratch))
+
+
+def _dealt(entries: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
+    """Entries with their group: unit (a large component's, or a family's), slot in it, and sets, the unit's number."""
+    members = scratch.stored(entries.select("node", "component", "family").distinct(), "jaccard-members")
+    sizes = members.groupBy("component").agg(F.count("*").alias("own"))
+    large = F.col("own") > group_size
+    members = members.join(sizes, "component").select("node", large.alias("large"), F.when(large, F.col("component")).otherwise(F.col("family")).alias("unit"), F.when(large, F.col("node")).otherwise(F.col("component")).alias("by"))
+    members = scratch.stored(members, "jaccard-members")
+    units = members.groupBy("large", "unit").agg(F.count("*").alias("sets"))
+    members = members.join(units, ["large", "unit"]).withColumn("slot", F.pmod(F.xxhash64("by"), F.ceil(F.col("sets") / group_size)))
+    return scratch.stored(entries.join(scratch.stored(members.drop("by"), "jaccard-members"), "node"), "jaccard-dealt")
+
+
+def _opened(dealt: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links between sets of different components that share SHARE matrix tokens, or all they have."""
-    # Components are dealt into groups; of two components the one with fewer sets here asks the other.
-    counts = matrix.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("sets"))
-    dealt = matrix.join(small(scratch.stored(counts, "jaccard-counts")), "component").withColumn("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("sets") / group_size)))
-    dealt = scratch.stored(dealt, "jaccard-dealt")
-    columns = dealt.groupBy("token", "component", "slot").agg(F.first("sets").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
-    ask = dealt.select("token", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.col("sets").alias("q_sets"))
-    fewer = F.struct("q_sets", "q_component") < F.struct("sets", "component")
-    met = ask.join(columns, "token").where(fewer).groupBy("q", "q_n", "component", "slot")
-    met = met.agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
-    enough = F.col("shared") >= F.least(F.lit(SHARE), F.ceil(F.col("q_n") * percent / 100))
+    group = ["large", "unit", "slot"]
+    columns = dealt.groupBy("token", *group).agg(
+        F.first("sets").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    # Of two units the one with fewer sets asks the other, and within a unit the lower slot the higher: a large component asks none on tokens where it is the last.
+    last = dealt.groupBy("token").agg(F.max(F.struct("sets", "large", "unit")).alias("last"))
+    ask = dealt.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.struct("sets", "large", "unit").alias("q_unit"), F.col("slot").alias("q_slot"))
+    ask = ask.join(last, "token").where(~(F.col("q_unit.large") & (F.col("q_unit") == F.col("last")))).drop("last")
+    unit = F.struct("sets", "large", "unit")
+    onward = (F.col("q_unit") < unit) | ((F.col("q_unit") == unit) & (F.col("q_slot") <= F.col("slot")))
+    others = (F.col("low") != F.col("q_component")) | (F.col("high") != F.col("q_component"))
     sizes = (F.col("q_n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("q_n") * percent)
-    asked = scratch.stored(met.where(enough & sizes).select("q", "q_n", "component", "slot"), "jaccard-asked")
+    met = ask.join(columns, "token").where(onward & others & sizes).groupBy("q", "q_n", *group).agg(F.count("*").alias("shared"))
+    enough = F.col("shared") >= F.least(F.lit(SHARE), F.ceil(F.col("q_n") * percent / 100))
+    asked = scratch.stored(met.where(enough).select("q", "q_n", *group), "jaccard-asked")
 
     # Folded counts of the asked groups bound the overlap first.
-    members = dealt.select("component", "slot", "id", "n").distinct().join(asked.select("component", "slot").distinct(), ["component", "slot"], "left_semi")
+    members = dealt.select(*group, "node", "n", "component").distinct().join(asked.select(*group).distinct(), group, "left_semi")
     members = scratch.stored(members, "jaccard-groups")
-    cells = members.join(folded.select("id", "folded"), "id").groupBy("component", "slot")
+    cells = members.join(nodes.select("node", "folded"), "node").groupBy(*group)
     cells = cells.agg(F.collect_list("folded").alias("all"), F.count("*").alias("sets"), F.min("n").alias("least"))
     # A group with a set without counts has no bound.
-    cells = cells.select("component", "slot", "least", F.when(F.size("all") == F.col("sets"), _largest("all")).alias("right"))
-    first = asked.join(folded.select(F.col("id").alias("q"), F.col("folded").alias("left")), "q").join(cells, ["component", "slot"])
+    cells = cells.select(*group, "least", F.when(F.size("all") == F.col("sets"), F.col("all")).alias("all")).select(*group, "least", _largest(F.coalesce("all", F.array())).alias("right"))
+    first = asked.join(nodes.select(F.col("node").alias("q"), F.col("folded").alias("left")), "q").join(cells, group)
     first = first.where(within_bound("left", "right", F.col("q_n") + F.col("least"), percent))
-    asked = scratch.stored(first.select("q", "component", "slot"), "jaccard-asked")
+    asked = scratch.stored(first.select("q", *group), "jaccard-asked")
 
     # Then the token union of each group that is left.
-    members = scratch.stored(members.join(asked.select("component", "slot").distinct(), ["component", "slot"], "left_semi"), "jaccard-groups")
-    ids = members.select("id").unionAll(asked.select(F.col("q").alias("id"))).distinct()
-    tokens = scratch.stored(token_sets(_of(rows, ids, scratch), size), "jaccard-tokens")
-    unions = members.join(tokens, "id").groupBy("component", "slot").agg(_union(F.collect_list("tokens")).alias("right"), F.min("n").alias("least"))
-    bounded = asked.join(tokens.select(F.col("id").alias("q"), F.col("tokens").alias("left")), "q").join(unions, ["component", "slot"])
+    members = scratch.stored(members.join(asked.select(*group).distinct(), group, "left_semi"), "jaccard-groups")
+    tokens = _sets_of(members.select("node").unionAll(asked.select(F.col("q").alias("node"))), nodes, rows, size, scratch)
+    unions = members.join(tokens, "node").groupBy(*group).agg(_union(F.collect_list("tokens")).alias("right"), F.min("n").alias("least"))
     reach = overlap("left", "right") * (100 + percent) >= percent * ((F.length("left") / 8).cast("long") + F.col("least"))
-    open_groups = scratch.stored(bounded.where(reach).select("q", "component", "slot"), "jaccard-open")
-    pairs = open_groups.join(members, ["component", "slot"]).select(F.col("q").alias("a"), F.col("id").alias("b"))
-    return scratch.stored(verified(pairs, tokens, percent), "jaccard-links")
+    opened = asked.join(tokens.select(F.col("node").alias("q"), F.col("tokens").alias("left")), "q").join(unions, group).where(reach)
+    opened = scratch.stored(opened.select("q", *group), "jaccard-open")
+    own = dealt.select(F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component")).distinct()
+    pairs = opened.join(own, "q").join(members, group).where(F.col("q_component") != F.col("component")).where(fitting("q_n", "n", percent))
+    pairs = pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct()
+    return scratch.stored(verified(bounded(pairs, nodes, percent), tokens, percent), "jaccard-links")
 
 
-@F.pandas_udf(BinaryType())
-def _union(lists):
-    """The packed sorted union of each list of packed sets."""
-    import pandas as pd
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """The join itself: component_id and all linked pairs (a, b), a < b, of the smallest ids of equal sets.
 
-    return pd.Series([np.unique(np.concatenate([_unpack(x) for x in xs])).tobytes() for xs in lists])
+    Ids name one text each. A link lies within a component, so all pairs of distinct sets of a component with fitting
+    sizes are verified: work grows with the square of their number, as the links of a component of near copies do.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = jaccard_components(docs, id_col, text_col, size, percent).where("n_shingles > 0").select(F.col(id_col).alias("id"), F.col("component_id").alias("component")).distinct()
+    found = scratch.stored(found.join(found.where("id <> component").select("component").distinct(), "component", "left_semi"), "links-found")
+    rows = _rows(docs, id_col, text_col).join(found.select("id").distinct(), "id", "left_semi")
+    sets = scratch.stored(token_sets(rows, size).join(found, "id").groupBy("component", "tokens").agg(F.min("id").alias("node")), "links-sets")
+    left, right = (sets.select("component", F.col("node").alias(x), (F.length("tokens") / 8).cast("long").alias(f"{x}_n")) for x in "ab")
+    pairs = left.join(right, "component").where((F.col("a") < F.col("b")) & fitting("a_n", "b_n", percent)).select("a", "b")
+    out = verified(pairs, sets, percent).join(found.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("component_id"), "a", "b")
+    out = stored(out, "jaccard-pairs")
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

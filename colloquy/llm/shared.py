@@ -6,9 +6,14 @@ executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -68,3 +73,29 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def with_fields(schema: StructType, **fields: DataType) -> StructType:
     """The schema with these fields after its own; schema itself stays as it is."""
     return StructType([*schema.fields, *(StructField(name, kind) for name, kind in fields.items())])
+
+
+def raw(column: pa.Array) -> Iterator[memoryview | None]:
+    """The bytes of each string or binary value, without copies; None for nulls."""
+    values = column.cast(pa.large_binary())
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    for i, there in enumerate(values.is_valid().to_pylist()):
+        yield whole[ends[i] : ends[i + 1]] if there else None
+
+
+def released(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches; when a task ends, its Python worker, which is used again, gives memory back."""
+
+    @functools.wraps(scan)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
