@@ -11,12 +11,13 @@ by hashes, and the plan is the same at every size.
 4. Partition into groups of about ``group_size`` similar sets. A component of more sets is dealt into groups of its own;
    all other sets are dealt, by component, into groups of their family: the sets that met at one node, linked or not.
 5. Matrix. Its rows are tokens, its columns groups. Two similar sets share SHARE or more of the first
-   n - least_overlap + SHARE tokens in the common order, so only these tokens of each set are entered, and of them those
-   that occur in several components: links within a component need no further look.
+   n - least_overlap + SHARE tokens in the common order, so only these tokens of each set are entered, and only those of
+   several components ask: links within a component need no further look.
 6. Bound and open. A query set and a group with a set of another component that share SHARE matrix rows or more are
    bounded twice: by token counts in FOLDS hash cells (a group's is the largest of its members' counts in a cell; the sum
    of the smaller counts is at least the overlap), which moves a few hundred bytes a pair, and then by the group's whole
-   token union. Groups that reach the least overlap are opened, and their members verified by exact set intersection.
+   token union. Groups that reach the least overlap are opened in one call each: sizes and folded counts choose members,
+   and those are verified by exact set intersection.
 7. Components of all verified links, by repeated min-label hooking over tables in the shared folder.
 """
 
@@ -28,18 +29,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from .shared import Scratch, raw, released, stored
 
 U64 = np.uint64
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SLICE = 1 << 14
 STAR_KEYS = 4
 GROUP_SIZE = 64
 #: Cells of a set's folded counts. Counts beyond 16 bits aren't kept: such a set has no bound and is compared.
 FOLDS = 128
 MOST_FOLDED = (1 << 16) - 1
+#: Stands for no bound; products with it stay within 64 bits.
+MOST_OVERLAP = 1 << 48
 #: Tokens that a query and a group must share in the matrix.
 SHARE = 4
 #: Rows of a table of one long that may be broadcast: ids whose texts are looked up, so that texts needn't be shuffled.
@@ -198,7 +201,7 @@ def token_counts(rows: DataFrame, size: int) -> np.ndarray:
     schema = "slice int, cells binary"
     summed = rows.select("text").mapInArrow(count, schema).repartition(cells // SLICE, "slice").mapInArrow(add, schema)
     total = np.zeros(cells, np.int64)
-    for r in summed.collect():  # cells // SLICE rows: 8 MiB in all at most
+    for r in summed.collect():  # cells // SLICE rows: 16 MiB in all at most
         total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = unpacked(r["cells"])
     return total
 
@@ -274,8 +277,8 @@ def most_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(BinaryType())
 def _largest(lists: pa.Array) -> pa.Array:
-    """Cell by cell the largest of each list of folded counts."""
-    return pa.array([np.maximum.reduce([np.frombuffer(x, np.uint16) for x in xs]).tobytes() if xs else None for xs in lists.to_pylist()], pa.binary())
+    """Cell by cell the largest of each list of folded counts; null, no bound, if a set has none."""
+    return pa.array([np.maximum.reduce([np.frombuffer(x, np.uint16) for x in xs]).tobytes() if None not in xs else None for xs in lists.to_pylist()], pa.binary())
 
 
 @F.arrow_udf(BinaryType())
@@ -397,70 +400,88 @@ def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_si
     links = scratch.stored(verified(near, tokens, percent), "jaccard-links")
     scratch.drop(tokens, near)
 
-    # Matrix entries: tokens of several sets first, then those of several components.
-    entries = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    # Matrix entries: tokens that several sets hold. One exchange serves the count and the filter.
+    entries = nodes.select("node", F.explode("prefix").alias("token")).repartition("token")
     several = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
-    labels = entries.select("node").distinct().join(components(links), "node", "left").join(families, "node", "left")
-    labels = labels.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family"))
-    entries = entries.join(scratch.stored(labels, "jaccard-labels"), "node")
-    several = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
-    return nodes, links.unionAll(_opened(_dealt(entries, group_size, scratch), nodes, rows, size, percent, scratch))
+    members = entries.select("node").distinct().join(components(links), "node", "left").join(families, "node", "left").join(nodes.select("node", "n"), "node")
+    members = members.select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family"))
+    members = _dealt(scratch.stored(members, "jaccard-members"), group_size, scratch)
+    dealt = scratch.stored(entries.join(members, "node"), "jaccard-dealt")
+    scratch.drop(entries)
+    return nodes, links.unionAll(_opened(dealt, members, nodes, rows, size, percent, scratch))
 
 
-def _dealt(entries: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
-    """Entries with their group: unit (a large component's, or a family's), slot in it, and sets, the unit's number."""
-    members = scratch.stored(entries.select("node", "component", "family").distinct(), "jaccard-members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("own"))
+def _dealt(members: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
+    """Sets with their group: unit (a large component's, or a family's), slot in it, and sets, the unit's number."""
     large = F.col("own") > group_size
-    members = members.join(sizes, "component").select("node", large.alias("large"), F.when(large, F.col("component")).otherwise(F.col("family")).alias("unit"), F.when(large, F.col("node")).otherwise(F.col("component")).alias("by"))
-    members = scratch.stored(members, "jaccard-members")
+    own = members.groupBy("component").agg(F.count("*").alias("own"))
+    members = members.join(own, "component").withColumns({"large": large, "unit": F.when(large, F.col("component")).otherwise(F.col("family")), "by": F.when(large, F.col("node")).otherwise(F.col("component"))})
+    members = scratch.stored(members.drop("own", "family"), "jaccard-units")
     units = members.groupBy("large", "unit").agg(F.count("*").alias("sets"))
-    members = members.join(units, ["large", "unit"]).withColumn("slot", F.pmod(F.xxhash64("by"), F.ceil(F.col("sets") / group_size)))
-    return scratch.stored(entries.join(scratch.stored(members.drop("by"), "jaccard-members"), "node"), "jaccard-dealt")
+    members = members.join(units, ["large", "unit"]).withColumn("slot", F.pmod(F.xxhash64("by"), F.ceil(F.col("sets") / group_size))).drop("by")
+    return scratch.stored(members, "jaccard-slots")
 
 
-def _opened(dealt: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _opened(dealt: DataFrame, members: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links between sets of different components that share SHARE matrix tokens, or all they have."""
     group = ["large", "unit", "slot"]
-    columns = dealt.groupBy("token", *group).agg(
+    # Of two units the one with fewer sets asks the other, and within a unit the lower slot the higher. A large component
+    # asks none on tokens where it is the last; tokens of one component are no question.
+    matrix = dealt.repartition("token")
+    tokens = matrix.groupBy("token").agg(F.min("component").alias("first_c"), F.max("component").alias("last_c"), F.max(F.struct("sets", "large", "unit")).alias("last")).where("first_c <> last_c")
+    columns = matrix.groupBy("token", *group).agg(
         F.first("sets").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"),
     )
-    # Of two units the one with fewer sets asks the other, and within a unit the lower slot the higher: a large component asks none on tokens where it is the last.
-    last = dealt.groupBy("token").agg(F.max(F.struct("sets", "large", "unit")).alias("last"))
-    ask = dealt.select("token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.struct("sets", "large", "unit").alias("q_unit"), F.col("slot").alias("q_slot"))
-    ask = ask.join(last, "token").where(~(F.col("q_unit.large") & (F.col("q_unit") == F.col("last")))).drop("last")
+    ask = matrix.join(tokens.select("token", "last"), "token").select(
+        "token", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.struct("sets", "large", "unit").alias("q_unit"), F.col("slot").alias("q_slot"), "last",
+    )
+    ask = ask.where(~(F.col("q_unit.large") & (F.col("q_unit") == F.col("last")))).drop("last")
     unit = F.struct("sets", "large", "unit")
     onward = (F.col("q_unit") < unit) | ((F.col("q_unit") == unit) & (F.col("q_slot") <= F.col("slot")))
     others = (F.col("low") != F.col("q_component")) | (F.col("high") != F.col("q_component"))
     sizes = (F.col("q_n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("q_n") * percent)
-    met = ask.join(columns, "token").where(onward & others & sizes).groupBy("q", "q_n", *group).agg(F.count("*").alias("shared"))
+    met = ask.join(columns, "token").where(onward & others & sizes).groupBy("q", "q_n", "q_component", *group).agg(F.count("*").alias("shared"))
     enough = F.col("shared") >= F.least(F.lit(SHARE), F.ceil(F.col("q_n") * percent / 100))
-    asked = scratch.stored(met.where(enough).select("q", "q_n", *group), "jaccard-asked")
+    asked = scratch.stored(met.where(enough).drop("shared"), "jaccard-asked")
+    scratch.drop(dealt)
 
     # Folded counts of the asked groups bound the overlap first.
-    members = dealt.select(*group, "node", "n", "component").distinct().join(asked.select(*group).distinct(), group, "left_semi")
-    members = scratch.stored(members, "jaccard-groups")
-    cells = members.join(nodes.select("node", "folded"), "node").groupBy(*group)
-    cells = cells.agg(F.collect_list("folded").alias("all"), F.count("*").alias("sets"), F.min("n").alias("least"))
-    # A group with a set without counts has no bound.
-    cells = cells.select(*group, "least", F.when(F.size("all") == F.col("sets"), F.col("all")).alias("all")).select(*group, "least", _largest(F.coalesce("all", F.array())).alias("right"))
-    first = asked.join(nodes.select(F.col("node").alias("q"), F.col("folded").alias("left")), "q").join(cells, group)
+    held = members.join(asked.select(*group).distinct(), group, "left_semi").join(nodes.select("node", "folded"), "node")
+    groups = held.groupBy(*group).agg(F.min("n").alias("least"), F.collect_list(F.struct("node", "n", "component", "folded")).alias("held"))
+    groups = scratch.stored(groups.select(*group, "least", "held", _largest(F.transform("held", lambda x: x["folded"])).alias("right")), "jaccard-groups")
+    first = asked.join(nodes.select(F.col("node").alias("q"), F.col("folded").alias("left")), "q").join(groups.select(*group, "least", "right"), group)
     first = first.where(within_bound("left", "right", F.col("q_n") + F.col("least"), percent))
-    asked = scratch.stored(first.select("q", *group), "jaccard-asked")
-
-    # Then the token union of each group that is left.
-    members = scratch.stored(members.join(asked.select(*group).distinct(), group, "left_semi"), "jaccard-groups")
-    tokens = _sets_of(members.select("node").unionAll(asked.select(F.col("q").alias("node"))), nodes, rows, size, scratch)
-    unions = members.join(tokens, "node").groupBy(*group).agg(_union(F.collect_list("tokens")).alias("right"), F.min("n").alias("least"))
-    reach = overlap("left", "right") * (100 + percent) >= percent * ((F.length("left") / 8).cast("long") + F.col("least"))
-    opened = asked.join(tokens.select(F.col("node").alias("q"), F.col("tokens").alias("left")), "q").join(unions, group).where(reach)
-    opened = scratch.stored(opened.select("q", *group), "jaccard-open")
-    own = dealt.select(F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component")).distinct()
-    pairs = opened.join(own, "q").join(members, group).where(F.col("q_component") != F.col("component")).where(fitting("q_n", "n", percent))
-    pairs = pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct()
-    return scratch.stored(verified(bounded(pairs, nodes, percent), tokens, percent), "jaccard-links")
+    asked = scratch.stored(first.drop("least", "right"), "jaccard-asked")
+
+    # Then the token union of each group that is left; groups that reach the least overlap are opened.
+    inside = groups.join(asked.select(*group).distinct(), group, "left_semi").select(*group, "least", F.explode("held.node").alias("node"))
+    inside = scratch.stored(inside, "jaccard-inside")
+    sets = _sets_of(inside.select("node").unionAll(asked.select(F.col("q").alias("node"))), nodes, rows, size, scratch)
+    unions = inside.join(sets, "node").groupBy(*group).agg(_union(F.collect_list("tokens")).alias("right"), F.min("least").alias("least"))
+    reach = overlap("tokens", "right") * (100 + percent) >= percent * ((F.length("tokens") / 8).cast("long") + F.col("least"))
+    opened = asked.join(sets.select(F.col("node").alias("q"), "tokens"), "q").join(unions, group).where(reach).drop("tokens", "right", "least")
+    opened = scratch.stored(opened, "jaccard-open").join(groups.select(*group, "held"), group)
+    pairs = opened.select("q", F.explode(_fitting_members(percent)("left", "q_n", "q_component", "held")).alias("node"))
+    pairs = scratch.stored(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct(), "jaccard-pairs")
+    return scratch.stored(verified(pairs, sets, percent), "jaccard-links")
+
+
+def _fitting_members(percent: int):
+    """The members of an opened group that are of other components and that sizes and folded counts allow to be similar."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def fit(left: pa.Array, q_n: pa.Array, q_component: pa.Array, held: pa.Array) -> pa.Array:
+        out = []
+        for x, n, own, members in zip(raw(left), q_n.to_pylist(), q_component.to_pylist(), held, strict=True):
+            node, size, component, folded = members.values.flatten()
+            node, size, component = (c.to_numpy() for c in (node, size, component))
+            may = (component != own) & (size * 100 >= n * percent) & (n * 100 >= size * percent)
+            bound = [MOST_OVERLAP if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64)) for y in raw(folded)]
+            out.append(node[may & (np.array(bound) * (100 + percent) >= percent * (n + size))].tolist())
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return fit
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
