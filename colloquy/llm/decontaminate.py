@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .shared import with_fields
+from .shared import raw, released, unused, with_fields
 
 WINDOW = 13
 BLOCK_BYTES = 64 << 20
@@ -110,61 +110,61 @@ def find_benchmark(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str] = ("n_words", "spans", "items"),
 ) -> DataFrame:
     """Every row of docs with ``n_words``, ``spans`` (word ranges inside benchmark windows) and ``items`` (their ids).
 
     A null or empty text has no words; repeated rows are judged each by itself; repeated benchmark items count once.
-    Columns of docs stay as they are, so they must not be called n_words, spans or items (they are replaced then).
+    ``names`` are those of the three columns; columns of docs that have them are replaced, others stay as they are.
     Several benchmark blocks are scanned one after another inside the same task, which adds their hits up.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    docs = docs.select(keep)
+    docs = docs.select([c for c in docs.columns if c not in names])
     span = StructType([StructField("first", LongType()), StructField("last", LongType())])
-    schema = with_fields(docs.schema, n_words=LongType(), spans=ArrayType(span), items=ArrayType(StringType()))
+    schema = with_fields(docs.schema, **dict(zip(names, (LongType(), ArrayType(span), ArrayType(StringType())), strict=True)))
     out = docs
     for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         index = spark.sparkContext.broadcast(WindowIndex(items, window))
-        out = out.mapInArrow(_scanner(index, text_col, first=k == 0), schema)
+        out = out.mapInArrow(_scanner(index, text_col, names, first=k == 0), schema)
     return out
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _scanner(index, text_col: str, first: bool):
+def _scanner(index, text_col: str, names: tuple[str, str, str], first: bool):
     """Adds a block's hits to those of earlier blocks: blocks are chained within the task, with no shuffle."""
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = index.value
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, len(b), 2000)):
             n_words, spans, items = [], [], []
-            texts = batch.column(text_col).cast(pa.large_binary())
-            old = None if first else (batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-            for i in range(len(batch)):
-                n, hit, found = windows.scan(texts[i].as_py())
+            old = None if first else (batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist())
+            for i, text in enumerate(raw(batch.column(text_col))):
+                n, hit, found = windows.scan(bytes(text) if text is not None else None)
                 if old:
                     hit = merged(hit + [(s["first"], s["last"]) for s in old[0][i]])
                     found = found | set(old[1][i])
                 n_words.append(n)
                 spans.append([{"first": a, "last": b} for a, b in hit])
                 items.append(sorted(found))
-            names = [c for c in batch.schema.names if first or c not in ("n_words", "spans", "items")]
+            own = [c for c in batch.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                names=[*names, "n_words", "spans", "items"],
+                [*(batch.column(c) for c in own), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                names=[*own, *names],
             )
 
     return scan
 
 
-def n_hit():
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
+def n_hit(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
 
 
-def contaminated(least_words_in: int = 20):
+def contaminated(least_words_in: int = 20, n_words: str = "n_words", spans: str = "spans"):
     """At least one word is hit, and hit words are a 20th of all words or more."""
-    return (n_hit() > 0) & (n_hit() * least_words_in >= F.col("n_words"))
+    return (n_hit(spans) > 0) & (n_hit(spans) * least_words_in >= F.col(n_words))
 
 
 def items_digest():
@@ -172,22 +172,27 @@ def items_digest():
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns and whole texts."""
-    names = docs.columns
-    return find_benchmark(docs, benchmark, **options).where(~contaminated()).select(names)
+    """The documents that aren't contaminated, with their own columns, whatever their names, and whole texts.
+
+    Documents without words stay; repeated rows are judged each by itself, and so are rows with a null id.
+    """
+    n_words, spans, items = unused(docs.columns, "n_words", "spans", "items")
+    found = find_benchmark(docs, benchmark, names=(n_words, spans, items), **options)
+    return found.where(~contaminated(n_words=n_words, spans=spans)).select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """Every document, its hit words cut out of the text; separators beside them stay."""
-    names = docs.columns
+    """Every document with its own columns, its hit words cut out of the text; separators beside them stay."""
+    n_words, spans, items = unused(docs.columns, "n_words", "spans", "items")
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, _without)
+    def cut(texts, hit):
+        return texts.combine(hit, _without)
 
-    hits = find_benchmark(docs, benchmark, text_col=text_col, **options)
-    cleaned = F.when(F.size("spans") > 0, cut(text_col, "spans")).otherwise(F.col(text_col))
-    return hits.withColumn(text_col, cleaned).select(names)
+    hits = find_benchmark(docs, benchmark, text_col=text_col, names=(n_words, spans, items), **options)
+    # A null is skipped at once: only texts with hits are handed over.
+    cleaned = F.coalesce(cut(F.when(F.size(spans) > 0, F.col(text_col)), F.col(spans)), F.col(text_col))
+    return hits.withColumn(text_col, cleaned).select(docs.columns)
 
 
 def _without(text: str | None, spans) -> str | None:

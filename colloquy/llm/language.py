@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from .shared import with_fields
+from .shared import released, unused, with_fields
 
 #: Documents that training may use, over all languages, and windows of each.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2400, 4
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2400, 4  # arguments of fit()
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 4
 EPOCHS, RATE, SEED = 8, 0.01, 7
 UNDETERMINED = "und"
@@ -159,8 +159,12 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> ByteNet:
-    """A network from at most sample_docs rows of docs, as many of each language, those with the smallest id hashes."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> ByteNet:
+    """A network from at most sample_docs rows of docs, as many of each language, those with the smallest id hashes.
+
+    Of each text it learns from at most sample_windows windows, spread evenly over the whole text. Rows without an id, a
+    text or a language are not learned from; no such row gives a network that determines nothing.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     langs = rows.agg(F.count_distinct(lang_col)).first()[0]
     each = max(1, sample_docs // max(1, langs))
@@ -176,7 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 rows = windows_of(text.encode())
                 rows = rows[(rows > 0).sum(axis=1) >= 24] if len(rows) > 1 else rows
                 # Shorter windows too, so that short texts are like something seen.
-                picked = np.unique(np.linspace(0, max(0, len(rows) - 1), SAMPLE_WINDOWS).astype(int)) if len(rows) else []
+                picked = np.unique(np.linspace(0, max(0, len(rows) - 1), sample_windows).astype(int)) if len(rows) else []
                 out += [(str(i), lang, rows[k].tobytes()) for k in picked]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["id", "lang", "bytes"])
 
@@ -187,26 +191,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(np.concatenate([windows, short]), [x[1] for x in sample] + [x[1] for x in sample[::4]])
 
 
-def identify(docs: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with ``lang_pred`` (a learned language; und for null texts and those without a letter) and ``score`` (0 to 1).
 
-    Only the text is looked at. Repeated rows are scored each by itself; columns of these two names are replaced.
+    Only the text is looked at. Repeated rows are scored each by itself; columns of docs
+    with the two names are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(keep)
+    docs = docs.select([c for c in docs.columns if c not in names])
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 found = predict(shared.value, part.column(text_col).cast(pa.large_binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(score, with_fields(docs.schema, lang_pred=StringType(), score=DoubleType()))
+    return docs.mapInArrow(score, with_fields(docs.schema, **{names[0]: StringType(), names[1]: DoubleType()}))
 
 
 def keep_identified(docs: DataFrame, net: ByteNet, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """Documents whose language is determined with at least this mean probability, with their own columns."""
-    names = docs.columns
-    return identify(docs, net, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(names)
+    """Documents whose language is determined with at least this mean probability, with their own columns, whatever their names.
+
+    Texts that are null or have no letter go. Repeated rows and rows with a null id are judged each by itself.
+    """
+    pred, score = unused(docs.columns, "lang_pred", "score")
+    return identify(docs, net, text_col, (pred, score)).where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).select(docs.columns)

@@ -72,15 +72,14 @@ def with_copies(
     limit: float = LIMIT,
     seeds: int = SEEDS,
 ) -> DataFrame:
-    """docs with ``size`` in words, ``source_size``, ``target`` (both of its source) and ``copies``.
+    """Every row of docs as ``_row``, its ``size`` in words, ``source_size``, ``target`` (both of its source) and ``copies``.
 
     Rows with the same id draw alike. A null source is a source; a document without words is never copied. Each source
     takes, of ``seeds`` hash seeds, the one whose taken words are nearest to its target (the smallest of equals), which
     steadies sources of few documents. In sources of few or very unequal documents a copy's chance is therefore not the
     rate's fraction: a document that holds most of its source's words practically never gets its copy with a fraction
     under 0.5 and practically always with one above. ``seeds=1`` gives the plain draw. Only one row per source is
-    joined to the documents, whose texts aren't shuffled unless sources are too many to be broadcast. Columns of these
-    four names are replaced.
+    joined to the documents, whose texts aren't shuffled unless sources are too many to be broadcast.
     """
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = stored(sized, "mix-sizes")
@@ -96,20 +95,23 @@ def with_copies(
     choice = F.array_min(F.array(*(F.struct(F.abs(F.col(f"x{k}") - wanted), F.lit(k).alias("seed")) for k in range(seeds))))["seed"]
     chosen = stored(joined(extra, "source", sources).select("source", "source_size", "target", "rate", choice.alias("_seed")), "mix-seeds")
 
-    own = docs.drop(*(c for c in ("size", "source_size", "target", "copies", "rate") if c in docs.columns))
-    out = joined(own.withColumns({"_id": F.col(id_col), "_key": F.col(source_col), "size": n_words(F.col(text_col))}), "_key", chosen)
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_key"), n_words(F.col(text_col)).alias("size"))
+    out = joined(packed, "_key", chosen)
     copies = F.when(F.col("size") > 0, F.floor("rate") + _extra(F.col("_seed"))).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("copies", copies).select(*own.columns, "size", "source_size", "target", "copies")
+    return out.select("_row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """A row per document: id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``, its words in the mix."""
     out = with_copies(docs, id_col=id_col, **options)
-    return out.select(id_col, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col(f"_row.`{id_col}`"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as the plan takes it, with all its columns and ``copy`` (from 1)."""
+    """Every document as often as the plan takes it, with all its columns and ``copy`` (from 1), which replaces one of that name.
+
+    Documents without words go; repeated rows are taken each by itself, alike if they share an id or have none.
+    """
     out = with_copies(docs, **options)
-    names = [c for c in docs.columns if c in out.columns and c not in ("copy", "size", "source_size", "target", "copies")]
+    names = [F.col(f"_row.`{c}`") for c in docs.columns if c != "copy"]
     return out.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))

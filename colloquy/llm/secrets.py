@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .shared import with_fields
+from .shared import raw, released, with_fields
 
 
 @dataclass(frozen=True)
@@ -244,17 +244,31 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
 
     A null or empty text has none; repeated rows are scanned each by itself; a column of that name is replaced.
     """
-    keep = [c for c in docs.columns if c != "secret_spans"]
-    docs = docs.select(keep)
+    return _scanned(docs.select([c for c in docs.columns if c != "secret_spans"]), text_col, rules, "secret_spans")
+
+
+def _scanned(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], name: str, masking: bool = False) -> DataFrame:
+    """docs with the spans in a column of this name, or, when masking, with masked texts and no spans, in one pass."""
     scanner = Scanner(rules)
 
+    @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(text_col).cast(pa.large_binary()).to_pylist()]
-            spans = [[{"start": a, "end": b, "kind": rules[k].kind} for a, b, k in x] for x in scanner.scan(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _SPANS)], names=[*batch.schema.names, "secret_spans"])
+            for first in range(0, len(batch), 2000):
+                part = batch.slice(first, 2000)
+                texts = [bytes(t) if t is not None else b"" for t in raw(part.column(text_col))]
+                spans = [[{"start": a, "end": b, "kind": rules[k].kind} for a, b, k in x] for x in scanner.scan(texts)]
+                if not masking:
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, _SPANS)], names=[*part.schema.names, name])
+                    continue
+                if any(spans):  # texts without a secret stay as they are
+                    old = part.column(text_col)
+                    at = part.schema.get_field_index(text_col)
+                    new = [masked(t.as_py(), s) if s else t.as_py() for t, s in zip(old, spans, strict=True)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(new, old.type))
+                yield part
 
-    return docs.mapInArrow(scan, with_fields(docs.schema, secret_spans=SPANS))
+    return docs.mapInArrow(scan, docs.schema if masking else with_fields(docs.schema, **{name: SPANS}))
 
 
 def spans_text(kinds: tuple[str, ...] | None = None):
@@ -265,16 +279,12 @@ def spans_text(kinds: tuple[str, ...] | None = None):
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every document, each secret (overlapping ones as one) replaced by ``[secret:<kind>]`` of its first kind."""
-    names = docs.columns
+    """Every document, each secret (overlapping ones as one) replaced by ``[secret:<kind>]`` of its first kind.
 
-    @F.pandas_udf("string")
-    def mask(texts, spans):
-        return texts.combine(spans, masked)
-
-    found = find_secrets(docs, text_col, rules)
-    cleaned = F.when(F.size("secret_spans") > 0, mask(text_col, "secret_spans")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cleaned).select(names)
+    Texts are masked where they are scanned. Columns stay as they are, whatever their names; null and empty texts stay;
+    repeated rows are masked each by itself.
+    """
+    return _scanned(docs, text_col, rules, "", masking=True)
 
 
 def masked(text: str | None, spans) -> str | None:

@@ -75,6 +75,12 @@ def with_fields(schema: StructType, **fields: DataType) -> StructType:
     return StructType([*schema.fields, *(StructField(name, kind) for name, kind in fields.items())])
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """These names, each with as many underscores in front as it takes to be none of those taken (in any case)."""
+    held = {c.lower() for c in taken}
+    return [next(n for n in ("_" * k + name for k in range(1, 100)) if n.lower() not in held) for name in names]
+
+
 def raw(column: pa.Array) -> Iterator[memoryview | None]:
     """The bytes of each string or binary value, without copies; None for nulls."""
     values = column.cast(pa.large_binary())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stored
+from .shared import fresh_path, released, stored
 
 #: Revisits that may be broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
@@ -63,10 +63,12 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def revisits_of(pages: DataFrame, id_col: str, least_bytes: int) -> DataFrame:
-    """(id, refers_to) of the rows that repeat the payload of a row with a larger id."""
+    """(id, of, refers_to), once each, of the rows that repeat the payload with the digest ``of`` of a row with a larger id."""
     narrow = stored(pages.select(F.col(id_col).alias("id"), "_digest", F.length("_payload").alias("_n")), "warc-digests")
     last = narrow.where(F.col("_n") >= least_bytes).groupBy("_digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("_rows"))
-    return narrow.where(F.col("_n") >= least_bytes).join(last.where("_rows > 1"), "_digest").where("id < refers_to").select("id", "refers_to")
+    # A row's own digest is part of the key: rows of one id with other payloads are no revisits of this one.
+    found = narrow.where(F.col("_n") >= least_bytes).join(last.where("_rows > 1"), "_digest").where("id < refers_to or (id is null and refers_to is not null)")
+    return found.select("id", F.col("_digest").alias("of"), "refers_to").distinct()
 
 
 def write_warc(
@@ -80,7 +82,10 @@ def write_warc(
     file_records: int = FILE_RECORDS,
     most_broadcast: int = MOST_BROADCAST,
 ) -> None:
-    """Writes a record per row. Ids are unique; a null payload is empty, a null url an empty one; other columns are ignored.
+    """Writes a record per row. A null payload is empty, a null url an empty one; other columns are ignored.
+
+    Rows with one id and one payload are all responses, or all revisits of a larger id. A null id counts as the smallest;
+    its record has no X-Row-ID and is read back with a null row_id.
 
     Of rows with equal payloads of at least ``least_revisit_bytes`` the one with the largest id is the response, the
     others are revisits that carry its HTTP headers and refer to it. No rows give an archive without records.
@@ -91,8 +96,9 @@ def write_warc(
     revisits = stored(revisits_of(rows.withColumnRenamed("id", id_col), id_col, least_revisit_bytes), "warc-revisits")
     if revisits.count() <= most_broadcast:
         revisits = F.broadcast(revisits)
-    rows = rows.join(revisits, "id", "left")
+    rows = rows.join(revisits.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("of")), "left").drop("_id", "of")
 
+    @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 500):
@@ -105,8 +111,10 @@ def write_warc(
                     headers = [
                         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(r["id"])), ("WARC-Date", date),
                         ("WARC-Target-URI", " ".join((r["url"] or "").split())), ("Content-Type", "application/http; msgtype=response"),
-                        ("WARC-Block-Digest", f"sha1:{_base32(block)}"), ("WARC-Payload-Digest", f"sha1:{r['_digest']}"), ("X-Row-ID", str(r["id"])),
+                        ("WARC-Block-Digest", f"sha1:{_base32(block)}"), ("WARC-Payload-Digest", f"sha1:{r['_digest']}"),
                     ]
+                    if r["id"] is not None:
+                        headers.append(("X-Row-ID", str(r["id"])))
                     if revisit:
                         headers += [("WARC-Profile", _IDENTICAL), ("WARC-Refers-To", record_id(r["refers_to"])), ("X-Refers-To-Row-ID", str(r["refers_to"]))]
                     out.append(member(headers, block)[:-1])
@@ -169,11 +177,12 @@ READ_SCHEMA = "row_id string, url string, record_id string, record_type string,
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record. ``payload`` is null for revisits (and for all if payloads is false); ``payload_bytes`` of a
+    """A row per record of the folder's ``*.txt`` (written here) and ``*.warc.gz`` files. ``payload`` is null for revisits (and for all if payloads is false); ``payload_bytes`` of a
     revisit is that of the payload it refers to, from its HTTP headers. Files are read sequentially, one task per file
     or several; a broken frame raises ValueError, a wrong digest gives digests_ok = false.
     """
 
+    @released
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
         types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.bool_(), pa.binary()]
@@ -189,7 +198,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc.gz}").load(path).select("content")
     return files.mapInArrow(unpack, READ_SCHEMA)
 
 

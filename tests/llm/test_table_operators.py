@@ -27,6 +27,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert {int(r.row_id): r.record_type for r in some.collect()} == {i: "revisit" if i in (1, 2) else "response" for i in range(1, 8)}
 
 
+def test_warc_of_repeated_rows_null_ids_and_foreign_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, "u", "a"), (None, "u", None), (2, "u", "b")], "page_id long, url string, html string")
+    read = warc.round_trip(pages).collect()
+    assert sorted((r.row_id or "", r.record_type, r.refers_to_row or "", r.payload_bytes) for r in read) == [
+        ("", "response", "", 0), ("", "revisit", "2", 1), ("1", "revisit", "2", 1), ("1", "revisit", "2", 1), ("2", "response", "", 1), ("2", "response", "", 1),
+    ]
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    (tmp_path / "crawl.warc.gz").write_bytes(warc.member([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:" + warc._base32(block)), ("WARC-Payload-Digest", "sha1:" + warc._base32(b"body"))], block))
+    (got,) = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert (got.row_id, bytes(got.payload), got.digests_ok) == (None, b"body", True)
+
+
 def test_warc_framing_and_digests():
     good = warc.member([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:" + warc._base32(b"a\r\n\r\nbody"))], b"a\r\n\r\nbody")
     assert good[-1:] == b"\0"
@@ -159,7 +171,7 @@ def test_mix_targets_and_copies(spark):
         assert abs(sum(r.taken for r in mine) - t) <= 0.03 * max(t, 1) + 20
     assert {i: r.taken for i, r in plan.items()} == {r.doc_id: r.taken for r in mixing.plan_mix(frame.repartition(5)).collect()}
     mixed = mixing.mix(frame)
-    assert mixed.columns == ["doc_id", "text", "source", "copy"] or "copy" in mixed.columns
+    assert mixed.columns == ["doc_id", "text", "source", "rate", "copy"] and mixed.where("rate <> 'clash'").count() == 0
     assert mixed.count() == sum(r.copies for r in plan.values())
     assert mixing.plan_mix(frame.limit(0)).count() == 0 and mixing.mix(frame.where("source = 'empty'")).count() == 0
 

@@ -54,8 +54,8 @@ def test_decontamination_keeps_clean_documents_whole(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     frame = docs(spark, rows)
     kept = decontaminate.decontaminate(frame, bench)
-    assert kept.columns == frame.columns or set(kept.columns) <= set(frame.columns)
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(rows[1:], key=str) or {r.doc_id for r in kept.collect()} == {2, 3, 4}
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect())) == [(*r, 9, "x", "y") for r in rows[1:]]
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(frame, bench).collect()}
     assert cut[1] == "" and cut[2] == rows[1][1] and "w5" not in cut[3] and cut[3].endswith("z z") and cut[4] is None
     assert decontaminate.find_benchmark(frame, bench.limit(0)).where("size(spans) > 0").count() == 0
@@ -82,7 +82,7 @@ def test_secrets_equal_brute_force(spark):
 def test_trigram_queries():
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == frozenset({"aki", "kia"})
     assert secrets.trigram_query(r"[0-9a-f]+") is True and secrets.trigram_query("ab") is True
-    assert secrets.trigram_query("(abc|def)x?") == ("or", (frozenset({"abc"}), frozenset({"abc", "bcx"}), frozenset({"def"}), frozenset({"def", "efx"}))) or secrets.trigram_query("(abc|def)x?")[0] == "or"
+    assert secrets.trigram_query("(abc|def)x?") == ("or", (frozenset({"abc"}), frozenset({"abc", "bcx"}), frozenset({"def"}), frozenset({"def", "efx"})))
     assert secrets.trigram_query("(abc|.)") is True and secrets.trigram_query("(abcd)*") is True
 
 
