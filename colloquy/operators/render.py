@@ -97,11 +97,21 @@ def preceding_context(turns: DataFrame, topics: DataFrame, budget: int = CONTEXT
 
 
 def topic_slices(turns: DataFrame, topics: DataFrame, max_chars: int = SLICE_CHARS, context_chars: int = CONTEXT_CHARS) -> DataFrame:
-    """A bounded text per kept topic: context, header and rendered turns within max_chars."""
+    """A bounded text per kept topic: context, header and rendered turns within max_chars.
+
+    A topic that is a range of characters of one message has just these as its body; one that begins or ends within a
+    message has that message cut before it is rendered.
+    """
     kept = topics.where("kept")
+    kept = kept.withColumns({c: F.lit(None).cast("int") for c in ("char_from", "char_to") if c not in topics.columns})
     context = preceding_context(turns, kept, min(context_chars, int(max_chars * CONTEXT_SHARE)))
-    inside = turns.join(kept.select("session_id", "topic_id", "msg_from", "msg_to"), "session_id").where("msg_idx between msg_from and msg_to")
-    body = rendered_turns(inside, ["session_id", "topic_id"]).groupBy("session_id", "topic_id").agg(strip(ordered_text(F.col("line"), F.col("msg_idx"))).alias("body"))
+    inside = turns.join(kept.select("session_id", "topic_id", "msg_from", "msg_to", "char_from", "char_to"), "session_id").where("msg_idx between msg_from and msg_to")
+    start = F.when(F.col("msg_idx") == F.col("msg_from"), F.coalesce("char_from", F.lit(0))).otherwise(0)
+    stop = F.when(F.col("msg_idx") == F.col("msg_to"), F.coalesce("char_to", F.length("text"))).otherwise(F.length("text"))
+    inside = inside.withColumn("text", F.substr("text", start + 1, stop - start))
+    part = F.col("char_from").isNotNull() & (F.col("msg_from") == F.col("msg_to"))
+    lines = rendered_turns(inside, ["session_id", "topic_id"]).withColumn("line", F.when(part, F.col("text")).otherwise(F.col("line")))
+    body = lines.groupBy("session_id", "topic_id").agg(strip(ordered_text(F.col("line"), F.col("msg_idx"))).alias("body"))
     rows = kept.join(body, ["session_id", "topic_id"]).join(context, ["session_id", "topic_id"])
     header = F.concat(F.lit("--- TOPIC: "), F.col("label"), F.lit(" (turns "), F.col("msg_from").cast("string"), F.lit("-"), F.col("msg_to").cast("string"), F.lit(") ---\n\n"))
     room = F.greatest(F.lit(LEAST_BODY), F.lit(max_chars) - F.length(header) - F.length("context") - MARKER_ROOM)

@@ -60,6 +60,20 @@ def test_split_topics_tile_the_session_within_the_cap(spark):
         assert all(t.chars <= 600 for t in mine) and sum(t.chars for t in mine) == sum(len(x) for (k, _), x in texts.items() if k == s)
 
 
+def test_slices_of_a_split_message_tile_it(spark):
+    text = " ".join(f"w{i}." for i in range(3000))
+    rows = [("s", 0, "user", "please explain all of it", None, None, 0), ("s", 1, "assistant", text, None, None, 0)]
+    turns = normalize.merged_turns(normalize.cleaned(spark.createDataFrame(rows, MESSAGES)))
+    found = topics.derive_topics(turns, max_topics=40, max_chars=4000).cache()
+    parts = sorted((t for t in found.collect() if t.msg_from == 1), key=lambda t: t.char_from)
+    assert len(parts) > 3 and parts[0].char_from == 0 and parts[-1].char_to == len(text) and all(a.char_to == b.char_from for a, b in zip(parts, parts[1:]))
+    got = {r.topic_id: r for r in render.topic_slices(turns, found, max_chars=9000).collect()}
+    for t in parts:
+        assert got[t.topic_id].text.endswith(text[t.char_from : t.char_to].strip()) and got[t.topic_id].truncated == 0
+    assert parts[1].agent_label and parts[1].label != parts[2].label and parts[1].label.startswith("w")
+    assert topics.agent_label("```x```\n\nOkay, the user wants me to rename all of the helper functions. Then more.", 4) == "rename all of the helper functions."
+
+
 def test_plain_and_grouped_topics_agree_where_nothing_is_long(spark):
     turns = _random_sessions(spark, 8, 12).cache()
     a = topics.topics(turns, 1.97).select("session_id", "msg_from", "msg_to", "chars", F.round("interest", 9), "topic_id").collect()
@@ -134,6 +148,28 @@ def test_entropy_is_opt_in_and_patterns_can_be_added(spark):
     assert {f.kind for f in found.findings} == {"high-entropy", "ticket"}
 
 
+def test_context_spares_tokens(spark):
+    token = "q7Zp2Lx9Vb4Nc8Md1Kf6Jg3Hs5Tr0WyQaEuIoPl"
+    spared = [f"see build/{token}", f"{token}.pdf", f"<a id={token}", f"https://x.example/?q={token}", f"[x](see {token}", f"SHA256: {token}", f"abc+ {token}"[:4] + token + "AAAA", f"data:font/woff;base64,x {token}"]
+    for text in spared:
+        at = text.index(token)
+        assert not redact.is_random(text, at, at + len(token)), text
+    assert redact.is_random(f"see {token} now", 4, 4 + len(token))
+
+
+def test_clean_texts_stay_out_of_python(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(redact.Redactor):
+        def findings(self, text, compiled):
+            seen.add(1)
+            return super().findings(text, compiled)
+
+    rows = spark.createDataFrame([(1, "nothing to see here"), (2, "the admin password is " + _key("Hunter", "2x9")), (3, None)], "id long, text string")
+    assert [r.text for r in sorted(redact.redact_messages(rows, Counting()).collect())] == ["nothing to see here", "the admin password is [redacted:prose-secret]", None]
+    assert seen.value == 1
+
+
 def test_native_prefilter_lets_every_pattern_through(spark):
     import re
 
