@@ -17,7 +17,7 @@ by hashes, and the plan is the same at every size.
    bounded twice: by token counts in FOLDS hash cells (a group's is the largest of its members' counts in a cell; the sum
    of the smaller counts is at least the overlap), which moves a few hundred bytes a pair, and then by the group's whole
    token union. Groups that reach the least overlap are opened in one call each: sizes and folded counts choose members,
-   and those are verified by exact set intersection.
+   and those are verified by exact set intersection, the best one first: what it links needs no further look.
 7. Components of all verified links, by repeated min-label hooking over tables in the shared folder.
 """
 
@@ -231,17 +231,23 @@ def sketches(rows: DataFrame, size: int, percent: int, cells: np.ndarray) -> Dat
 
 
 def token_sets(rows: DataFrame, size: int) -> DataFrame:
-    """id, node and the sorted distinct tokens as packed 64-bit values, of each row (id, text)."""
+    """id, node and the sorted distinct tokens as packed 64-bit values of the rows (id, text); repeated rows once a task."""
 
     @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, len(batch), 250):
                 part = batch.slice(at, 250)
-                sets = [shingles(t, size) for t in raw(part.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([node_of(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "node", "tokens"]
-                )
+                out = {}
+                for i, text in zip(part.column("id").to_pylist(), raw(part.column("text")), strict=True):
+                    tokens = shingles(text, size)
+                    key = (i, node_of(tokens) if len(tokens) else 0)
+                    if key not in seen:
+                        seen.add(key)
+                        out[key] = tokens.tobytes()
+                ids, nodes = zip(*out, strict=True) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(out.values(), pa.binary())], names=["id", "node", "tokens"])
 
     return rows.mapInArrow(scan, "id long, node long, tokens binary")
 
@@ -379,10 +385,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """node, tokens of these nodes, read again from the text of each node's smallest id."""
     wanted = scratch.stored(wanted.select("node").distinct().join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
-    ids = wanted.select(F.col("rep").alias("id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_ROWS else ids
-    found = token_sets(rows.join(ids, "id", "left_semi"), size).join(wanted.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi")
-    return scratch.stored(found.select("node", "tokens").dropDuplicates(["node"]), "jaccard-tokens")
+    ids = wanted.select(F.col("rep").alias("id"), "node")
+    few = wanted.count() <= MOST_BROADCAST_ROWS
+    near = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    found = token_sets(rows.join(near(ids.select("id").distinct()), "id", "left_semi"), size).join(near(ids), ["id", "node"], "left_semi")
+    return scratch.stored(found.select("node", "tokens"), "jaccard-tokens")
 
 
 def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -401,7 +408,7 @@ def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_si
     scratch.drop(tokens, near)
 
     # Matrix entries: tokens that several sets hold. One exchange serves the count and the filter.
-    entries = nodes.select("node", F.explode("prefix").alias("token")).repartition("token")
+    entries = nodes.select("node", F.explode("prefix").alias("token")).where("token is not null").repartition("token")
     several = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
     members = entries.select("node").distinct().join(components(links), "node", "left").join(families, "node", "left").join(nodes.select("node", "n"), "node")
@@ -409,7 +416,7 @@ def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_si
     members = _dealt(scratch.stored(members, "jaccard-members"), group_size, scratch)
     dealt = scratch.stored(entries.join(members, "node"), "jaccard-dealt")
     scratch.drop(entries)
-    return nodes, links.unionAll(_opened(dealt, members, nodes, rows, size, percent, scratch))
+    return nodes, links.unionAll(_opened(dealt, members, links, nodes, rows, size, percent, scratch))
 
 
 def _dealt(members: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
@@ -423,8 +430,8 @@ def _dealt(members: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
     return scratch.stored(members, "jaccard-slots")
 
 
-def _opened(dealt: DataFrame, members: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Verified links between sets of different components that share SHARE matrix tokens, or all they have."""
+def _opened(dealt: DataFrame, members: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Verified links that connect all similar sets of different components: such sets share SHARE matrix tokens, or all they have."""
     group = ["large", "unit", "slot"]
     # Of two units the one with fewer sets asks the other, and within a unit the lower slot the higher. A large component
     # asks none on tokens where it is the last; tokens of one component are no question.
@@ -447,9 +454,11 @@ def _opened(dealt: DataFrame, members: DataFrame, nodes: DataFrame, rows: DataFr
     scratch.drop(dealt)
 
     # Folded counts of the asked groups bound the overlap first.
-    held = members.join(asked.select(*group).distinct(), group, "left_semi").join(nodes.select("node", "folded"), "node")
-    groups = held.groupBy(*group).agg(F.min("n").alias("least"), F.collect_list(F.struct("node", "n", "component", "folded")).alias("held"))
-    groups = scratch.stored(groups.select(*group, "least", "held", _largest(F.transform("held", lambda x: x["folded"])).alias("right")), "jaccard-groups")
+    def held(labelled: DataFrame, wanted: DataFrame) -> DataFrame:
+        inside = labelled.join(wanted.select(*group).distinct(), group, "left_semi").join(nodes.select("node", "folded"), "node")
+        return inside.groupBy(*group).agg(F.min("n").alias("least"), F.collect_list(F.struct("node", "n", "component", "folded")).alias("held"))
+
+    groups = scratch.stored(held(members, asked).select(*group, "least", "held", _largest(F.transform("held", lambda x: x["folded"])).alias("right")), "jaccard-groups")
     first = asked.join(nodes.select(F.col("node").alias("q"), F.col("folded").alias("left")), "q").join(groups.select(*group, "least", "right"), group)
     first = first.where(within_bound("left", "right", F.col("q_n") + F.col("least"), percent))
     asked = scratch.stored(first.drop("least", "right"), "jaccard-asked")
@@ -461,14 +470,26 @@ def _opened(dealt: DataFrame, members: DataFrame, nodes: DataFrame, rows: DataFr
     unions = inside.join(sets, "node").groupBy(*group).agg(_union(F.collect_list("tokens")).alias("right"), F.min("least").alias("least"))
     reach = overlap("tokens", "right") * (100 + percent) >= percent * ((F.length("tokens") / 8).cast("long") + F.col("least"))
     opened = asked.join(sets.select(F.col("node").alias("q"), "tokens"), "q").join(unions, group).where(reach).drop("tokens", "right", "least")
-    opened = scratch.stored(opened, "jaccard-open").join(groups.select(*group, "held"), group)
-    pairs = opened.select("q", F.explode(_fitting_members(percent)("left", "q_n", "q_component", "held")).alias("node"))
+    opened = scratch.stored(opened, "jaccard-open")
+    scratch.drop(inside)
+
+    # The best member of each opened group first; the union of a lone member was its verification. Sets that are in one
+    # component then need no further look, and of the others all members that fit are verified.
+    best = opened.join(groups.select(*group, "held"), group).select("q", (F.size("held") == 1).alias("lone"), F.explode(_fitting_members(percent, True)("left", "q_n", "q_component", "held")).alias("node"))
+    best = best.select("lone", F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).groupBy("a", "b").agg(F.max("lone").alias("lone"))
+    best = scratch.stored(best, "jaccard-best")
+    first = scratch.stored(best.where("lone").select("a", "b").unionAll(verified(best.where("not lone").select("a", "b"), sets, percent)), "jaccard-links")
+    reached = components(links.unionAll(first))
+    label = lambda rows, node: rows.join(reached.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left")
+    relabelled = label(members, "node").withColumn("component", F.coalesce("_c", "component")).drop("_c")
+    again = label(opened, "q").withColumn("q_component", F.coalesce("_c", "q_component")).drop("_c").join(held(relabelled, opened).select(*group, "held"), group).where(F.size("held") > 1)
+    pairs = again.select("q", F.explode(_fitting_members(percent, False)("left", "q_n", "q_component", "held")).alias("node"))
     pairs = scratch.stored(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct(), "jaccard-pairs")
-    return scratch.stored(verified(pairs, sets, percent), "jaccard-links")
+    return first.unionAll(scratch.stored(verified(pairs, sets, percent), "jaccard-links"))
 
 
-def _fitting_members(percent: int):
-    """The members of an opened group that are of other components and that sizes and folded counts allow to be similar."""
+def _fitting_members(percent: int, best: bool):
+    """The members of an opened group that are of other components and that sizes and folded counts allow to be similar, or the best of them."""
 
     @F.arrow_udf(ArrayType(LongType()))
     def fit(left: pa.Array, q_n: pa.Array, q_component: pa.Array, held: pa.Array) -> pa.Array:
@@ -478,7 +499,12 @@ def _fitting_members(percent: int):
             node, size, component = (c.to_numpy() for c in (node, size, component))
             may = (component != own) & (size * 100 >= n * percent) & (n * 100 >= size * percent)
             bound = [MOST_OVERLAP if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64)) for y in raw(folded)]
-            out.append(node[may & (np.array(bound) * (100 + percent) >= percent * (n + size))].tolist())
+            most = np.array(bound)
+            may &= most * (100 + percent) >= percent * (n + size)
+            if best and may.any():
+                out.append([int(node[np.where(may, most / (n + size), -1.0).argmax()])])
+            else:
+                out.append(node[may].tolist())
         return pa.array(out, pa.list_(pa.int64()))
 
     return fit
