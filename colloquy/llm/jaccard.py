@@ -305,9 +305,12 @@ def similar(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(similar(percent)).select("a", "b")
+    """The pairs (a, b) of nodes, a stored table, whose sets are similar. Only sets of these nodes are shuffled."""
+    few, out = pairs.count() <= MOST_BROADCAST_ROWS, pairs
+    for x, name in (("a", "left"), ("b", "right")):
+        side = sets.select(F.col("node").alias(x), F.col("tokens").alias(name))
+        out = out.join(side.join(F.broadcast(pairs.select(x).distinct()), x, "left_semi") if few else side, x)
+    return out.where(similar(percent)).select("a", "b")
 
 
 def fitting(a_n: str, b_n: str, percent: int):
@@ -523,7 +526,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = scratch.stored(token_sets(rows, size).join(found, "id").groupBy("component", "tokens").agg(F.min("id").alias("node")), "links-sets")
     left, right = (sets.select("component", F.col("node").alias(x), (F.length("tokens") / 8).cast("long").alias(f"{x}_n")) for x in "ab")
     pairs = left.join(right, "component").where((F.col("a") < F.col("b")) & fitting("a_n", "b_n", percent)).select("a", "b")
-    out = verified(pairs, sets, percent).join(found.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("component_id"), "a", "b")
+    out = verified(scratch.stored(pairs, "links-pairs"), sets, percent).join(found.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("component_id"), "a", "b")
     out = stored(out, "jaccard-pairs")
     scratch.drop()
     return out
