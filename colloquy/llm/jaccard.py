@@ -201,7 +201,7 @@ def token_counts(rows: DataFrame, size: int) -> np.ndarray:
     schema = "slice int, cells binary"
     summed = rows.select("text").mapInArrow(count, schema).repartition(cells // SLICE, "slice").mapInArrow(add, schema)
     total = np.zeros(cells, np.int64)
-    for r in summed.collect():  # cells // SLICE rows: 16 MiB in all at most
+    for r in stored(summed, "jaccard-cells").collect():  # cells // SLICE rows: 16 MiB in all at most
         total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = unpacked(r["cells"])
     return total
 
@@ -368,6 +368,7 @@ def jaccard_components(
     rows = _rows(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
     sketch = scratch.stored(sketches(rows, size, percent, token_counts(rows, size)), "jaccard-sketch")
+    named = scratch.stored(sketch.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "jaccard-named")
     nodes, links = _links(sketch, rows, size, percent, group_size, scratch)
 
     # Labels of nodes, by the smallest id of their component.
@@ -375,7 +376,7 @@ def jaccard_components(
     names = nodes.select("node", "rep")
     low = reached.join(names, "node").groupBy("component").agg(F.min("rep").alias("low"))
     labels = names.join(reached.join(low, "component").select("node", "low"), "node", "left").select("node", F.coalesce("low", "rep").alias("component_id"))
-    out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(labels, "node", "left")
+    out = named.join(labels, "node", "left")
     out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "jaccard-components")
     scratch.drop()
     return out
@@ -396,9 +397,10 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, sc
 
 
 def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (node, rep, n, ...) and verified links (a, b) of nodes that connect all similar sets."""
+    """The distinct sets (node, rep, n, folded) and verified links (a, b) of nodes that connect all similar sets. Drops sketch."""
     nodes = sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("stars").alias("stars"), F.first("prefix").alias("prefix"), F.first("folded").alias("folded"))
     nodes = scratch.stored(nodes, "jaccard-nodes")
+    scratch.drop(sketch)
 
     # Sets that share a star key meet at the smallest node there; those that met belong to one family.
     stars = nodes.select("node", F.explode("stars").alias("key"))
@@ -411,9 +413,11 @@ def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_si
     scratch.drop(tokens, near)
 
     # Matrix entries: tokens that several sets hold. One exchange serves the count and the filter.
-    entries = nodes.select("node", F.explode("prefix").alias("token")).where("token is not null").repartition("token")
+    full, nodes = nodes, scratch.stored(nodes.select("node", "rep", "n", "folded"), "jaccard-nodes")
+    entries = full.select("node", F.explode("prefix").alias("token")).where("token is not null").repartition("token")
     several = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
+    scratch.drop(full)
     members = entries.select("node").distinct().join(components(links), "node", "left").join(families, "node", "left").join(nodes.select("node", "n"), "node")
     members = members.select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family"))
     members = _dealt(scratch.stored(members, "jaccard-members"), group_size, scratch)

@@ -38,12 +38,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files are deleted when their query ends. What is stored is read from its table, so they are needed no more.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written as Parquet and read back; its shuffle files are gone, whatever the session sets for other queries."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, None)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(FREE_SHUFFLES) if before is None else conf.set(FREE_SHUFFLES, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, fresh_path(df.sparkSession, name))
 
 
 class Scratch:
@@ -54,8 +67,7 @@ class Scratch:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = written(df, path)
         self.paths[id(out)] = (path, out)
         return out
 
