@@ -35,9 +35,8 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # OP6 fixes the arguments: no whole texts of users and system prompts.
-    calls, results = tool_chat.from_conversations(load(spark, sf_dir, "conversations"), whole=False)
-    linked = tool_chat.link_tool_calls(calls, results, tool_chat.schemas_frame(spark, tool_chat.SCHEMAS))
+    calls, results = tool_chat.from_conversations(load(spark, sf_dir, "conversations"))
+    linked = tool_chat.link_tool_calls(calls, results, tool_chat.schemas_frame(spark))
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 
@@ -140,7 +139,7 @@ l(conv_id, turn, level) AS (
   SELECT conv_id, turn, 0::BIGINT FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.turn = c.turn - 2)
   UNION ALL SELECT c.conv_id, c.turn, level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2)
 SELECT c.conv_id, c.call_id, level, c.turn, c.name, a.turn AS result_turn, CASE WHEN a.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, '' AS errors,
-  '{"arguments":{"chars":' || length(c.text) || ',"first":' || to_json(split_part(c.text, ' ', 1)) || ',"turn":' || c.turn || ',"words":'
+  '{"arguments":{"chars":' || length(c.text) || ',"first":' || to_json(split_part(c.text, ' ', 1)) || ',"text":' || to_json(c.text) || ',"turn":' || c.turn || ',"words":'
   || len(list_filter(string_split(c.text, ' '), lambda w: w <> '')) || '},"id":' || to_json(c.call_id) || ',"name":' || to_json(c.name)
   || ',"result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
 FROM c JOIN l USING (conv_id, turn) LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 AND a.role = 'assistant'

@@ -20,14 +20,12 @@ MOST_BROADCAST = 100_000
 
 #: The tools that the query's conversations use.
 SCHEMAS = (
-    ("reply", (("chars", "integer", True), ("first", "string", True), ("turn", "integer", True), ("words", "integer", False))),
-    ("configure", (("chars", "integer", True), ("first", "string", False), ("turn", "integer", True))),
+    ("reply", (("chars", "integer", True), ("first", "string", True), ("text", "string", True), ("turn", "integer", True), ("words", "integer", False))),
+    ("configure", (("chars", "integer", True), ("first", "string", False), ("text", "string", True), ("turn", "integer", True))),
 )
-#: The same tools where calls carry whole texts.
-WHOLE_SCHEMAS = tuple((name, (*params, ("text", "string", True))) for name, params in SCHEMAS)
 
 
-def schemas_frame(spark: SparkSession, schemas=WHOLE_SCHEMAS) -> DataFrame:
+def schemas_frame(spark: SparkSession, schemas=SCHEMAS) -> DataFrame:
     """name, params: an array of (name, type, required)."""
     rows = []
     for name, params in schemas:
@@ -113,16 +111,16 @@ def canonical(is_object):
     )
 
 
-def from_conversations(turns: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations (conv_id, turn, role, text).
 
     A user turn calls ``reply``, a system turn ``configure``; a call's identifier is ``<conv_id>-<turn>`` and it waits for
     the call two turns before. The assistant's turn after it, whose identifier names the turn before, is its result.
-    Arguments hold the turn's whole text; with ``whole`` false, as in the query, only counts and its first word.
+    Arguments hold the turn's whole text, its first word and counts; a null text lacks them and is reported as missing.
     """
     words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", " "), lambda w: w != "")))
     fields = [words.alias("words"), F.col("turn").alias("turn"), F.substring_index("text", " ", 1).alias("first"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")]
-    arguments = F.to_json(F.struct(*fields, *([F.col("text")] if whole else [])))
+    arguments = F.to_json(F.struct(*fields, F.col("text")))
     name = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure")
     key = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     called = turns.where(F.col("role").isin("user", "system"))
