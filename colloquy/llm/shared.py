@@ -19,9 +19,11 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. One of our own only where the session names none, as in local tests."""
+    """The cluster's shared folder. One of our own only where a local session names none, as in tests; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
