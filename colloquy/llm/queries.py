@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over the given tables, and their SQL."""
+"""The queries op1 to op13 over the given tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, secrets, tool_chat, topk, toxicity, url_filter, warc
+from . import decontaminate, jaccard, language, mixing, periodic, pii, secrets, spelling, tool_chat, topk, toxicity, url_filter, warc
 from .shared import load
 
 
@@ -68,13 +68,51 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(secrets.spans_text(tuple(base)), 256).alias("base_sha256"), secrets.spans_text().alias("spans"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(load(spark, sf_dir, "documents"), slips=True)
+    return spelling.spelling_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(load(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit(pii.labelled_table(spark)))
+    return found.select("doc_id", *map(pii.n_base, pii.BASE_KINDS), F.sha2(pii.spans_text(base_only=True), 256).alias("base_sha256"), pii.spans_text().alias("spans"))
+
+
+def looped(doc_id, text):
+    """The text of one document in ten with its last words repeated with a period; others as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    held = F.get(F.transform(F.array(words), again), F.lit(0))  # the words of a text are found once, not once per word
+    return F.when(text.isNotNull() & (h % 10 == 0), held).otherwise(text)
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs).withColumn("best", periodic.longest_run())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.runs_text(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_language, op3_jaccard, op4_url_filter, op5_topk, op6_tool_chat, op7_decontaminate, op8_mix, op9_toxicity, op10_secrets)}
+    own = (op1_warc, op2_language, op3_jaccard, op4_url_filter, op5_topk, op6_tool_chat, op7_decontaminate, op8_mix, op9_toxicity, op10_secrets, op11_spelling, op12_pii, op13_periodic)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1, "op3_jaccard": OP3, "op4_url_filter": OP4, "op5_topk": OP5, "op6_tool_chat": OP6, "op7_decontaminate": OP7, "op8_mix": OP8,
+        "op11_spelling": OP11, "op13_periodic": OP13,
     }
 
 
@@ -191,3 +229,55 @@ OP8 = (
     + MIX
     + "SELECT id AS doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
 )
+
+
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of an expression's UTF-8 bytes, for code points below 2048: each byte, then eight shifts."""
+    points = f"list_transform(string_split({text}, ''), lambda c: ord(c))"
+    data = f"flatten(list_transform({points}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+    steps = f"flatten(list_transform({data}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform({steps}, lambda e: e::BIGINT)), lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END)"
+    return f"xor({fold}, 4294967295::BIGINT)"
+
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, r, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) GROUP BY ALL),
+h AS (SELECT r, k, {_crc32("doc_id || ':' || r")} AS h FROM runs),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.rest
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, arg_max(other, r) AS other, max(m) AS m FROM (SELECT *, -row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near) GROUP BY word),
+f AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain(word, held, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN f ON f.word = c.held AND f.form IS NOT NULL),
+last AS (SELECT word, arg_max(held, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+"""
+
+OP13 = rf"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g, (h // 10) % greatest(len(ws), 1) AS a FROM t),
+d AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM g),
+six AS (SELECT doc_id, i, hash(array_to_string(ws[i : i + 5], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 4)) AS i FROM d WHERE len(ws) >= 12)),
+same AS (SELECT a.doc_id, b.i - a.i AS q, a.i AS i FROM six a JOIN six b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+island AS (SELECT doc_id, q, min(i) - 1 AS start, count(*) + 5 AS equal FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS j FROM same) GROUP BY doc_id, q, j),
+run AS (SELECT doc_id, start, equal + q AS length, min(q) AS period FROM island WHERE equal >= q AND equal + q >= 12 GROUP BY doc_id, start, equal + q),
+per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+    list({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period)[1] AS best, list({{'a': start + period, 'b': start + length}}) AS gone FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(g.a, g.b)) AS i FROM (SELECT doc_id, unnest(gone) AS g FROM per)),
+gone_of AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, array_to_string(CASE WHEN gone IS NULL THEN ws ELSE (SELECT list(w ORDER BY i) FROM (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS i) WHERE NOT list_contains(gone, i)) END, ' ') AS text
+  FROM d LEFT JOIN gone_of USING (doc_id))
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

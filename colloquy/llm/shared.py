@@ -105,6 +105,16 @@ def raw(column: pa.Array) -> Iterator[memoryview | None]:
         yield whole[ends[i] : ends[i + 1]] if there else None
 
 
+def slices(batch: pa.RecordBatch, text_col: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of about 4 MB of text; a longer text is a slice of its own."""
+    ends = np.cumsum([len(t) if t is not None else 0 for t in raw(batch.column(text_col))])
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def released(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same function of batches; when a task ends, its Python worker, which is used again, gives memory back."""
 
