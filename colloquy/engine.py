@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import normalize, quiz, redact, render, reports, store, topics
+from .operators import normalize, quiz, redact, render, reports, splitting, store, topics
 from .sources import discovery, registry, scan
 
 
@@ -44,7 +44,7 @@ class Conversations:
         return reports.search(found, query, tuple(c for c in ("title", "project", "harness") if c in found.columns))
 
     def topics(self, **options) -> DataFrame:
-        return topics.derive_topics(self.turns, **options)
+        return splitting.derive_topics(self.turns, **options)
 
     def digests(self, **options) -> DataFrame:
         return render.digests(self.turns, self.sessions(), **options)

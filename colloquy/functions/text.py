@@ -50,6 +50,28 @@ def label_of(text: Column, most: int = 90) -> Column:
     return F.when(clean == "", F.lit("untitled topic")).when(F.length(clean) > most, short).otherwise(clean)
 
 
+#: Openings that tell nothing about a subject.
+NARRATION = (
+    r"^(?:ok(?:ay)?[,.]?\s*)?(?:the user|they|the assistant)\s+(?:wants?|asked?|is|has|says?|would like|needs?)\s+(?:me\s+)?(?:to\s+)?",
+    r"^(?:now|next|then|so|alright|right)[,:]?\s+",
+)
+#: A paragraph worth telling, a sentence worth telling, and the most of either.
+LEAST_TOLD, MOST_SENTENCE, MOST_TOLD = 20, 110, 100
+
+
+def statement_of(text: Column, turn: Column) -> Column:
+    """What a text without a user's words is about: a sentence, or the start, of its first paragraph worth telling."""
+    told_in = F.try_element_at(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.length(strip(p)) > LEAST_TOLD), F.lit(1))
+    plain = collapse(F.regexp_replace(F.regexp_replace(F.coalesce(told_in, text), r"(?s)```.*?```", " "), r"[#*_`>]", ""))
+    bare = plain
+    for opening in NARRATION:
+        bare = F.regexp_replace(bare, f"(?i){opening}", "")
+    told = F.when(F.length(strip(bare)) > LEAST_TOLD, strip(bare)).otherwise(plain)
+    sentence = F.nullif(F.regexp_extract(told, rf"^(.{{{LEAST_TOLD},{MOST_SENTENCE}}}?[.!?])(?=\s|$)", 1), F.lit(""))
+    out = strip(F.substring(F.coalesce(sentence, told), 1, MOST_TOLD))
+    return F.coalesce(F.nullif(out, F.lit("")), F.concat(F.lit("continued (turn "), turn.cast("string"), F.lit(")")))
+
+
 def clip(text: Column, most, counted: bool = False) -> Column:
     """At most so many characters; counted adds how many went."""
     most = most if isinstance(most, Column) else F.lit(most)

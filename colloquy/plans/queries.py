@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import roles, text
 from ..functions.hashes import turn_text
-from ..operators import normalize, quiz, redact, render, reports, store, topics
+from ..operators import normalize, quiz, redact, render, reports, splitting, store, topics
 
 #: Without times and files a boundary scores 3 at most, so these tables are cut at a lower threshold than the default.
 THRESHOLD = 1.97
@@ -119,7 +119,7 @@ def topic_stats(spark, sf_dir):
 
 def topics_split_by_size(spark, sf_dir):
     """Topics where segments are over-long, which needs the grouped path."""
-    found = topics.derive_topics(_turns(spark, sf_dir), THRESHOLD, max_chars=1500, min_chars=200)
+    found = splitting.derive_topics(_turns(spark, sf_dir), THRESHOLD, max_chars=1500, min_chars=200)
     return found.select("session_id", "msg_from", "msg_to", "chars", "sub_split", "kept", "topic_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,10 +20,10 @@ def redactor() -> Redactor:
     return _redactor
 
 
-def register_redaction(kind: str, pattern: str, flags: str = "", group: int = 0, guard: str | None = None) -> None:
-    """A pattern that claims after the built-in ones."""
+def register_redaction(kind: str, pattern: str, flags: str = "", group: int = 0, guard: str | None = None, marks: tuple[str, ...] = ()) -> None:
+    """A pattern that claims after the built-in ones. With marks, only texts with one of these literals, in any case, are looked at."""
     global _redactor
-    _redactor = _redactor.with_pattern(kind, pattern, flags, group, guard)
+    _redactor = _redactor.with_pattern(kind, pattern, flags, group, guard, marks)
 
 
 #: SQL text of functions that are expressions: they are inlined into the plan and run in the JVM.
@@ -39,19 +39,11 @@ def register_functions(spark: SparkSession) -> None:
     """normalize_role, to_epoch_ms, jaccard, norm_answer, redact in SQL; the last is Arrow-vectorised."""
     for name, (params, kind, body) in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
-    compiled = redactor().compiled()
     own = redactor()
 
-    @F.pandas_udf(StringType())
-    def redact(texts: pd.Series) -> pd.Series:
-        def one(t):
-            out, at = [], 0
-            for start, end, kind in own.findings(t, compiled) if t is not None else ():
-                out += [t[at:start], f"[redacted:{kind}]"]
-                at = end
-            return None if t is None else "".join([*out, t[at:]])
-
-        return texts.map(one)
+    @F.arrow_udf(StringType())
+    def redact(texts: pa.Array) -> pa.Array:
+        return own.batch(texts).field("text")
 
     spark.udf.register("redact", redact)
 

@@ -1,10 +1,15 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import normalize, quiz, redact, render, reports, store, topics
+from colloquy.operators import normalize, quiz, redact, render, reports, splitting, store, topics
 from colloquy.schema import MESSAGES
 
+from brute_topics import split_session
+
 
 def frame(spark, turns, session="s"):
     """turns: (role, text[, ts_ms[, tools]])"""
@@ -51,7 +56,7 @@ def _random_sessions(spark, n, long):
 
 def test_split_topics_tile_the_session_within_the_cap(spark):
     turns = _random_sessions(spark, 6, 60).cache()
-    found = topics.derive_topics(turns, 1.0, max_topics=100, max_chars=600, min_chars=50).collect()
+    found = splitting.derive_topics(turns, 1.0, max_topics=100, max_chars=600, min_chars=50).collect()
     texts = {(r.session_id, r.msg_idx): r.text for r in turns.collect()}
     for s in {t.session_id for t in found}:
         mine = sorted((t for t in found if t.session_id == s), key=lambda t: (t.msg_from, t.msg_to))
@@ -64,20 +69,70 @@ def test_slices_of_a_split_message_tile_it(spark):
     text = " ".join(f"w{i}." for i in range(3000))
     rows = [("s", 0, "user", "please explain all of it", None, None, 0), ("s", 1, "assistant", text, None, None, 0)]
     turns = normalize.merged_turns(normalize.cleaned(spark.createDataFrame(rows, MESSAGES)))
-    found = topics.derive_topics(turns, max_topics=40, max_chars=4000).cache()
+    found = splitting.derive_topics(turns, max_topics=40, max_chars=4000).cache()
     parts = sorted((t for t in found.collect() if t.msg_from == 1), key=lambda t: t.char_from)
     assert len(parts) > 3 and parts[0].char_from == 0 and parts[-1].char_to == len(text) and all(a.char_to == b.char_from for a, b in zip(parts, parts[1:]))
     got = {r.topic_id: r for r in render.topic_slices(turns, found, max_chars=9000).collect()}
     for t in parts:
         assert got[t.topic_id].text.endswith(text[t.char_from : t.char_to].strip()) and got[t.topic_id].truncated == 0
     assert parts[1].agent_label and parts[1].label != parts[2].label and parts[1].label.startswith("w")
-    assert topics.agent_label("```x```\n\nOkay, the user wants me to rename all of the helper functions. Then more.", 4) == "rename all of the helper functions."
+
+
+def test_statements_of_pieces(spark):
+    from colloquy.functions.text import statement_of
+
+    texts = ["```x```\n\nOkay, the user wants me to rename all of the helper functions. Then more.", "short", "", "# A **heading** of some words!\n\nNext part", "no end " * 40]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(statement_of(F.col("t"), F.col("i") + 1).alias("s")).collect()]
+    assert got == ["rename all of the helper functions.", "short", "continued (turn 3)", "A heading of some words!", ("no end " * 40)[:100].strip()]
+
+
+@pytest.mark.parametrize("max_chars,min_chars,max_topics", [(300, 80, 100), (120, 60, 2), (1000, 400, 14)])
+def test_split_topics_equal_brute_force(spark, max_chars, min_chars, max_topics):
+    rng = random.Random(max_chars)
+    rows = []
+    for s in range(12):
+        for i in range(rng.randrange(1, 30)):
+            words = rng.choice([" ", ". ", "\n"]).join(rng.choice(["abcd", "efgh error", "``` x", "the ij"]) for _ in range(rng.choice([1, 3, 10, 40, 200])))
+            tools = [{"name": "write", "input": '{"path": "f%d"}' % rng.randrange(3)}] if rng.random() < 0.2 else None
+            rows.append((f"s{s}", i, "user" if rng.random() < 0.3 else "assistant", words, i * rng.choice([1000, 10**7]), tools, 0))
+    turns = normalize.merged_turns(normalize.cleaned(spark.createDataFrame(rows, MESSAGES))).cache()
+    exchanges = topics.boundaries(topics.exchanges(turns)).collect()
+    texts = {}
+    for r in topics.with_exchange(turns).orderBy("msg_idx").collect():
+        texts.setdefault((r.session_id, r.exchange), []).append(r.text)
+    want, plain = [], 0
+    for s in sorted({r.session_id for r in exchanges}):
+        mine = [r.asDict() | {"n_files": len(r.files), "texts": texts[s, r.exchange]} for r in sorted(exchanges, key=lambda r: r.exchange) if r.session_id == s]
+        segment, sizes = 0, {}
+        for r in mine:
+            segment += r["score"] is not None and r["score"] >= 2.5
+            sizes[segment] = sizes.get(segment, 0) + r["chars"]
+        if max(sizes.values()) > max_chars:
+            want += [(s, *t) for t in split_session(mine, 2.5, max_topics, max_chars, min_chars)]
+        else:
+            plain += len(sizes)
+    found = splitting.derive_topics(turns, 2.5, max_topics, max_chars, min_chars).cache()
+    names = "session_id msg_from msg_to exchanges chars char_from char_to sub_split agent_label n_files wrote substantive code_blocks errors".split()
+    got = [tuple(r) for r in found.select(names).collect()]
+    long = {w[0] for w in want}
+    assert sorted(map(repr, (g for g in got if g[0] in long))) == sorted(map(repr, want)) and len(got) == len(want) + plain
+    capped = splitting.derive_topics(turns, 2.5, max_topics, max_chars, 0, max_pieces=2)
+    whole = {r.session_id: r.c for r in topics.exchanges(turns).groupBy("session_id").agg(F.sum("chars").alias("c")).collect()}
+    assert {r.session_id: r.c for r in capped.groupBy("session_id").agg(F.sum(F.col("chars") + F.col("cut_chars")).alias("c")).collect()} == whole
+    assert capped.agg(F.sum("cut_chars")).first()[0] > 0
+
+
+def test_files_and_tools_of_topics(spark):
+    tool = lambda *names: [{"name": n, "input": '{"path": "./%s.py"}' % n} for n in names]
+    turns = merged(spark, [("user", "one"), ("assistant", "x", None, tool("read", "write", "read")), ("user", "separately another thing"), ("assistant", "y")])
+    got = splitting.with_touched(turns, topics.topics(turns, -9)).orderBy("msg_from").collect()
+    assert [(t.files, [tuple(x) for x in t.tools]) for t in got] == [(["read.py", "write.py"], [("read", 2), ("write", 1)]), ([], [])]
 
 
 def test_plain_and_grouped_topics_agree_where_nothing_is_long(spark):
     turns = _random_sessions(spark, 8, 12).cache()
     a = topics.topics(turns, 1.97).select("session_id", "msg_from", "msg_to", "chars", F.round("interest", 9), "topic_id").collect()
-    b = topics.derive_topics(turns, 1.97, max_chars=10**6).select("session_id", "msg_from", "msg_to", "chars", F.round("interest", 9), "topic_id").collect()
+    b = splitting.derive_topics(turns, 1.97, max_chars=10**6).select("session_id", "msg_from", "msg_to", "chars", F.round("interest", 9), "topic_id").collect()
     assert sorted(a) == sorted(b)
 
 
@@ -86,7 +141,7 @@ def test_topics_do_not_depend_on_partitions(spark):
     got = []
     for n in ("2", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        got.append(sorted(map(str, topics.derive_topics(turns, 1.5, max_chars=500).collect())))
+        got.append(sorted(map(str, splitting.derive_topics(turns, 1.5, max_chars=500).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
 
@@ -157,23 +212,41 @@ def test_context_spares_tokens(spark):
     assert redact.is_random(f"see {token} now", 4, 4 + len(token))
 
 
-def test_clean_texts_stay_out_of_python(spark):
+def test_only_marked_texts_are_claimed_in(spark):
     seen = spark.sparkContext.accumulator(0)
 
     class Counting(redact.Redactor):
-        def findings(self, text, compiled):
+        def findings(self, text, compiled, kinds=None):
             seen.add(1)
-            return super().findings(text, compiled)
+            return super().findings(text, compiled, kinds)
 
     rows = spark.createDataFrame([(1, "nothing to see here"), (2, "the admin password is " + _key("Hunter", "2x9")), (3, None)], "id long, text string")
     assert [r.text for r in sorted(redact.redact_messages(rows, Counting()).collect())] == ["nothing to see here", "the admin password is [redacted:prose-secret]", None]
     assert seen.value == 1
 
 
-def test_native_prefilter_lets_every_pattern_through(spark):
-    import re
+def test_marks_let_every_pattern_through():
+    finder = redact.Marks(redact.MARKS)
+    assert set(redact.MARKS) == {p[0] for p in redact.PATTERNS}
+    for kind, text in MUST:
+        assert any(kind in finder.kinds_in(t.encode()) for t in (text, text.upper())), kind
+
+
+def test_batches_equal_claims_in_every_text():
+    rng = random.Random(4)
+    bits = [t for _, t in MUST] + ["é", "secret", "sk", "ＳＫ-", "pwd", "Token:", "= ", "\n", "plain words here ", "xo", "x", ""]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 4))) for _ in range(600)] + [None, ""]
+    array = pa.array(["skipped", *texts])[1:]  # a slice begins inside its buffers
+    for redactor in (redact.Redactor(), redact.Redactor(entropy=True), redact.Redactor().with_pattern("x", "x+", marks=("X",)), redact.Redactor().with_pattern("x", "x+")):
+        compiled = redactor.compiled()
+        got = redactor.batch(array).to_pylist()
+        want = [redactor.findings(t, compiled) if t is not None else [] for t in texts]
+        assert [[(f["start"], f["end"], f["kind"]) for f in r["findings"]] for r in got] == want
+        assert all(r["text"] == t for r, t, w in zip(got, texts, want, strict=True) if not w) and any(want)
+    data, ends = np.frombuffer(b"abcsecretxy" * 600_000, np.uint8), np.arange(1, 600_001) * 11
+    assert len(redact.Marks(redact.MARKS).suspects(data, ends)) == 600_000  # over the edges of parts
+    assert redact.Redactor().batch(pa.array([], pa.string())).to_pylist() == []
 
-    assert all(re.search(redact.PREFILTER, t) for _, t in MUST)
 
 
 def test_plan_deals_each_type_once_per_topic(spark):
