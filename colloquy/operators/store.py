@@ -1,18 +1,24 @@
 """The quiz store: Parquet tables, upserts by merge, staleness, progress.
 
-A merge keeps what isn't in the new rows by an anti-join and adds the new ones, so it shuffles on the key once; tables
-are replaced by writing beside them and renaming, for one writer at a time.
+A merge keeps what isn't in the new rows by an anti-join and adds the new ones, so it shuffles on the key once. A save writes
+the buckets that it changes, and becomes visible as a new version, all at once.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+import threading
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import turn_text
 from ..schema import ATTEMPT, COVERAGE, QUIZ
+from ..tables import hadoop
 
 GENERATOR_VERSION = "1"
 TABLES = {"quiz": QUIZ, "attempt": ATTEMPT, "coverage": COVERAGE}
@@ -106,64 +112,172 @@ def stats(quizzes: DataFrame, attempts: DataFrame) -> DataFrame:
     return a.withColumn("attempts", F.lit(attempts.count()))
 
 
+class Conflict(StoreError):
+    """Another writer has committed the version that this one would be."""
+
+
+#: Guards the creation of manifests in a local folder, whose file system can't create a file only if it is new.
+_local = threading.Lock()
+
+#: A change of a table: the keys it touches (None: all), and the new rows of their buckets, made from the present ones.
+Change = tuple[DataFrame | None, Callable[[DataFrame], DataFrame]]
+
+
 class QuizStore:
-    """Tables below a path. Each save reads, merges, writes beside and renames. One writer at a time."""
+    """Versioned tables below a path, for any number of writers.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    A version is a manifest (``log/<number>.json``) of the folders that hold each bucket of each table; buckets are by a hash
+    of quiz_id. A writer reads the newest version, writes the buckets that it changes to new folders, and creates the next
+    manifest, which succeeds for one writer only; the others plan their change again on the new version. What was
+    written for a manifest that didn't come about is deleted, and readers never see it.
+    """
 
-    def table(self, name: str) -> DataFrame:
-        if not self._fs.exists(self._path(f"{self.path}/{name}")):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, tries: int = 20):
+        self.spark, self.path, self.buckets, self.tries = spark, path.rstrip("/"), buckets, tries
+        self._fs, _ = hadoop(spark, self.path)
+
+    def _at(self, *names: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
+    def _names(self, *names: str) -> list[str]:
+        at = self._at(*names)
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def version(self) -> int:
+        """The number of the newest version; 0 for an empty store."""
+        return max((int(n.split(".")[0]) for n in self._names("log") if n.endswith(".json")), default=0)
+
+    def manifest(self, version: int | None = None) -> dict:
+        version = self.version() if version is None else version
+        if not version:
+            return {"buckets": self.buckets, "tables": {name: {} for name in TABLES}}
+        stream = self._fs.open(self._at("log", f"{version:020d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self._rows(self.manifest(version), name)
+
+    def _rows(self, manifest: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{folder}" for bucket, folder in sorted(manifest["tables"][name].items()) if buckets is None or int(bucket) in buckets]
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return evolved(self.spark.read.parquet(f"{self.path}/{name}"), {f.name: F.lit(None).cast(f.dataType) for f in TABLES[name]}).select(TABLES[name].names)
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        staged = f"{self.path}/.{name}-{uuid.uuid4().hex}"
-        rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.parquet(staged)
-        self._fs.delete(self._path(f"{self.path}/{name}"), True)
-        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/{name}")):
-            raise StoreError(f"{name} couldn't be replaced; the new rows are in {staged}")
+        held = self.spark.read.option("mergeSchema", "true").parquet(*folders)
+        return evolved(held, {f.name: F.lit(None).cast(f.dataType) for f in TABLES[name]}).select(TABLES[name].names)
+
+    def commit(self, plan: Callable[[Callable[[str], DataFrame]], dict[str, Change]]) -> int:
+        """Makes a change part of the store and returns its version. plan gets the tables of the version that it changes, and
+        is asked again after a conflict."""
+        for _ in range(self.tries):
+            version = self.version()
+            now = self.manifest(version)
+            token = uuid.uuid4().hex
+            try:
+                tables = {name: dict(held) for name, held in now["tables"].items()}
+                for name, (keys, merged) in plan(lambda name, m=now: self._rows(m, name)).items():
+                    touched = self._touched(keys, now["buckets"])
+                    rows = merged(self._rows(now, name, touched))
+                    written = self._write(name, rows, token, now["buckets"])
+                    tables[name] = {b: f for b, f in tables[name].items() if touched is not None and int(b) not in touched} | written
+                self._publish(version + 1, now | {"tables": tables})
+                return version + 1
+            except Conflict:
+                self._discard(token)
+            except BaseException:
+                self._discard(token)
+                raise
+        raise StoreError(f"no version could be committed in {self.tries} tries")
+
+    def _touched(self, keys: DataFrame | None, buckets: int) -> set[int] | None:
+        if keys is None:
+            return None
+        return {r[0] for r in keys.select(F.pmod(F.xxhash64("quiz_id"), F.lit(buckets)).cast("int")).distinct().collect()}
+
+    def _write(self, name: str, rows: DataFrame, token: str, buckets: int) -> dict[str, str]:
+        folder = f"data/{name}/{token}"
+        typed = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+        typed.withColumn("_bucket", F.pmod(F.xxhash64("quiz_id"), F.lit(buckets)).cast("int")).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("_bucket=")}
+
+    def _publish(self, version: int, manifest: dict) -> None:
+        at = self._at("log", f"{version:020d}.json")
+        with _local if self._fs.getScheme() == "file" else contextlib.nullcontext():
+            try:
+                stream = self._fs.create(at, False)
+            except Py4JJavaError as error:
+                if self._fs.exists(at):
+                    raise Conflict(f"version {version} exists") from error
+                raise
+            stream.write(json.dumps(manifest).encode())
+            stream.close()
+
+    def _discard(self, token: str) -> None:
+        for name in TABLES:
+            self._fs.delete(self._at("data", name, token), True)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes what no one of the last versions holds; how many folders went. Not while a writer is at work."""
+        newest = self.version()
+        held = {f.split("/")[2] for v in range(max(1, newest - keep + 1), newest + 1) for t in self.manifest(v)["tables"].values() for f in t.values()}
+        gone = [(name, token) for name in TABLES for token in self._names("data", name) if token not in held]
+        for name, token in gone:
+            self._fs.delete(self._at("data", name, token), True)
+        for v in range(1, newest - keep + 1):
+            self._fs.delete(self._at("log", f"{v:020d}.json"), False)
+        return len(gone)
 
     def save(self, quizzes: DataFrame, coverage: DataFrame, keep_progress: bool = False) -> None:
-        """Upserts quizzes, replaces their coverage and, unless kept, clears the progress of those that existed."""
-        if quizzes.where("coalesce(questions, '[]') = '[]' and coalesce(flashcards, '[]') = '[]'").limit(1).count():
+        """Upserts quizzes, replaces their coverage and, unless kept, clears the progress of those that existed, all in one version."""
+        if not quizzes.where("coalesce(questions, '[]') = '[]' and coalesce(flashcards, '[]') = '[]'").isEmpty():
             raise StoreError("an empty quiz isn't saved")
-        self.replace("quiz", upsert(self.table("quiz"), quizzes, "quiz_id", REPLACED))
-        self.replace("coverage", replace_group(self.table("coverage"), coverage, "quiz_id"))
+        changes: dict[str, Change] = {
+            "quiz": (quizzes, lambda old: upsert(old, quizzes, "quiz_id", REPLACED)),
+            "coverage": (coverage, lambda old: replace_group(old, coverage, "quiz_id")),
+        }
         if not keep_progress:
-            self.clear_progress(quizzes.select("quiz_id"))
+            changes["attempt"] = (quizzes, lambda old: _cleared(old, quizzes))
+        self.commit(lambda _: changes)
 
-    def _known(self, rows: DataFrame) -> None:
-        missing = rows.join(self.table("quiz"), "quiz_id", "left_anti").select("quiz_id").first()
+    def _known(self, rows: DataFrame, quizzes: DataFrame) -> None:
+        missing = rows.join(quizzes, "quiz_id", "left_anti").select("quiz_id").first()
         if missing:
             raise StoreError(f"no quiz {missing[0]}")
 
     def save_progress(self, rows: DataFrame) -> None:
         """rows: attempt columns, one per quiz. A known attempt keeps its id, start and score."""
-        self._known(rows)
-        self.replace("attempt", upsert(latest_attempts(self.table("attempt")), rows.select(ATTEMPT.names), "quiz_id", ("position", "answers", "results", "updated_at")).select(ATTEMPT.names))
+        self._progress(rows.select(ATTEMPT.names), ("position", "answers", "results", "updated_at"))
 
     def finish(self, rows: DataFrame) -> None:
         """Keeps the score and resets the position: coming back begins afresh."""
-        self._known(rows)
-        done = rows.select(ATTEMPT.names).withColumns({"position": F.lit(0), "answers": F.lit("{}"), "results": F.lit(None).cast("string")})
-        self.replace("attempt", upsert(latest_attempts(self.table("attempt")), done, "quiz_id", ("position", "answers", "results", "score", "max_score", "completed_at", "updated_at")).select(ATTEMPT.names))
+        self._progress(_reset(rows.select(ATTEMPT.names)), ("position", "answers", "results", "score", "max_score", "completed_at", "updated_at"))
+
+    def _progress(self, rows: DataFrame, replaced: tuple[str, ...]) -> None:
+        def plan(table: Callable[[str], DataFrame]) -> dict[str, Change]:
+            self._known(rows, table("quiz"))
+            return {"attempt": (rows, lambda old: upsert(latest_attempts(old), rows, "quiz_id", replaced).select(ATTEMPT.names))}
+
+        self.commit(plan)
 
     def clear_progress(self, quizzes: DataFrame) -> None:
-        attempts = self.table("attempt")
-        mine = attempts.join(quizzes.select("quiz_id").distinct(), "quiz_id", "left_semi").withColumns({"position": F.lit(0), "answers": F.lit("{}"), "results": F.lit(None).cast("string")})
-        self.replace("attempt", replace_group(attempts, mine, "quiz_id"))
+        self.commit(lambda _: {"attempt": (quizzes, lambda old: _cleared(old, quizzes))})
 
     def delete(self, quizzes: DataFrame) -> None:
         """Quizzes with their attempts and coverage."""
-        for name in ("attempt", "coverage", "quiz"):
-            self.replace(name, delete_keys(self.table(name), quizzes, "quiz_id"))
+        self.commit(lambda _: {name: (quizzes, lambda old: delete_keys(old, quizzes, "quiz_id")) for name in ("attempt", "coverage", "quiz")})
 
     def clear(self) -> int:
+        """Empties the store; how many quizzes there were."""
         n = self.table("quiz").count()
-        for name in TABLES:
-            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        self.commit(lambda _: {name: (None, lambda old: old.limit(0)) for name in TABLES})
         return n
+
+
+def _reset(attempts: DataFrame) -> DataFrame:
+    return attempts.withColumns({"position": F.lit(0), "answers": F.lit("{}"), "results": F.lit(None).cast("string")})
+
+
+def _cleared(attempts: DataFrame, quizzes: DataFrame) -> DataFrame:
+    mine = attempts.join(quizzes.select("quiz_id").distinct(), "quiz_id", "left_semi")
+    return replace_group(attempts, _reset(mine), "quiz_id")

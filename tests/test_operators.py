@@ -1,4 +1,6 @@
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -344,3 +346,55 @@ def test_reports(spark):
     named = sessions.withColumnsRenamed({"session_id": "title"})
     assert reports.search(named, " S1 ", ("title",)).count() == 1 and reports.search(named, "  ", ("title",)).count() == 3
     assert [(r.harness, r.size) for r in reports.grouped(sessions).collect()] == [("a", 2), ("c", 1)]
+
+
+def _quiz(spark, *ids, title="T"):
+    columns = {"session_id": F.lit("s"), "title": F.lit(title), "questions": F.lit('[{"q": 1}]'), "created_at": F.lit(1).cast("long")}
+    rows = spark.createDataFrame([(i,) for i in ids], "quiz_id string")
+    return rows.select([columns.get(f.name, F.col("quiz_id") if f.name == "quiz_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in store.QUIZ])
+
+
+def test_concurrent_saves_lose_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], store.COVERAGE)
+    both = threading.Barrier(2)
+    conflicts = []
+
+    class Slow(store.QuizStore):
+        """Both writers have read the same version before either publishes."""
+
+        first = True
+
+        def _publish(self, version, manifest):
+            if self.first:
+                self.first = False
+                both.wait(60)
+            try:
+                super()._publish(version, manifest)
+            except store.Conflict:
+                conflicts.append(version)
+                raise
+
+    stores = [Slow(spark, str(tmp_path / "store"), buckets=4) for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: stores[k].save(_quiz(spark, f"q{k}", "shared", title=f"by {k}"), none), range(2)))
+    st = stores[0]
+    assert sorted(r.quiz_id for r in st.table("quiz").collect()) == ["q0", "q1", "shared"] and conflicts == [1] and st.version() == 2
+    first = st.table("quiz", 1)
+    assert first.count() == 2 and st.table("quiz").where("quiz_id = 'shared'").first().title == first.where("quiz_id = 'shared'").first().title
+
+
+def test_failed_writes_leave_the_old_version_and_saves_write_changed_buckets_only(spark, tmp_path):
+    none = spark.createDataFrame([], store.COVERAGE)
+    st = store.QuizStore(spark, str(tmp_path / "store"), buckets=8)
+    st.save(_quiz(spark, *(f"q{i}" for i in range(40))), none)
+    before = st.manifest()
+    with pytest.raises(Exception, match="broken"):
+        st.commit(lambda table: {"quiz": (None, lambda old: old.withColumn("title", F.when(F.col("quiz_id") == "q7", F.raise_error(F.lit("broken"))).otherwise("new")))})
+    assert st.manifest() == before and st.table("quiz").where("title <> 'T'").isEmpty()
+    assert {f.name for f in (tmp_path / "store/data/quiz").iterdir()} == {f.split("/")[2] for f in before["tables"]["quiz"].values()}
+    st.save(_quiz(spark, "q7", title="kept"), none, keep_progress=True)
+    after = st.manifest()["tables"]["quiz"]
+    assert sum(after[b] != f for b, f in before["tables"]["quiz"].items()) == 1 and st.table("quiz").count() == 40
+    st.delete(_quiz(spark, *(f"q{i}" for i in range(39))))
+    assert [r.quiz_id for r in st.table("quiz").collect()] == ["q39"] and st.table("quiz", 1).count() == 40
+    assert st.vacuum(keep=1) > 0 and st.clear() == 1 and st.table("quiz").isEmpty() and st.version() == 4
