@@ -40,10 +40,10 @@ def _put(node, key, value) -> None:
         raise ValueError("no container")
 
 
-def fold(operations: list[dict]):
+def fold(operations: list[dict], document=None, begun: bool = False):
     """The document after all operations: Initial replaces it, Set creates what is missing on its way, Push cuts an array
-    to ``i`` and appends, Delete leaves a hole. Malformed operations are skipped; without an Initial there is none."""
-    document, begun = None, False
+    to ``i`` and appends, Delete leaves a hole. Malformed operations are skipped; without an Initial there is none. With a
+    document that has begun, the fold goes on from there (and changes it)."""
     for op in operations:
         try:
             kind, path, value = op["kind"], op.get("k") or [], op.get("v")
