@@ -328,13 +328,14 @@ def spelling_forms(words: DataFrame) -> DataFrame:
     return formed.join(chain, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root"))
 
 
-def canonical(docs: DataFrame, forms: DataFrame, text_col: str = "text", word_col: str = "word") -> DataFrame:
-    """(the columns of docs, word_col, ``root``): one row per distinct word of a text, with the root of its group.
+def canonical(docs: DataFrame, forms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(the columns of docs, ``_word``, ``_root``): one row per distinct word of a text, with the root of its group.
 
-    Words that the vocabulary lacks are their own roots; null texts have no rows; a clashing column is not overwritten.
+    Words that the vocabulary lacks are their own roots; null texts have no rows, repeated rows have their own; names that
+    docs has already get more underscores.
     """
-    word, root = unused([c for c in docs.columns], word_col, "root")
+    word, root = unused(docs.columns, "word", "root")
     lowered = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = docs.withColumn(word, F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit("([a-zÀ-ÿ]+)"), 1))))
     known = forms.where("form is not null").select(F.col("word").alias(word), F.col("root").alias(root))
-    return split.join(known, word, "left").withColumn(root, F.coalesce(root, word))
+    return split.join(known, word, "left").withColumn(root, F.coalesce(root, word)).select(*docs.columns, word, root)
