@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from .shared import Scratch, raw, released, stored
+from .shared import Scratch, raw, released, stored, unused
 
 U64 = np.uint64
 SKETCH_BITS = 21
@@ -543,17 +543,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     by itself. The row with the smallest id stays, a null one only if there is no other (of one id's texts that with the
     smallest hash); of rows that repeat id and text, one.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    found = jaccard_components(keyed, "_key", text_col, size, percent)
-    keys = found.groupBy("_key").agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("rows"))
-    named = keyed.select("_key", F.col(id_col).cast("long").alias("id")).distinct()
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_key", "rows")).alias("first")
-    ones = keys.where("n > 0").join(named, "_key").groupBy("component").agg(first).select("first._key", "first.rows")
-    kept = stored(ones.unionAll(keys.where("n = 0").select("_key", F.lit(1).cast("long").alias("rows"))), "kept-keys")
-    out = keyed.join(kept.where("rows = 1").select("_key"), "_key", "left_semi").select(*docs.columns)
-    repeated = kept.where("rows > 1").select("_key")
+    (key,) = unused(docs.columns, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = jaccard_components(keyed, key, text_col, size, percent)
+    keys = found.groupBy(key).agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    named = keyed.select(key, F.col(id_col).cast("long").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", key, "rows")).alias("first")
+    ones = keys.where("n > 0").join(named, key).groupBy("component").agg(first).select(f"first.{key}", "first.rows")
+    kept = stored(ones.unionAll(keys.where("n = 0").select(key, F.lit(1).cast("long").alias("rows"))), "kept-keys")
+    out = keyed.join(kept.where("rows = 1").select(key), key, "left_semi").select(*docs.columns)
+    repeated = kept.where("rows > 1").select(key)
     if repeated.limit(1).count() == 0:
         return out
     row = F.struct(*docs.columns)
-    one = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    one = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
     return out.unionAll(one.select("row.*"))

@@ -185,14 +185,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 25)
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows, those with the smallest id hashes (ids alone are sorted)."""
-    ids = rows.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(most).select("id")
-    return rows.join(F.broadcast(ids), "id", "left_semi")
+    """At most so many rows, those with the smallest hashes of id and text (only hashes are sorted); of rows that repeat both, one."""
+    keyed = rows.withColumn("h", F.xxhash64("id", "text"))
+    least = keyed.select("h").distinct().orderBy("h").limit(most)
+    return keyed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).drop("h")
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from rows (id, text, toxic): at most sample_docs of them. No rows, or rows of one class, give a model too."""
-    rows = _sample(labelled.where("toxic is not null and id is not null"), sample_docs).persist()
+    """A model from rows (id, text, toxic): at most sample_docs of them. Rows without an id and labels other than 0 and 1 are
+    left out; no rows, or rows of one class, give a model too."""
+    rows = _sample(labelled.where("toxic in (0, 1) and id is not null"), sample_docs).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}

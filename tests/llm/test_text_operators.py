@@ -192,6 +192,13 @@ def test_keep_one_tells_rows_apart(spark):
     assert [(r.doc_id, r.text) for r in jaccard.keep_one(docs(spark, [(4, text("g")), (4, text("g", " y"))])).collect()] in ([(4, text("g"))], [(4, text("g", " y"))])
 
 
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, same, "mine", "A"), (2, same, "yours", "B"), (3, "x", None, None), (3, "x", None, None)], "doc_id long, text string, _key string, `Key` string")
+    got = jaccard.keep_one(rows)
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, same, "mine", "A"), (3, "x", None, None)], key=str)
+
+
 STEMS = {"aa": ["the", "and", "thing", "other", "with"], "bb": ["der", "und", "schön", "nicht", "über"], "cc": ["que", "las", "niño", "más", "pero"]}
 
 
@@ -240,6 +247,10 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(odd) == 3 and all(0 <= r.score < 0.5 for r in odd)
     for few in (frame.limit(0), frame.where("toxic = 0"), frame.where("toxic = 1")):
         assert toxicity.score(frame.limit(3), toxicity.fit(few)).count() == 3
+    # Labels other than 0 and 1 are left out, and the sample is bounded by rows even where ids repeat.
+    other = toxicity.fit(frame.where("id % 5 <> 0").unionAll(frame.select("id", "text", (F.col("toxic") + 2).alias("toxic"))).unionAll(frame.select("id", "text", F.lit(-1).alias("toxic"))))
+    assert (other.weights == model.weights).all() and other.bias == model.bias
+    assert toxicity._sample(frame.select(F.lit(7).alias("id"), "text", "toxic"), 50).count() == 50
 
 
 def test_label_model_ranks_voters():
