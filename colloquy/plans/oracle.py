@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOPWORDS
+from ..operators.redact import SECRET_WORDS
 from ..operators.topics import ERRORS, TRANSITION
 
 #: White space that trimming takes off, as RE2 spells it.
@@ -223,4 +224,11 @@ SELECT coalesce(c_custkey, quiz_id) AS quiz_id, coalesce(c_name, title) AS title
     out["clipped_texts"] = f"SELECT doc_id, {_clip('text', 200)} AS head, {_clip('text', 500, True)} AS counted FROM documents"
     out["grouped_sessions"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents)
 SELECT source AS harness, count(*) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS newest FROM r GROUP BY source"""
-    return out
+    # The given texts have secrets of one kind: quoted values behind a name of a secret.
+    named = rf"""(^|[^A-Za-z])((?i:{SECRET_WORDS})\s*[:=]\s*")[^"\n\r]{{6,512}}(")"""
+    found = f"len(regexp_extract_all(text, '{_quote(named)}'))"
+    out["redacted_text"] = f"""SELECT doc_id, {found}::BIGINT AS findings, regexp_replace(text, '{_quote(named)}', '\\1\\2[redacted:labelled-secret]\\3', 'g') AS text FROM documents WHERE {found} > 0"""
+    out["redaction_report"] = f"""SELECT source, 'labelled-secret' AS kind, sum({found})::BIGINT AS findings FROM documents GROUP BY source HAVING sum({found}) > 0"""
+    from . import readers  # which takes helpers from here
+
+    return out | readers.oracle_sql()
