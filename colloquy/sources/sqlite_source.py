@@ -1,8 +1,9 @@
-"""A Spark data source for SQLite stores: one partition per file, opened read-only.
+"""A Spark data source for SQLite stores, opened read-only: a partition per range of row ids of a file's table, so a large
+database is read by many tasks; as a stream, the rows behind the largest row id seen.
 
 Rows are (path, tbl, kind, session, pos, role, payload, ts): for key-value stores the rows whose key begins
 ``bubbleId:``, for others those of the table that looks most like messages. Text and roles are made of them by Spark
-expressions, see ``messages``. ``.sql`` scripts are run into a database in memory first.
+expressions, see ``messages``. ``.sql`` scripts are run into a database in memory first, each in one task. pos is the row id, or the place in a view.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition, StringStartsWith
 
 from ..functions.roles import epoch_ms
 from .content import parts_of
@@ -30,27 +31,97 @@ LEAST_SCORE = 2
 SCHEMA = "path string, tbl string, kind string, session string, pos long, role string, payload string, ts string"
 
 
+#: Row ids that one task reads.
+RANGE = 200_000
+
+
 class SqliteSource(DataSource):
+    """Options: ``paths`` (one per line), ``keyPrefix``, ``range`` and ``columns`` (comma-separated; only these are read)."""
+
     @classmethod
     def name(cls) -> str:
         return "sqlite_store"
 
     def schema(self) -> str:
-        return SCHEMA
+        wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        fields = {f.split()[0]: f for f in SCHEMA.split(", ")}
+        return ", ".join(fields[c] for c in wanted) if wanted else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options.get("paths", "").split("\n"), self.options.get("keyPrefix", KEY_PREFIX))
+        return SqliteReader(self.options, schema.names)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return SqliteStreamReader(self.options, schema.names)
+
+
+class Rows(InputPartition):
+    """Rows of a table with low < row id <= high; a table without row ids, or a script, as a whole (high is None)."""
 
+    def __init__(self, path: str, table: str | None = None, kind: str | None = None, low: int = 0, high: int | None = None):
+        self.path, self.table, self.kind, self.low, self.high = path, table, kind, low, high
 
-class File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
 
+class _Stores:
+    """What batch and stream readers share: finding tables, cutting them into ranges, reading one."""
+
+    def __init__(self, options: dict[str, str], names: list[str]):
+        self.paths = [p for p in options.get("paths", "").split("\n") if p]
+        self.prefix, self.range, self.names = options.get("keyPrefix", KEY_PREFIX), int(options.get("range", RANGE)), names
+        self.kind: str | None = None
+        self.session_prefix: str | None = None
+
+    def chosen(self, db: sqlite3.Connection) -> list[tuple[str, str]]:
+        """(table, kind): the key-value tables with such keys, else the table that looks most like messages."""
+        found = tables(db)
+        keyed = [(t, "kv") for t, columns in found.items() if key_column(t, columns) and next(key_value_rows(db, "", t, columns, self.prefix), None)]
+        if keyed:
+            return keyed
+        best = max(found, key=lambda t: score(t, found[t]), default=None)
+        return [(best, "table")] if best is not None and score(best, found[best]) >= LEAST_SCORE else []
+
+    def last_row(self, db: sqlite3.Connection, table: str) -> int | None:
+        try:
+            return db.execute(f"SELECT coalesce(max(rowid), 0) FROM {_quoted(table)}").fetchone()[0]
+        except sqlite3.Error:
+            return None  # a view, or a table without row ids
+
+    def ranges(self, path: str, low: dict[str, int] | None = None) -> Iterator[tuple[Rows, int | None]]:
+        """The ranges of a store behind these row ids by table, and each table's last row id."""
+        if path.endswith(".sql"):
+            yield Rows(path), None
+            return
+        db = opened(path)
+        if db is None:
+            return
+        try:
+            for table, kind in self.chosen(db):
+                last = self.last_row(db, table)
+                if self.kind not in (None, kind):
+                    continue
+                if last is None:
+                    yield Rows(path, table, kind), None
+                    continue
+                for at in range((low or {}).get(table, 0), last, self.range):
+                    yield Rows(path, table, kind, at, min(last, at + self.range)), last
+        finally:
+            db.close()
+
+    def rows(self, part: Rows) -> Iterator[tuple]:
+        db = opened(part.path)
+        if db is None:
+            return
+        try:
+            for table, kind in [(part.table, part.kind)] if part.table else self.chosen(db):
+                columns = tables(db).get(table, [])
+                if self.kind in (None, kind):
+                    found = key_value_rows(db, part.path, table, columns, self.prefix + (self.session_prefix or ""), part.low, part.high, self.names) if kind == "kv" else table_rows(db, part.path, table, columns, part.low, part.high, self.names)
+                    for row in found:
+                        yield tuple(row[n] for n in self.names)
+        finally:
+            db.close()
 
-class SqliteReader(DataSourceReader):
-    def __init__(self, paths: list[str], prefix: str):
-        self.paths, self.prefix, self.kind, self.session_prefix = [p for p in paths if p], prefix, None, None
 
+class SqliteReader(_Stores, DataSourceReader):
     def pushFilters(self, filters: list) -> Iterator:
         """Filters on the kind and on a session's prefix are taken over; the rest is Spark's."""
         for f in filters:
@@ -62,23 +133,39 @@ class SqliteReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[File]:
-        return [File(p) for p in self.paths]
+    def partitions(self) -> list[Rows]:
+        return [part for path in self.paths for part, _ in self.ranges(path)] or [Rows("")]
 
-    def read(self, partition: File | None) -> Iterator[tuple]:
-        db = opened(partition.path) if partition else None  # without paths Spark asks for one partition all the same
-        if db is None:
-            return
-        try:
-            found = False
-            for row in key_value_rows(db, partition.path, self.prefix + (self.session_prefix or "")):
-                found = True
-                if self.kind in (None, "kv"):
-                    yield row
-            if not found and self.kind in (None, "table"):
-                yield from table_rows(db, partition.path)
-        finally:
-            db.close()
+    def read(self, partition: Rows | None) -> Iterator[tuple]:
+        if partition and partition.path:
+            yield from self.rows(partition)
+
+
+class SqliteStreamReader(_Stores, DataSourceStreamReader):
+    """Offsets are the last row id of each table of each store. Scripts and tables without row ids aren't streamed."""
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        out: dict[str, dict[str, int]] = {}
+        for path in self.paths:
+            for part, last in self.ranges(path):
+                if last is not None:
+                    out.setdefault(path, {})[part.table] = last
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Rows]:
+        out = []
+        for path, lasts in end.items():
+            for part, _ in self.ranges(path, start.get(path)):
+                if part.high is not None and part.low < lasts.get(part.table, 0):
+                    part.high = min(part.high, lasts[part.table])  # rows that came after the offset was taken are the next batch's
+                    out.append(part)
+        return out
+
+    def read(self, partition: Rows) -> Iterator[tuple]:
+        return self.rows(partition)
 
 
 def opened(path: str) -> sqlite3.Connection | None:
@@ -109,16 +196,30 @@ def _text(x) -> str | None:
     return x.decode("utf-8", "replace") if isinstance(x, bytes) else None if x is None else str(x)
 
 
-def key_value_rows(db: sqlite3.Connection, path: str, prefix: str) -> Iterator[tuple]:
-    """The rows of key-value tables whose key begins so; the session is the key's second part."""
-    for table, columns in tables(db).items():
-        key = "key" if "key" in columns else next((c for c in columns if "key" in c.lower()), None)
-        if not re.search("kv|itemtable", table, re.IGNORECASE) or "value" not in columns or not key:
-            continue
-        end = prefix[:-1] + chr(ord(prefix[-1]) + 1)
-        query = f"SELECT {_quoted(key)}, value FROM {_quoted(table)} WHERE {_quoted(key)} >= ? AND {_quoted(key)} < ? ORDER BY rowid"
-        for pos, (k, value) in enumerate(db.execute(query, (prefix, end))):
-            yield (path, table, "kv", (_text(k).split(":") + [""])[1] or "cursor", pos, None, _text(value), None)
+def key_column(table: str, columns: list[str]) -> str | None:
+    """The key of a key-value table; None for other tables."""
+    if not re.search("kv|itemtable", table, re.IGNORECASE) or "value" not in columns:
+        return None
+    return "key" if "key" in columns else next((c for c in columns if "key" in c.lower()), None)
+
+
+def _select(db: sqlite3.Connection, table: str, expressions: list[str], where: list[str], values: list, low: int, high: int | None) -> Iterator[tuple]:
+    """(pos, values...): by row id in a range, or all of a table without row ids, counted."""
+    if high is not None:
+        yield from db.execute(f"SELECT rowid, {', '.join(expressions)} FROM {_quoted(table)} WHERE {' AND '.join(['rowid > ? AND rowid <= ?', *where])} ORDER BY rowid", (low, high, *values))
+        return
+    condition = f" WHERE {' AND '.join(where)}" if where else ""
+    for pos, row in enumerate(db.execute(f"SELECT {', '.join(expressions)} FROM {_quoted(table)}{condition}", values)):
+        yield (pos, *row)
+
+
+def key_value_rows(db: sqlite3.Connection, path: str, table: str, columns: list[str], prefix: str, low: int = 0, high: int | None = None, names: list[str] | None = None) -> Iterator[dict]:
+    """The rows of a key-value table whose key begins so; the session is the key's second part."""
+    key = _quoted(key_column(table, columns))
+    end = prefix[:-1] + chr(ord(prefix[-1]) + 1)
+    value = "value" if names is None or "payload" in names else "NULL"
+    for pos, k, v_ in _select(db, table, [key, value], [f"{key} >= ?", f"{key} < ?"], [prefix, end], low, high):
+        yield {"path": path, "tbl": table, "kind": "kv", "session": (_text(k).split(":") + [""])[1] or "cursor", "pos": pos, "role": None, "payload": _text(v_), "ts": None}
 
 
 def score(table: str, columns: list[str]) -> int:
@@ -128,26 +229,28 @@ def score(table: str, columns: list[str]) -> int:
     return 2 * any(c in columns for c in ROLE_COLS) + any(c in columns for c in ID_COLS) + 3 * ("message" in table.lower())
 
 
-def table_rows(db: sqlite3.Connection, path: str) -> Iterator[tuple]:
-    """All rows of the table with the best score; of equals the first."""
-    found = tables(db)
-    best = max(found, key=lambda t: score(t, found[t]), default=None)
-    if best is None or score(best, found[best]) < LEAST_SCORE:
-        return
-    columns = found[best]
-    pick = lambda names: next((c for c in names if c in columns), None)
-    role, session, ts = pick(ROLE_COLS), pick(ID_COLS), pick(TS_COLS)
-    texts = [c for c in TEXT_COLS if c in columns and c != role]
+def table_rows(db: sqlite3.Connection, path: str, table: str, columns: list[str], low: int = 0, high: int | None = None, names: list[str] | None = None) -> Iterator[dict]:
+    """The rows of a table of messages; the payload is the first text that isn't empty."""
+    pick = lambda known, name: next((c for c in known if c in columns), None) if names is None or name in names else None
+    role, session, ts = pick(ROLE_COLS, "role"), pick(ID_COLS, "session"), pick(TS_COLS, "ts")
+    spoken = next((c for c in ROLE_COLS if c in columns), None)
+    texts = [c for c in TEXT_COLS if c in columns and c != spoken] if names is None or "payload" in names else []
     wanted = [_quoted(c) if c else "NULL" for c in (session, role, ts)] + [_quoted(c) for c in texts]
-    for pos, row in enumerate(db.execute(f"SELECT {', '.join(wanted)} FROM {_quoted(best)}")):
+    for pos, *row in _select(db, table, wanted, [], [], low, high):
         payload = next((t for t in map(_text, row[3:]) if t), None)
-        yield (path, best, "table", _text(row[0]) if session else "default", pos, _text(row[1]), payload, _text(row[2]))
+        yield {"path": path, "tbl": table, "kind": "table", "session": _text(row[0]) if session else "default", "pos": pos, "role": _text(row[1]), "payload": payload, "ts": _text(row[2])}
 
 
-def read_sqlite(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_sqlite(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
     spark.dataSource.register(SqliteSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters over
-    return spark.read.format("sqlite_store").option("paths", "\n".join(paths)).load()
+    return spark.read.format("sqlite_store").options(**options).option("paths", "\n".join(paths)).load()
+
+
+def stream_sqlite(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    """The rows of stores as they are added: messages() takes them."""
+    spark.dataSource.register(SqliteSource)
+    return spark.readStream.format("sqlite_store").options(**options).option("paths", "\n".join(paths)).load()
 
 
 def messages(rows: DataFrame) -> DataFrame:

@@ -152,3 +152,44 @@ def test_key_prefix_is_pushed(spark, tmp_path):
     rows = sqlite_source.read_sqlite(spark, [str(tmp_path / "s.vscdb")])
     assert sorted(r.session for r in rows.where("session like 'a%'").collect()) == ["aa", "ab"]
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_sqlite_is_read_in_ranges_and_only_where_asked(spark, tmp_path):
+    path = str(tmp_path / "big.db")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE messages(session_id TEXT, role TEXT, content TEXT, body TEXT, created_at INTEGER)")
+    db.executemany("INSERT INTO messages VALUES (?, 'user', ?, 'b', 1)", [(f"s{i % 7}", f"text {i}" if i % 3 else "") for i in range(1000)])
+    db.execute("DELETE FROM messages WHERE rowid % 10 = 0")
+    db.execute("CREATE VIEW talk AS SELECT 1 AS x")
+    db.commit()
+    whole = sqlite_source.read_sqlite(spark, [path])
+    split = sqlite_source.read_sqlite(spark, [path], range="64")
+    assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() == 16
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect())) and whole.count() == 900
+    reader = sqlite_source.SqliteReader({"paths": path, "range": "64"}, ["pos", "payload"])
+    read = [len(list(reader.read(p))) for p in reader.partitions()]
+    assert sum(read) == 900 and max(read) <= 64
+    narrow = sqlite_source.read_sqlite(spark, [path], columns="session,pos")
+    assert narrow.columns == ["session", "pos"] and sorted(map(tuple, narrow.collect())) == sorted((r.session, r.pos) for r in whole.collect())
+    asked = []
+    db.set_trace_callback(asked.append)
+    list(sqlite_source.table_rows(db, path, "messages", sqlite_source.tables(db)["messages"], 0, 10, ["session", "pos"]))
+    assert "content" not in asked[-1] and "session_id" in asked[-1]
+    db.set_trace_callback(None)
+    db.executescript("DROP TABLE messages; CREATE TABLE keys(id TEXT PRIMARY KEY, role TEXT, text TEXT) WITHOUT ROWID; INSERT INTO keys VALUES ('a', 'user', 'no row ids')")
+    db.close()
+    assert [(r.pos, r.payload) for r in sqlite_source.read_sqlite(spark, [path], range="1").collect()] == [(0, "no row ids")]
+
+
+def test_sqlite_stream_goes_on_behind_the_last_row(spark, tmp_path):
+    path, out = str(tmp_path / "grow.db"), str(tmp_path / "out")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE messages(session_id TEXT, role TEXT, content TEXT)")
+    for k, n in enumerate((5, 0, 12)):
+        db.executemany("INSERT INTO messages VALUES ('s', 'user', ?)", [(f"{k}.{i}",) for i in range(n)])
+        db.commit()
+        stream = sqlite_source.stream_sqlite(spark, [path], range="4").writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").trigger(availableNow=True)
+        stream.start(out).awaitTermination(60)
+    db.close()
+    got = spark.read.parquet(out).orderBy("pos").collect()
+    assert [(r.pos, r.payload) for r in got] == list(enumerate([f"0.{i}" for i in range(5)] + [f"2.{i}" for i in range(12)], 1))
