@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -185,10 +185,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 25)
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows, those with the smallest hashes of id and text (only hashes are sorted); of rows that repeat both, one."""
-    keyed = rows.withColumn("h", F.xxhash64("id", "text"))
-    least = keyed.select("h").distinct().orderBy("h").limit(most)
-    return keyed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).drop("h")
+    """At most so many rows: those of the smallest id hashes (ids alone are sorted), an id with all its rows or none."""
+    ids = rows.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.xxhash64("id"), "id").limit(most)
+    room = F.sum("n").over(Window.orderBy("n", F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)) <= most  # of at most so many ids
+    return rows.join(F.broadcast(ids.withColumn("room", room).where("room").select("id")), "id", "left_semi")
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:

@@ -250,7 +250,9 @@ def test_toxicity_on_held_out_texts(spark):
     # Labels other than 0 and 1 are left out, and the sample is bounded by rows even where ids repeat.
     other = toxicity.fit(frame.where("id % 5 <> 0").unionAll(frame.select("id", "text", (F.col("toxic") + 2).alias("toxic"))).unionAll(frame.select("id", "text", F.lit(-1).alias("toxic"))))
     assert (other.weights == model.weights).all() and other.bias == model.bias
-    assert toxicity._sample(frame.select(F.lit(7).alias("id"), "text", "toxic"), 50).count() == 50
+    assert toxicity._sample(frame, 50).count() == 50
+    many = frame.limit(3).unionAll(spark.createDataFrame([(1000, f"again {i}", 0) for i in range(200)], "id long, text string, toxic int"))
+    assert sorted(r.id == 1000 for r in toxicity._sample(many, 100).collect()) == [False] * 3
 
 
 def test_label_model_ranks_voters():
