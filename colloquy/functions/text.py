@@ -79,14 +79,23 @@ def clip(text: Column, most, counted: bool = False) -> Column:
     return F.when(F.length(text) > most, F.concat(strip_end(F.substr(text, F.lit(1), most)), tail)).otherwise(text)
 
 
-def clip_middle(text: Column, most: int, head_share: float = 0.62) -> Column:
-    """Head and tail of a long text with a marker of what went between; 64 characters are kept for the marker."""
+def middle_cut(most: int, head_share: float = 0.62) -> tuple[int, int]:
+    """How much of a long text's head and tail stay; 64 characters are kept for a marker."""
     room = max(0, most - 64)
     head = int(room * head_share)
-    tail = room - head
-    marker = F.concat(F.lit("\n\n… ("), (F.length(text) - head - tail).cast("string"), F.lit(" chars omitted from the middle) …\n\n"))
-    cut = F.concat(strip_end(F.substring(text, 1, head)), marker, F.regexp_replace(F.substr(text, F.length(text) - tail + 1, F.lit(tail)), r"(?U)^\s+", ""))
-    return F.when(F.length(text) > most, cut).otherwise(text)
+    return head, room - head
+
+
+def middle_out(head_text: Column, tail_text: Column, length: Column, head: int, tail: int) -> Column:
+    """A text of this length without its middle, of what it begins and ends with."""
+    marker = F.concat(F.lit("\n\n… ("), (length - head - tail).cast("string"), F.lit(" chars omitted from the middle) …\n\n"))
+    return F.concat(strip_end(F.substring(head_text, 1, head)), marker, F.regexp_replace(F.substr(tail_text, F.length(tail_text) - tail + 1, F.lit(tail)), r"(?U)^\s+", ""))
+
+
+def clip_middle(text: Column, most: int, head_share: float = 0.62) -> Column:
+    """Head and tail of a long text with a marker of what went between."""
+    head, tail = middle_cut(most, head_share)
+    return F.when(F.length(text) > most, middle_out(text, text, F.length(text), head, tail)).otherwise(text)
 
 
 def indent(text: Column, pad: int = 2) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.draws import shuffled
 from ..functions.text import answer_key, strip
 
 #: Fixed values.
@@ -47,18 +48,23 @@ def readiness(sessions: DataFrame, topics: DataFrame, n_types: int = 0) -> DataF
     return rows.select("session_id", ready.alias("ready"), level.alias("level"), reasons.alias("reasons"), "topics", "usable_topics")
 
 
-def plan(topics: DataFrame, questions: int = QUESTIONS, types: tuple[str, ...] = TYPES, seed: int = 0, from_message: int = 0) -> DataFrame:
+def plan(topics: DataFrame, questions: int = QUESTIONS, types: tuple[str, ...] = TYPES, seed: int = 0, from_message: int = 0, exact: bool = False) -> DataFrame:
     """The deck: a row per selected topic with the types asked of it.
 
-    As many topics as questions by types are drawn by a seeded hash (a documented deviation from the reference's own
-    generator) and dealt types topic by topic; no topic is asked one type twice. Topics before from_message are left
+    As many topics as questions by types are drawn by a seeded hash, or, when exact, by the reference's own generator and
+    shuffle (of a session's usable topics in order of time), and dealt types topic by topic; no topic is asked one type twice. Topics before from_message are left
     out after derivation, so that indices stay those of the whole session. shortfall is what a session can't support.
     """
     types = tuple(dict.fromkeys(t for t in types if t in TYPES))
     asked = max(0, questions) if types else 0
     needed = max(1, -(-asked // len(types))) if types else 1
     fit = topics.where("kept").where(usable(len(types)) & (F.col("msg_from") >= from_message))
-    drawn = fit.withColumn("_d", F.row_number().over(_session().orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), "session_id", "msg_from"), 256), "msg_from"))).where(F.col("_d") <= needed).drop("_d")
+    if exact:
+        order = F.array_sort(F.collect_list("msg_from"))
+        first = fit.groupBy("session_id").agg(F.slice(shuffled(order, F.lit(seed)), 1, needed).alias("x")).select("session_id", F.explode("x").alias("msg_from"))
+        drawn = fit.join(first, ["session_id", "msg_from"], "left_semi")
+    else:
+        drawn = fit.withColumn("_d", F.row_number().over(_session().orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), "session_id", "msg_from"), 256), "msg_from"))).where(F.col("_d") <= needed).drop("_d")
     ordinal = F.row_number().over(_session().orderBy("msg_from")) - 1
     size = F.count("*").over(_session())
     rows = drawn.withColumns({"ordinal": ordinal, "deck_size": size})
@@ -235,3 +241,27 @@ def steps(questions: DataFrame, cards: DataFrame) -> DataFrame:
     b = questions.where("issue is null").select("session_id", F.lit(1).alias("k"), F.col("question_id").alias("step_id"), "type", "prompt")
     rows = a.unionByName(b).withColumn("_r", F.row_number().over(Window.partitionBy("session_id", "step_id").orderBy("k", "prompt"))).where("_r = 1").drop("_r")
     return rows.withColumn("position", F.row_number().over(_session().orderBy("k", "step_id")) - 1).drop("k")
+
+
+def phase_counts(found: DataFrame) -> DataFrame:
+    """How many steps of each phase a quiz has."""
+    card = F.col("type") == "flashcard"
+    return found.groupBy("session_id").agg(F.count_if(card).alias("flashcards"), F.count_if(~card).alias("questions"))
+
+
+def resumed(found: DataFrame, attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(responses, places) of attempts (session_id, position, answers and results as JSON objects by step id) that can be resumed.
+
+    responses: session_id, step_id, position (null for a step that the quiz no longer has), answer, result. A result of an
+    unknown step is dropped, its answer kept. places: session_id, position, within the quiz's steps.
+    """
+    held = attempts.select("session_id", F.col("position").alias("at"), F.from_json("answers", "map<string, string>").alias("a"), F.from_json("results", "map<string, string>").alias("r"))
+    held = held.where(F.coalesce(F.size("a"), F.lit(0)) > 0)
+    answers = held.select("session_id", F.explode("a").alias("step_id", "answer"))
+    results = held.select("session_id", F.explode("r").alias("step_id", "result"))
+    known = found.select("session_id", "step_id", "position")
+    results = results.join(known.select("session_id", "step_id"), ["session_id", "step_id"], "left_semi")
+    responses = answers.join(results, ["session_id", "step_id"], "full_outer").join(known, ["session_id", "step_id"], "left")
+    last = known.groupBy("session_id").agg(F.max("position").alias("last"))
+    places = held.join(last, "session_id", "left").select("session_id", F.greatest(F.lit(0), F.least(F.coalesce("at", F.lit(0)), F.coalesce("last", F.lit(0)))).cast("int").alias("position"))
+    return responses.select("session_id", "step_id", "position", "answer", "result"), places

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, clip_middle, code_blocks, duration, indent, strip
+from ..functions.text import clip, code_blocks, duration, indent, middle_cut, middle_out, strip, strip_end
 
 #: Fixed values.
 USER_CHARS, ASSISTANT_CHARS, FINAL_CHARS, TOOL_ARG_CHARS, COMMAND_CHARS = 4000, 700, 3000, 90, 120
@@ -121,6 +121,13 @@ def topic_slices(turns: DataFrame, topics: DataFrame, max_chars: int = SLICE_CHA
     return rows.select("session_id", "topic_id", "label", text.alias("text"), F.length(text).alias("chars"), F.length("context").alias("context_chars"), omitted.alias("truncated"))
 
 
+def slice_stats(slices: DataFrame, max_chars: int = SLICE_CHARS) -> DataFrame:
+    """Per session: how many prompts, their characters together and at most, how many were cut, and the bound of each."""
+    return slices.groupBy("session_id").agg(
+        F.count("*").alias("prompt_count"), F.sum("chars").alias("slice_chars"), F.max("chars").alias("largest_slice"), F.count_if(F.col("truncated") > 0).alias("cut_slices"), F.lit(max_chars).alias("max_chars_per_prompt"),
+    )
+
+
 def touched(turns: DataFrame) -> DataFrame:
     """session_id, kind (edited, read, searched, ran, mentioned), value, times, first_seen: what tools and prose touched."""
     calls = turns.select("session_id", "msg_idx", F.posexplode("tools").alias("p", "t")).withColumn("seen", F.col("msg_idx").cast("long") * 1000 + F.col("p"))
@@ -163,8 +170,27 @@ def digests(turns: DataFrame, sessions: DataFrame, budget: int = DIGEST_CHARS, h
     ]
     header = clip(F.concat_ws("\n", *lines), HEADER_CHARS, True)
     room = max(200, budget - HEADER_CHARS - OVERHEAD)
-    rows = sessions.join(transcripts(turns), "session_id").withColumn("conversation", clip_middle(c("transcript"), room))
+    rows = sessions.join(ends(turns, room), "session_id")
     text = F.concat(header, F.lit("\n\n## Conversation\n\n"), c("conversation"))
     if hard_max:
         text = F.when(F.length(text) > hard_max, F.concat(F.substring(text, 1, max(0, hard_max - 80)), F.lit("\n\n… (hard limit reached: "), (F.length(text) - hard_max).cast("string"), F.lit(" chars omitted)"))).otherwise(text)
-    return rows.select("session_id", text.alias("text"), F.length(text).alias("chars"), F.greatest(F.length("transcript") - F.length("conversation"), F.lit(0)).alias("omitted"))
+    return rows.select("session_id", text.alias("text"), F.length(text).alias("chars"), F.greatest(c("transcript_chars") - F.length("conversation"), F.lit(0)).cast("int").alias("omitted"))
+
+
+def ends(turns: DataFrame, most: int) -> DataFrame:
+    """session_id, transcript_chars, conversation: each transcript with its middle cut out, so that at most so many characters
+    stay. Running sums tell from each turn's place whether any of it stays; only such turns are put together, so no cell
+    holds more than the room and a turn at either end of it."""
+    c = F.col
+    head, tail = middle_cut(most)
+    lines = rendered_turns(turns).where("line is not null").select("session_id", "msg_idx", "line")
+    whole = Window.partitionBy("session_id")
+    by = whole.orderBy("msg_idx")
+    # A line and the break behind it; behind the last one, what trimming takes off is no part of the transcript.
+    lines = lines.withColumn("_last", F.lead("msg_idx").over(by).isNull()).withColumn("_n", F.when(c("_last"), F.length(strip_end(c("line")))).otherwise(F.length("line") + 1).cast("long"))
+    lines = lines.withColumns({"_end": F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(whole)})
+    fits, first, second = c("_all") <= most, c("_end") - c("_n") < head, c("_end") > c("_all") - tail
+    kept = lines.where(fits | first | second).groupBy("session_id").agg(
+        F.first("_all").alias("transcript_chars"), ordered_text(F.when(fits | first, c("line")), c("msg_idx")).alias("_a"), ordered_text(F.when(~fits & second, c("line")), c("msg_idx")).alias("_b")
+    )
+    return kept.select("session_id", "transcript_chars", F.when(c("transcript_chars") <= most, strip(c("_a"))).otherwise(middle_out(c("_a"), strip_end(c("_b")), c("transcript_chars"), head, tail)).alias("conversation"))

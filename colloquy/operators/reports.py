@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import time_ago
+
 
 def harness_report(files: DataFrame, sessions: DataFrame) -> DataFrame:
     """A row per harness: files by outcome, and sessions, ready ones and characters. files: harness, status, length;
@@ -54,6 +56,34 @@ def usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("quiz_id").agg(F.count_if("ok").alias("calls_ok"), F.sum("attempts").alias("attempts"), F.sum("tokens").alias("tokens"), F.array_distinct(F.transform(pairs, lambda p: p["model"])).alias("models"))
 
 
-def summary_line(**parts) -> object:
+def _counted(n: Column, one: str, many: str | None = None) -> Column:
+    return F.concat(F.format_number(n, 0), F.when(n == 1, f" {one}").otherwise(f" {many or one + 's'}"))
+
+
+def summary_line(*parts: Column) -> Column:
     """Parts joined by middle dots, nulls left out."""
-    return F.concat_ws(" · ", *parts.values())
+    return F.concat_ws(" · ", *parts)
+
+
+def session_line(now_ms: Column) -> Column:
+    """Of a row of sessions: turns, tool calls, characters, how long ago."""
+    return summary_line(_counted(F.col("messages"), "turn"), F.when(F.col("tool_calls") > 0, _counted(F.col("tool_calls"), "tool call")), _counted(F.col("chars"), "character"), time_ago(now_ms, F.col("updated_ms")))
+
+
+def catalog_line(catalog: DataFrame) -> DataFrame:
+    """Of a harness report: one row, ``line``, with harnesses, sessions, ready ones and files that couldn't be read."""
+    sums = catalog.agg(F.count_if(F.col("session_count") > 0).alias("h"), F.sum("session_count").alias("s"), F.sum("quiz_ready").alias("r"), F.sum("skipped").alias("k"))
+    return sums.select(summary_line(_counted(F.col("h"), "harness", "harnesses"), _counted(F.coalesce("s", F.lit(0)), "session"), F.concat(F.format_number(F.coalesce("r", F.lit(0)), 0), F.lit(" quiz-ready")), F.when(F.col("k") > 0, F.concat(_counted(F.col("k"), "file"), F.lit(" skipped")))).alias("line"))
+
+
+def payload_line(payload: DataFrame) -> DataFrame:
+    """session_id, line: how much of a session its payload holds."""
+    held = payload.groupBy("session_id").agg(F.count("*").alias("n"), F.max("used").alias("c"), F.first("message_count").alias("m"))
+    return held.select("session_id", summary_line(F.concat(F.format_number("n", 0), F.lit(" of "), _counted(F.col("m"), "message")), _counted(F.col("c"), "character"), F.when(F.col("n") < F.col("m"), "shortened")).alias("line"))
+
+
+def plan_line(deck: DataFrame) -> DataFrame:
+    """session_id, line: what a deck asks."""
+    held = deck.groupBy("session_id").agg(F.count("*").alias("t"), F.max("question_count").alias("q"), F.sum("flashcards").alias("f"), F.max("shortfall").alias("s"))
+    short = F.when(F.col("s") > 0, F.concat(F.format_number("s", 0), F.lit(" fewer than asked")))
+    return held.select("session_id", summary_line(_counted(F.col("q"), "question"), _counted(F.col("f"), "flashcard"), _counted(F.col("t"), "topic"), short).alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import STOPWORDS
+from ..functions.text import STOPWORDS, middle_cut
 from ..operators.redact import SECRET_WORDS
 from ..operators.topics import ERRORS, TRANSITION
 
@@ -224,6 +224,39 @@ SELECT coalesce(c_custkey, quiz_id) AS quiz_id, coalesce(c_name, title) AS title
     out["clipped_texts"] = f"SELECT doc_id, {_clip('text', 200)} AS head, {_clip('text', 500, True)} AS counted FROM documents"
     out["grouped_sessions"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents)
 SELECT source AS harness, count(*) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS newest FROM r GROUP BY source"""
+    session = f"""s AS (SELECT session_id, count(*) AS messages, count_if(role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars, arg_min(text, msg_idx) FILTER (role = 'user') AS u FROM t GROUP BY session_id)"""
+    title = f"""coalesce(CASE WHEN length({_title('u')}) > 72 THEN {_strip_end(f"substr({_title('u')}, 1, 71)")} || '…' ELSE {_title('u')} END, 'Untitled')"""
+    n_head, n_tail = middle_cut(1100)
+    middle = f"""CASE WHEN length(transcript) > 1100 THEN {_strip_end(f'substr(transcript, 1, {n_head})')} || chr(10) || chr(10) || '… (' || (length(transcript) - {n_head + n_tail}) || ' chars omitted from the middle) …' || chr(10) || chr(10)
+  || regexp_replace(right(transcript, {n_tail}), '^{_WS}+', '') ELSE transcript END"""
+    out["digest"] = f"""WITH {_TRANSCRIPT}, {session},
+h AS (SELECT s.*, transcript, '# Session digest' || chr(10) || chr(10) || 'title:      ' || {title} || chr(10) || 'started:    unknown' || chr(10) || 'duration:   unknown' || chr(10) || 'turns:      ' || messages || ' messages (' || user_turns || ' user, '
+  || (messages - user_turns) || ' assistant)' || chr(10) || 'tool calls: 0' || chr(10) || 'omitted:    0 chars of model reasoning, and all tool output bodies' AS header FROM s JOIN tr USING (session_id)),
+d AS (SELECT session_id, transcript, {_clip('header', 900, True)} AS header, {middle} AS conversation FROM h),
+x AS (SELECT *, header || chr(10) || chr(10) || '## Conversation' || chr(10) || chr(10) || conversation AS whole FROM d)
+SELECT session_id, CASE WHEN length(whole) > 2400 THEN substr(whole, 1, 2320) || chr(10) || chr(10) || '… (hard limit reached: ' || (length(whole) - 2400) || ' chars omitted)' ELSE whole END AS text,
+  CASE WHEN length(whole) > 2400 THEN 2320 + 2 + length('… (hard limit reached: ' || (length(whole) - 2400) || ' chars omitted)') ELSE length(whole) END::INTEGER AS chars, greatest(length(transcript) - length(conversation), 0)::INTEGER AS omitted FROM x"""
+    out["slice_statistics"] = f"""SELECT session_id, count(*) AS prompt_count, sum(chars)::BIGINT AS slice_chars, max(chars) AS largest_slice, count_if(truncated > 0) AS cut_slices, 1500 AS max_chars_per_prompt FROM ({out["topic_slices"]}) GROUP BY session_id"""
+    times = lambda a, b: f"((({a})::HUGEINT * ({b})::HUGEINT) % 4294967296)::BIGINT"
+    drawn = lambda seed, k: (
+        f"""(SELECT xor(u, u >> 14) / 4294967296.0::DOUBLE FROM (SELECT xor((t + {times('xor(t, t >> 7)', 't | 61')}) % 4294967296, t) AS u FROM (SELECT {times('xor(a, a >> 15)', 'a | 1')} AS t FROM (SELECT (({seed})::BIGINT % 4294967296 + ({k}) * 1831565813::BIGINT) % 4294967296 AS a))))"""
+    )
+    out["seeded_draws"] = f"SELECT event_id, {', '.join(f'{drawn(chr(40) + "event_id::BIGINT * 2654435761" + chr(41), k)} AS draw_{k}' for k in (1, 2, 3))} FROM events"
+    out["seeded_shuffle"] = f"""WITH RECURSIVE o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey),
+r(o_custkey, x, i) AS (
+  SELECT o_custkey, x, len(x) - 1 FROM o
+  UNION ALL SELECT o_custkey, list_transform(range(len(x)), lambda p: CASE WHEN p = i THEN x[j + 1] WHEN p = j THEN x[i + 1] ELSE x[p + 1] END), i - 1
+  FROM (SELECT *, floor({drawn('o_custkey', 'len(x) - i')} * (i + 1))::BIGINT AS j FROM r WHERE i > 0))
+SELECT o_custkey, array_to_string(x, ',') AS shuffled FROM r WHERE i <= 0"""
+    out["resumed_steps"] = """WITH a AS (SELECT DISTINCT l_orderkey AS session_id, unnest([l_linenumber, l_linenumber + 5]) AS m FROM lineitem WHERE l_linenumber % 2 = 0),
+f AS (SELECT l_orderkey AS session_id, l_linenumber AS m FROM lineitem)
+SELECT a.session_id, 's' || a.m AS step_id, f.m - 1 AS position, 'a' || a.m AS answer, CASE WHEN f.m IS NOT NULL THEN 'r' || a.m END AS result FROM a LEFT JOIN f ON f.session_id = a.session_id AND f.m = a.m"""
+    out["phase_counts"] = "SELECT l_orderkey AS session_id, count_if(l_linenumber <= 2) AS flashcards, count_if(l_linenumber > 2) AS questions FROM lineitem GROUP BY l_orderkey"
+    counted = lambda n, one: f"format('{{:,}}', {n}) || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {one}s' END"
+    out["session_lines"] = f"WITH {_TURNS} {session} SELECT session_id, {counted('messages', 'turn')} || ' · ' || {counted('chars', 'character')} || ' · ' AS line FROM s"
+    out["payload_lines"] = f"""SELECT session_id, format('{{:,}}', n) || ' of ' || {counted('m', 'message')} || ' · ' || {counted('c', 'character')} || CASE WHEN n < m THEN ' · shortened' ELSE '' END AS line
+FROM (SELECT session_id, count(*) AS n, max(used)::BIGINT AS c, any_value(message_count) AS m FROM ({out["payload_prefix"]}) GROUP BY session_id)"""
+    out["anti_absent"] = "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)"
     # The given texts have secrets of one kind: quoted values behind a name of a secret.
     named = rf"""(^|[^A-Za-z])((?i:{SECRET_WORDS})\s*[:=]\s*")[^"\n\r]{{6,512}}(")"""
     found = f"len(regexp_extract_all(text, '{_quote(named)}'))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import roles, text
+from ..functions import draws, roles, text
 from ..functions.hashes import turn_text
 from ..operators import normalize, quiz, redact, render, reports, splitting, store, topics
 from . import readers
@@ -153,6 +153,47 @@ def digest(spark, sf_dir):
     return render.digests(turns, normalize.sessions(turns), budget=2400, hard_max=2400)
 
 
+def slice_statistics(spark, sf_dir):
+    return render.slice_stats(topic_slices(spark, sf_dir), 1500)
+
+
+def seeded_draws(spark, sf_dir):
+    """Three draws of the exact generator for every event, seeded by its number."""
+    ev = load(spark, sf_dir, "events")
+    return ev.select("event_id", *(draws.draw(F.col("event_id") * 2654435761, F.lit(k)).alias(f"draw_{k}") for k in (1, 2, 3)))
+
+
+def seeded_shuffle(spark, sf_dir):
+    """Every customer's orders in the exact shuffle of the customer's number."""
+    held = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
+    return held.select("o_custkey", F.array_join(draws.shuffled(F.col("x"), F.col("o_custkey")).cast("array<string>"), ",").alias("shuffled"))
+
+
+def resumed_steps(spark, sf_dir):
+    """Order lines as steps, orders as attempts: every second line answered, some of lines that the quiz doesn't have."""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("n"))
+    found = li.select("session_id", F.concat(F.lit("s"), F.col("n").cast("string")).alias("step_id"), (F.col("n") - 1).alias("position"))
+    pairs = lambda prefix: F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("m").cast("string")).alias("k"), F.concat(F.lit(prefix), F.col("m").cast("string")).alias("v"))))))
+    asked = li.where("n % 2 = 0").select("session_id", F.explode(F.array("n", F.col("n") + 5)).alias("m")).distinct()
+    attempts = asked.groupBy("session_id").agg(pairs("a").alias("answers"), pairs("r").alias("results"), F.max("m").alias("position"))
+    return quiz.resumed(found, attempts)[0]
+
+
+def phase_counts(spark, sf_dir):
+    """Order lines as steps: the first two of an order are flashcards."""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.when(F.col("l_linenumber") <= 2, "flashcard").otherwise("mcq").alias("type"))
+    return quiz.phase_counts(li)
+
+
+def session_lines(spark, sf_dir):
+    found = normalize.sessions(_turns(spark, sf_dir))
+    return found.select("session_id", reports.session_line(F.lit(0)).alias("line"))
+
+
+def payload_lines(spark, sf_dir):
+    return reports.payload_line(render.payload(_turns(spark, sf_dir), max_chars=1800, max_messages=6))
+
+
 def redaction_report(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return redact.by_kind(redact.redact_messages(docs), ("source",))
@@ -260,8 +301,9 @@ def upsert_quiz(spark, sf_dir):
 
 
 def anti_absent(spark, sf_dir):
-    registry = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return reports.absent_harnesses(registry, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("harness")))
+    """Orders without a line of 45 pieces or more."""
+    registry = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return reports.absent_harnesses(registry, load(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("harness")))
 
 
 def store_stats(spark, sf_dir):
@@ -311,6 +353,6 @@ def queries() -> dict:
         session_catalog, harness_report, role_normalized, epoch_ms_tolerant, title_derivation, merged_turns, dedupe_first, cap_per_group, search_substring, exchanges, token_jaccard, boundary_scores, segments, topics_ranked,
         topic_labels, topic_stats, topics_split_by_size, pause_gaps, payload_prefix, preceding_context, rendered_transcript, topic_slices, digest, redaction_report, redacted_text, fingerprints, staleness, quiz_button, readiness,
         quiz_plan, deck_assignment, mcq_grading, cloze_grading, weighted_rubric, score_bands, attempt_scores, latest_attempt, upsert_quiz, anti_absent, store_stats, json_props, json_shape_counts, fence_and_error_features,
-        tolerant_answers, clipped_texts, turn_parts, grouped_sessions,
+        tolerant_answers, clipped_texts, turn_parts, grouped_sessions, slice_statistics, seeded_draws, seeded_shuffle, resumed_steps, phase_counts, session_lines, payload_lines,
     )
     return {f.__name__: f for f in names} | readers.queries()
