@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import normalize, quiz, redact, render, reports, splitting, store, topics
-from .sources import discovery, registry, scan
+from .sources import discovery, listing, registry, scan
+from .tables import Steps
 
 
 class Conversations:
@@ -23,7 +24,7 @@ class Conversations:
 
     @classmethod
     def of_stores(cls, spark: SparkSession, platform: discovery.Platform, only: tuple[str, ...] = ()) -> Conversations:
-        messages, files = scan.scan(spark, discovery.store_files(registry.rows(), platform, only))
+        messages, files = scan.scan(spark, listing.discovered(spark, registry.rows(), platform, only)[0])
         return cls(spark, messages, files)
 
     @classmethod
@@ -57,11 +58,11 @@ class Conversations:
         return render.touched(self.turns)
 
     def readiness(self, n_types: int = 0) -> DataFrame:
-        return quiz.readiness(self.sessions(), self.topics().cache(), n_types)
+        return quiz.readiness(self.sessions(), self.topics(), n_types)
 
     def generate(self, generator: Callable[[str], str], questions: int = quiz.QUESTIONS, types: tuple[str, ...] = quiz.TYPES, seed: int = 0, focus: str = "") -> tuple[DataFrame, DataFrame]:
         """(questions, flashcards) by an injected generator from redacted slices of the planned topics."""
-        found = self.topics().cache()  # planned from and sliced by
+        found = Steps(self.spark, "topics").stored(self.topics())  # planned from and sliced by
         deck = quiz.plan(found, questions, types, seed)
         slices = render.topic_slices(self.turns, found).join(deck.select("session_id", "topic_id", "types"), ["session_id", "topic_id"])
         safe = redact.redact_messages(slices)

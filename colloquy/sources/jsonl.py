@@ -249,7 +249,11 @@ def _shaped(rows: DataFrame) -> DataFrame:
 def read_jsonl(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages by path, context by path with shape and partial) of files (path, content)."""
     rows = records(files)
-    shape = shapes(rows)
+    return read_records(rows, shapes(rows))
+
+
+def read_records(rows: DataFrame, shape: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of records and their files' shapes."""
     known = rows.where("v is not null").join(shape.select("path", "shape"), "path")
     messages = plain_messages(known).unionByName(acp_messages(known)).unionByName(kimi_messages(known))
     return messages, shape.join(context(known), "path", "left")

@@ -40,17 +40,27 @@ crush | Crush | sqlite | <project>/.crush/crush.db
 hermes | Hermes | sqlite | ~/.hermes/state.db, ~/.hermes/profiles/*/state.db
 openclaw | OpenClaw | sqlite | ${OPENCLAW_STATE_DIR:-~/.openclaw}/agents/*/agent/openclaw-agent.sqlite
 aider | aider | markdown | <project>/.aider.chat.history.md
-chatgpt | ChatGPT | chatgpt-export | ${CHATGPT_EXPORT_DIR}/**/conversations.json
-claude-web | Claude (web export) | claude-web-export | ${CLAUDE_EXPORT_DIR}/**/conversations.jsonl
+chatgpt | ChatGPT | chatgpt-export | ${CHATGPT_EXPORT_DIR}/**/conversations.json, ${DEJA_CHATGPT_ROOT}/**/conversations.json
+claude-web | Claude (web export) | claude-web-export | ${CLAUDE_EXPORT_DIR}/**/conversations.jsonl, ${DEJA_CLAUDE_WEB_ROOT}/**/conversations.jsonl
 windsurf | Windsurf Cascade | detect-only | ~/.codeium/windsurf/cascade/*
 """
 
 
+#: Id | more store path templates of a harness above, on Windows.
+MORE_PATHS = r"""
+cursor | %APPDATA%/Cursor/User/globalStorage/state.vscdb, %APPDATA%/Cursor/User/workspaceStorage/*/state.vscdb
+goose | %APPDATA%/Block/goose/sessions/sessions.db, %APPDATA%/Block/goose/sessions/*.jsonl, %LOCALAPPDATA%/Block/goose/sessions/sessions.db, %APPDATA%/goose/sessions/sessions.db
+windsurf | %APPDATA%/Windsurf/User/globalStorage/state.vscdb
+"""
+
+
 def rows() -> list[tuple[str, str, str, list[str]]]:
+    listed = lambda paths: [p.strip() for p in paths.split(",")]
+    more = {key: listed(paths) for key, paths in (line.split(" | ") for line in MORE_PATHS.strip().splitlines())}
     out = []
     for line in HARNESSES.strip().splitlines():
         key, name, kind, paths = (x.strip() for x in line.split(" | "))
-        out.append((key, name, kind, [p.strip() for p in paths.split(",")]))
+        out.append((key, name, kind, listed(paths) + more.get(key, [])))
     return out
 
 
@@ -61,11 +71,11 @@ def registry(spark: SparkSession) -> DataFrame:
 def merged(base: DataFrame, extra_paths: DataFrame, extra: DataFrame) -> DataFrame:
     """base with more paths (id, store_paths) for known ids, and the harnesses of extra that it lacks."""
     more = extra_paths.select("id", F.col("store_paths").alias("_more"))
-    known = base.join(F.broadcast(more), "id", "left").withColumn("store_paths", F.array_distinct(F.concat("store_paths", F.coalesce("_more", F.array().cast("array<string>"))))).drop("_more")
+    known = base.join(more, "id", "left").withColumn("store_paths", F.array_distinct(F.concat("store_paths", F.coalesce("_more", F.array().cast("array<string>"))))).drop("_more")
     return known.unionByName(extra.join(base.select("id"), "id", "left_anti"))
 
 
 def discover(files: DataFrame, harnesses: DataFrame) -> DataFrame:
     """Stores, their number and bytes per harness, without parsing; every harness has a row."""
     held = files.groupBy(F.col("harness").alias("id")).agg(F.count("*").alias("stores"), F.sum("length").alias("bytes"))
-    return F.broadcast(harnesses).join(held, "id", "left").na.fill(0, ["stores", "bytes"]).select("id", "display_name", "stores", "bytes", (F.col("stores") > 0).alias("detected"))
+    return harnesses.join(held, "id", "left").na.fill(0, ["stores", "bytes"]).select("id", "display_name", "stores", "bytes", (F.col("stores") > 0).alias("detected"))

@@ -193,3 +193,29 @@ def test_sqlite_stream_goes_on_behind_the_last_row(spark, tmp_path):
     db.close()
     got = spark.read.parquet(out).orderBy("pos").collect()
     assert [(r.pos, r.payload) for r in got] == list(enumerate([f"0.{i}" for i in range(5)] + [f"2.{i}" for i in range(12)], 1))
+
+
+def test_discovery_by_frontier_equals_the_walk(spark, tmp_path):
+    from colloquy.sources import listing
+
+    for name in ("a/x.jsonl", "a/b/c/y.jsonl", "a/b/z.txt", "q/h1.json", "q/deep/h2.json", "other/x.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}\n")
+    platform = discovery.Platform("linux", str(tmp_path), {}, "")
+    harnesses = [("h1", "H1", "jsonl", ["~/a/**/*.jsonl"]), ("h2", "H2", "json", ["~/q/h[0-9].json", "~/q/*/h?.json"]), ("h3", "H3", "jsonl", ["~/gone/*.jsonl"])]
+    found, cuts = listing.discovered(spark, harnesses, platform)
+    assert sorted((r.harness, r.kind, r.path) for r in found.collect()) == sorted(discovery.store_files(harnesses, platform)) and cuts.count() == 0
+    few, over = listing.discovered(spark, harnesses, platform, only=("h1",), most=1)
+    assert few.count() == 1 and [r.reason for r in over.collect()] == ["more files of h1"]
+    files, cut = listing.listed(spark, [str(tmp_path)], max_depth=2)
+    assert sorted(r.path.removeprefix(str(tmp_path)) for r in cut.collect()) == ["/a/b", "/q/deep"] and {r.reason for r in cut.collect()} == {"depth"}
+    assert {r.reason for r in listing.listed(spark, [str(tmp_path)], max_entries=2)[1].collect()} == {"entries"}
+
+
+def test_workspaces_beside_chats_give_their_folders(spark, tmp_path):
+    chat = tmp_path / "ws1" / "chatSessions" / "c.json"
+    chat.parent.mkdir(parents=True)
+    chat.write_text(json.dumps({"requests": [{"message": {"text": "ask"}, "response": [{"value": "answer"}]}], "sessionId": "k"}))
+    (tmp_path / "ws1" / "workspace.json").write_text(json.dumps({"folder": "file:///w/proj"}))
+    said, _ = scan.scan(spark, [("vscode", "json", str(chat))])
+    assert {(r.cwd, r.project) for r in said.collect()} == {("/w/proj", "w/proj")}

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,49 @@ def test_sql_functions(spark):
     assert tuple(row) == ("user", 1700000000000, 0.5, "ab c", "see [redacted:ticket]")
 
 
+def test_titles_and_topics_in_sql(spark):
+    from colloquy.functions.text import title_of
+    from colloquy.operators import normalize, topics
+
+    udfs.register_functions(spark)
+    texts = ["# Heading of it\n\nmore", "```\ncode\n```\n  plain   line ", "", None, "w" * 100, "a b " * 40, "> - * quoted"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] == r[1] for r in rows.select(F.expr("derive_title(t)"), title_of(F.col("t"))).collect() if r[1] is not None or r[0] is not None].count(False) == 0
+    turns = normalize.merged_turns(normalize.cleaned(normalize.from_conversations(spark.createDataFrame([(1, 0, "user", "one two three"), (1, 1, "assistant", "four"), (1, 2, "user", "separately another matter")], "conv_id long, turn long, role string, text string"))))
+    udfs.register_views(spark, turns, threshold=1.0)
+    got = spark.sql("SELECT s.session_id, s.messages, count(*) AS topics, min(t.label) AS first FROM sessions s JOIN topics t USING (session_id) GROUP BY ALL").first()
+    assert tuple(got) == ("1", 3, topics.topics(turns, 1.0).count(), "one two three")
+
+
+def test_progress_can_be_read_while_a_stream_runs(spark, tmp_path):
+    from colloquy.streaming.progress import ProgressTable
+
+    table = ProgressTable(spark, str(tmp_path / "progress"))
+    listener = table.listener()
+    spark.streams.addListener(listener)
+    try:
+        seen = []
+        rate = spark.readStream.format("rate").option("rowsPerSecond", 200).load()
+        query = rate.writeStream.queryName("ticks").foreachBatch(lambda df, n: df.count()).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        for _ in range(60):
+            time.sleep(1)
+            seen.append(table.read().where("source = 'stream' and event = 'progress'").agg(F.coalesce(F.max("rows_so_far"), F.lit(0))).first()[0])
+            if query.isActive and len({s for s in seen if s}) >= 2:
+                break
+        assert query.isActive and seen == sorted(seen) and len({s for s in seen if s}) >= 2
+        query.stop()
+        for _ in range(30):
+            if table.read().where("event = 'ended'").count():
+                break
+            time.sleep(1)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = table.read().where("source = 'stream'").orderBy("at_ms").collect()
+    assert rows[0].event == "started" and rows[0].name == "ticks" and rows[-1].event == "ended" and {r.event for r in rows} == {"started", "progress", "ended"}
+    batches = [r.batch for r in rows if r.event == "progress"]
+    assert batches == sorted(batches)
+
+
 def test_facade_generates_from_redacted_slices(spark):
     secret = "AKIA" + "ABCDEFGHIJKLMNOP"
     turns = [(1, 0, "user", f"please explain the parser design {secret} " + "detail " * 60), (1, 1, "assistant", "because " * 120), (2, 0, "user", "hi"), (2, 1, "assistant", "hello")]
