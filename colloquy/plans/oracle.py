@@ -59,6 +59,56 @@ si AS (
 sr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY interest DESC, msg_from) AS rank FROM si),
 """
 )
+#: Topics of sessions with over-long segments, by choices made one after another; {max}, {min}: characters of a topic at most and at least.
+_SPLIT = """
+lg AS (SELECT DISTINCT session_id FROM (SELECT session_id, segment, sum(chars) AS c FROM g GROUP BY ALL) WHERE c > {max}),
+p AS (
+  SELECT g.*, sum(chars) OVER seg - chars AS pos, sum(chars) OVER (PARTITION BY session_id, segment) AS total, row_number() OVER seg AS place
+  FROM g JOIN lg USING (session_id) WINDOW seg AS (PARTITION BY session_id, segment ORDER BY exchange)),
+cutat AS (
+  SELECT a.session_id, a.exchange FROM p a WHERE place > 1
+    AND coalesce((SELECT min(r.pos) FROM p r WHERE r.session_id = a.session_id AND r.segment = a.segment AND r.place > 1 AND r.exchange > a.exchange AND r.score > a.score), a.total)
+      - coalesce((SELECT max(l.pos) FROM p l WHERE l.session_id = a.session_id AND l.segment = a.segment AND l.place > 1 AND l.exchange < a.exchange AND l.score >= a.score), 0) > {max}),
+pt AS (SELECT p.*, sum((place = 1 OR c.exchange IS NOT NULL)::INT) OVER (PARTITION BY p.session_id ORDER BY p.exchange) AS part FROM p LEFT JOIN cutat c ON c.session_id = p.session_id AND c.exchange = p.exchange),
+w AS (
+  SELECT session_id, part, min("start") AS msg_from, max("end") AS msg_to, count(*) AS n, sum(chars)::BIGINT AS chars, arg_min(user_text, exchange) AS opening, sum(substantive) AS substantive, sum(code_blocks) AS code_blocks,
+    sum(errors) AS errors FROM pt GROUP BY session_id, part),
+m AS (
+  SELECT w.session_id, part, t.msg_idx, t.role, t.text, length(t.text) AS size, w.chars AS whole, w.errors AS all_errors, row_number() OVER (PARTITION BY w.session_id, part ORDER BY t.msg_idx) AS rn
+  FROM w JOIN t ON t.session_id = w.session_id AND t.msg_idx BETWEEN w.msg_from AND w.msg_to WHERE chars > {max}),
+pk(session_id, part, rn, grp, held) AS (
+  SELECT session_id, part, rn, 1, CASE WHEN size <= {max} THEN size END FROM m WHERE rn = 1
+  UNION ALL SELECT m.session_id, m.part, m.rn, grp + (m.size > {max} OR held IS NULL OR held + m.size > {max})::INT, CASE WHEN m.size > {max} THEN NULL WHEN held IS NULL OR held + m.size > {max} THEN m.size ELSE held + m.size END
+  FROM pk JOIN m ON m.session_id = pk.session_id AND m.part = pk.part AND m.rn = pk.rn + 1),
+cm(session_id, part, msg_idx, role, text, whole, all_errors, a, b) AS (
+  SELECT session_id, part, msg_idx, role, text, whole, all_errors, 0::BIGINT, 0::BIGINT FROM m WHERE size > {max}
+  UNION ALL SELECT session_id, part, msg_idx, role, text, whole, all_errors, b, CASE WHEN b + {max} >= length(text) THEN length(text) WHEN stop > {max} * 0.5 THEN b + stop ELSE b + {max} END FROM (
+    SELECT *, greatest(CASE WHEN strpos(v, chr(10)) > 0 THEN {max} - strpos(v, chr(10)) + 1 ELSE 0 END, CASE WHEN strpos(v, ' .') > 0 THEN {max} - strpos(v, ' .') + 1 ELSE 0 END) AS stop
+    FROM (SELECT *, reverse(substr(text, b + 1, {max})) AS v FROM cm WHERE b < length(text)))),
+bits AS (
+  SELECT m.session_id, m.part, min(msg_idx) AS msg_from, max(msg_idx) AS msg_to, NULL::BIGINT AS char_from, NULL::BIGINT AS char_to, sum(size)::BIGINT AS own, sum((length({strip}) > 80)::INT) AS substantive, sum(len(regexp_extract_all(text, '```'))) AS fences,
+    any_value(whole) AS whole, any_value(all_errors) AS all_errors, arg_min(role, msg_idx) AS role, arg_min(text, msg_idx) AS first_text FROM m JOIN pk USING (session_id, part, rn) WHERE size <= {max} GROUP BY m.session_id, m.part, grp
+  UNION ALL SELECT session_id, part, msg_idx, msg_idx, a, b, b - a, (length({strip}) > 80)::INT, len(regexp_extract_all(text, '```')), whole, all_errors, role, text
+  FROM (SELECT session_id, part, msg_idx, a, b, substr(text, a + 1, b - a) AS text, whole, all_errors, role FROM cm WHERE b > 0)),
+pc AS (
+  SELECT session_id, msg_from, msg_to, char_from, char_to, msg_to - msg_from + 1 AS n, own AS chars, substantive, fences / 2.0::DOUBLE AS code_blocks, round_even(all_errors * (own::DOUBLE / whole), 0)::BIGINT AS errors, true AS sub_split FROM bits
+  UNION ALL SELECT session_id, msg_from, msg_to, NULL, NULL, n, chars, substantive, code_blocks, errors, false FROM w WHERE chars <= {max}),
+po AS (
+  SELECT pc.*, row_number() OVER (PARTITION BY pc.session_id ORDER BY pc.msg_from, pc.char_from NULLS FIRST) AS place, pc.chars < {min} AND coalesce(pt.score, 0) < 1.97 AS small
+  FROM pc LEFT JOIN pt ON pt.session_id = pc.session_id AND pt."start" = pc.msg_from),
+fo(session_id, place, grp, held) AS (
+  SELECT session_id, place, 1, chars FROM po WHERE place = 1
+  UNION ALL SELECT po.session_id, po.place, grp + (NOT small OR held + po.chars > {max})::INT, CASE WHEN NOT small OR held + po.chars > {max} THEN po.chars ELSE held + po.chars END FROM fo JOIN po ON po.session_id = fo.session_id AND po.place = fo.place + 1),
+ft AS (
+  SELECT po.session_id, min(msg_from) AS msg_from, arg_max(msg_to, place) AS msg_to, arg_min({{'c': char_from}}, place).c AS char_from, sum(n) AS exchanges, sum(chars)::BIGINT AS chars, sum(substantive) AS substantive, sum(code_blocks) AS code_blocks,
+    sum(errors) AS errors, arg_min(sub_split, place) AS sub_split FROM po JOIN fo USING (session_id, place) GROUP BY po.session_id, grp),
+al AS (
+  SELECT * FROM ft UNION ALL SELECT session_id, msg_from, msg_to, NULL, exchanges, chars, substantive, code_blocks, errors, false FROM s WHERE session_id NOT IN (SELECT session_id FROM lg)),
+ai AS (
+  SELECT *, log2(1 + exchanges::DOUBLE) * 1.2 + least(6, substantive) * 0.5 + least(5.0, code_blocks) * 1.1 + least(8, errors) * 0.45 + log2(1 + chars::DOUBLE / 1000.0) * 0.8 AS interest FROM al),
+ar AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY interest DESC, msg_from, char_from NULLS FIRST) <= 14 AS kept FROM ai),
+st AS (SELECT *, CASE WHEN kept THEN 't' || row_number() OVER (PARTITION BY session_id, kept ORDER BY msg_from, char_from NULLS FIRST) END AS topic_id FROM ar)
+"""
 _PLACED = """
 sk AS (SELECT *, rank <= {n} AS kept FROM sr),
 topics AS (SELECT *, CASE WHEN kept THEN 't' || row_number() OVER (PARTITION BY session_id, kept ORDER BY msg_from) END AS topic_id FROM sk)
@@ -224,6 +274,9 @@ SELECT coalesce(c_custkey, quiz_id) AS quiz_id, coalesce(c_name, title) AS title
     out["clipped_texts"] = f"SELECT doc_id, {_clip('text', 200)} AS head, {_clip('text', 500, True)} AS counted FROM documents"
     out["grouped_sessions"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents)
 SELECT source AS harness, count(*) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS newest FROM r GROUP BY source"""
+    split = _SPLIT.format(max=1500, min=200, strip=_strip("text"))
+    out["topics_split_by_size"] = f"""WITH RECURSIVE {_TOPICS_ALL.rstrip().rstrip(',')}, {split}
+SELECT session_id, msg_from::INTEGER AS msg_from, msg_to::INTEGER AS msg_to, chars, sub_split, kept, topic_id FROM st"""
     session = f"""s AS (SELECT session_id, count(*) AS messages, count_if(role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars, arg_min(text, msg_idx) FILTER (role = 'user') AS u FROM t GROUP BY session_id)"""
     title = f"""coalesce(CASE WHEN length({_title('u')}) > 72 THEN {_strip_end(f"substr({_title('u')}, 1, 71)")} || '…' ELSE {_title('u')} END, 'Untitled')"""
     n_head, n_tail = middle_cut(1100)
