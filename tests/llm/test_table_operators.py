@@ -260,4 +260,4 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 def test_registered_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(queries.oracle_sql()) <= set(names)
