@@ -315,6 +315,6 @@ FROM (SELECT session_id, count(*) AS n, max(used)::BIGINT AS c, any_value(messag
     found = f"len(regexp_extract_all(text, '{_quote(named)}'))"
     out["redacted_text"] = f"""SELECT doc_id, {found}::BIGINT AS findings, regexp_replace(text, '{_quote(named)}', '\\1\\2[redacted:labelled-secret]\\3', 'g') AS text FROM documents WHERE {found} > 0"""
     out["redaction_report"] = f"""SELECT source, 'labelled-secret' AS kind, sum({found})::BIGINT AS findings FROM documents GROUP BY source HAVING sum({found}) > 0"""
-    from . import readers  # which takes helpers from here
+    from . import parts, readers  # which take helpers from here
 
-    return out | readers.oracle_sql()
+    return out | readers.oracle_sql() | parts.oracle_sql()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import draws, roles, text
 from ..functions.hashes import turn_text
 from ..operators import normalize, quiz, redact, render, reports, splitting, store, topics
-from . import readers
+from . import parts, readers
 
 #: Without times and files a boundary scores 3 at most, so these tables are cut at a lower threshold than the default.
 THRESHOLD = 1.97
@@ -355,4 +355,4 @@ def queries() -> dict:
         quiz_plan, deck_assignment, mcq_grading, cloze_grading, weighted_rubric, score_bands, attempt_scores, latest_attempt, upsert_quiz, anti_absent, store_stats, json_props, json_shape_counts, fence_and_error_features,
         tolerant_answers, clipped_texts, turn_parts, grouped_sessions, slice_statistics, seeded_draws, seeded_shuffle, resumed_steps, phase_counts, session_lines, payload_lines,
     )
-    return {f.__name__: f for f in names} | readers.queries()
+    return {f.__name__: f for f in names} | readers.queries() | parts.queries()
