@@ -202,6 +202,30 @@ def test_pipeline_takes_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == [*names, "copy"]
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    word = lambda k: ["the", "and", "with", "thing"][k % 4] + str(k % 50)
+    text = lambda k: " ".join(word(k * 7 + i * i) for i in range(60))
+    rows = [(i, text(i), "en", f"s{i % 2}", 9, f"key {i}", i) for i in range(30)]
+    rows += [(3, text(3), "en", "s1", 9, "key 3", 3)] * 2 + [(None, text(77), "en", None, 9, None, None)] * 2 + [(None, text(4), "en", None, 9, None, None), (40, None, None, None, None, None, None), (41, "", "en", "s0", 0, "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, SIZE long")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name, docs in (("odd", frame), ("empty", frame.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert out.columns == [*frame.columns, "copy"]
+    got = out.collect()
+    # One row of each repeated one, the copy with an id before that without, none of the wordless; all else as it was.
+    assert {(r.doc_id, r.text, r._key, r["SIZE"]) for r in got} <= {(*r[:2], *r[5:]) for r in rows[:30] + rows[32:33]} and len({(r.doc_id, r.text, r.copy) for r in got}) == len(got)
+    docs = frame
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == frame.columns
+    assert sorted(((r.doc_id, r._key) for r in docs.collect()), key=str) == sorted([(i, f"key {i}") for i in range(30)] + [(None, None)], key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def brute_mix(rows):
     """(row, copies) of rows (id, text, lang, source)."""
     import math
