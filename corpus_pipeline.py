@@ -14,27 +14,34 @@ from colloquy.llm.shared import load, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a determined language. The network learns from the stage's own labelled rows."""
+    """Drops documents without a determined language. The network learns from the stage's own labelled rows.
+
+    Null, empty and letterless texts have no language and go; null ids and repeated rows are judged like others, each by
+    itself; without a labelled row nothing is determined, so all go; an empty table stays empty.
+    """
     return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over 5-word shingles."""
+    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over 5-word shingles: that of the smallest
+    id, one with a null id only where there is no other; of rows that repeat id and text, one. Wordless texts all stay."""
     return jaccard.keep_one(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents; others stay as they are."""
+    """Drops contaminated documents; others stay as they are. Null and wordless texts aren't contaminated; each repeated row is
+    judged by itself; an empty benchmark drops nothing."""
     return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document and masks its secrets; n_chars follows the text."""
+    """Keeps every document, repeated ones too, and masks its secrets; n_chars follows the text, and stays where that is null."""
     return secrets.redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it, with ``copy`` counted from 1."""
+    """Each document as often as its source's target takes it, with ``copy`` counted from 1. A null source is a source, a null id
+    an id; repeated rows of an id draw alike; documents without words are taken no time. A column of that name is replaced."""
     return mixing.mix(docs)
 
 
