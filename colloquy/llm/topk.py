@@ -4,8 +4,8 @@ Vectors become integers floor(scale * x). Candidates lie in vertical layout (one
 partial scores of the surviving candidates grow dimension block by dimension block, and after each block those whose
 score plus the Cauchy-Schwarz bound on the remaining mass stays below the k-th best known score are compacted away.
 
-Queries go out in blocks of at most ``query_block`` rows, so a broadcast is bounded whatever the table's size, and every
-candidate partition is scanned once for each block. Each task returns k rows per query at most; a window merges them.
+Queries go out in blocks of about ``query_block`` rows, one block at a time, so what is broadcast is bounded whatever the
+table's size, and every candidate partition is scanned once for each block. Each task returns k rows per query at most; a window merges them.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 QUERY_BLOCK = 16_384
 DIM_BLOCK = 8
 #: Candidates that are laid out vertically at once.
@@ -102,15 +105,28 @@ def exact_top_k(
     rows = vectors.where(usable(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     asked = queries.where(usable(vec_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vec_col).alias("v"))
     blocks = max(1, -(-asked.select("id").count() // query_block))
-    found = []
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+
+    def answers(block: DataFrame) -> tuple[DataFrame, Broadcast]:
         pairs = [(r["id"], r["v"]) for r in block.toLocalIterator()]
         shared = spark.sparkContext.broadcast((np.array([i for i, _ in pairs], np.int64), integers([v for _, v in pairs], scale)))
-        found.append(rows.mapInArrow(_searcher(shared, k, scale, dim_block), _SCHEMA))
-    merged = reduce(DataFrame.unionAll, found)
+        return best_of(rows.mapInArrow(_searcher(shared, k, scale, dim_block), _SCHEMA), k), shared
+
+    if blocks == 1:
+        return answers(asked)[0]
+    # Block after block: its answers are written, and its queries leave the executors, before the next one's go out.
+    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "topk-asked")
+    found = []
+    for b in range(blocks):
+        block, shared = answers(asked.where(F.col("block") == b))
+        found.append(stored(block, "topk-found"))
+        shared.destroy()
+    return reduce(DataFrame.unionAll, found)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The best k of what tasks have found for each query."""
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _searcher(shared, k: int, scale: int, dim_block: int):

@@ -109,6 +109,32 @@ def test_top_k_equals_brute_force(spark, block, dims):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, asked, 5)
 
 
+def test_top_k_holds_one_block_of_queries_at_a_time(spark, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    live, most = set(), []
+    make, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def made(self, value):
+        out = make(self, value)
+        live.add(id(out))
+        most.append(len(live))
+        return out
+
+    def gone(self, blocking=False):
+        live.discard(id(self))
+        destroy(self, blocking)
+
+    monkeypatch.setattr(SparkContext, "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", gone)
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.exact_top_k(frame, frame.where("vec_id % 4 = 0"), 3, query_block=10)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, {i for i, _ in rows if i % 4 == 0}, 3)
+    assert len(most) == 5 and max(most) == 1 and not live
+
+
 def test_top_k_of_few_and_large(spark):
     frame = spark.createDataFrame([(0, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, 0.0])], "vec_id long, embedding array<double>")
     got = topk.exact_top_k(frame, frame.where("vec_id = 0"), 5).collect()
