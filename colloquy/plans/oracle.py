@@ -248,10 +248,11 @@ deck AS (SELECT *, least({asked}, size * {n}) AS question_count FROM drawn)"""
   array_to_string(list_transform(list_filter(range(4), lambda i: i < question_count AND i % size = ordinal), lambda i: ['mcq', 'cloze'][i // size % 2 + 1]), ',') AS types, question_count::INTEGER AS question_count, (4 - question_count)::INTEGER AS shortfall FROM deck"""
     out["deck_assignment"] = f"""WITH {_TOPICS14}, {deck(6, 3, 3)}, o AS (SELECT unnest(list_transform(list_filter(range(6), lambda i: i < question_count AND i % size = ordinal), lambda i: ['mcq', 'cloze', 'open'][i // size % 3 + 1])) AS type FROM deck) SELECT type, count(*) AS slots FROM o GROUP BY type"""
     out["mcq_grading"] = "SELECT doc_id, (quality = 1)::INT::DOUBLE AS awarded FROM labels"
-    w = lambda k: f"coalesce(string_split(text, ' ')[{k}], 'none')"
     key = lambda x: rf"""regexp_replace(regexp_replace(lower({x}), '^({_WS}|[`"'';,])+|({_WS}|[`"'';,])+$', '', 'g'), '{_WS}+', ' ', 'g')"""
-    out["cloze_grading"] = f"""SELECT item_id, round((CASE item_id % 3 WHEN 0 THEN {key(w(1))} <> '' WHEN 1 THEN true ELSE {key(w(1))} = 'wrong' END)::INT / 2.0::DOUBLE
-  + (CASE item_id % 3 WHEN 1 THEN false ELSE {key(w(2))} <> '' END)::INT / 2.0::DOUBLE, 6) AS awarded FROM benchmark"""
+    right = f"CASE WHEN i % 2 = 1 THEN CASE item_id % 3 WHEN 0 THEN {key("replace(w, 'ß', 'ss')")} = {key('w')} AND {key('w')} <> '' WHEN 1 THEN true ELSE {key('w')} = 'wrong' END ELSE item_id % 3 <> 1 AND {key('w')} <> '' END"
+    # Upper case of ß is SS, so an answer in capitals isn't that word any more.
+    out["cloze_grading"] = f"""WITH b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM benchmark)
+SELECT item_id, round(avg(({right})::INT), 6) AS awarded FROM b GROUP BY item_id"""
     out["tolerant_answers"] = f"SELECT item_id, {key('text')} AS answer FROM benchmark"
     out["weighted_rubric"] = """WITH m AS (SELECT l_orderkey, floor(sum(l_quantity::DOUBLE * greatest(0, least(1, l_discount::DOUBLE * 12))) / sum(l_quantity::DOUBLE) * 1e6 + 0.3) / 1e6 AS mark FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, mark, CASE WHEN mark >= 0.85 THEN 'correct' WHEN mark > 0 THEN 'partial' ELSE 'incorrect' END AS verdict FROM m"""

@@ -256,14 +256,16 @@ def mcq_grading(spark, sf_dir):
 
 
 def cloze_grading(spark, sf_dir):
-    """The first two words of benchmark items as blanks, answered with more or less right texts."""
-    words = F.split("text", " ")
-    w = lambda k: F.coalesce(F.try_element_at(words, F.lit(k)), F.lit("none"))
-    blanks = F.array(
-        F.struct(F.lit("blank_1").alias("key"), w(1).alias("answer"), F.array(F.lit("alt")).alias("alternatives")), F.struct(F.lit("blank_2").alias("key"), w(2).alias("answer"), F.lit(None).cast("array<string>").alias("alternatives")),
-    )
+    """Every word of a benchmark item is a blank, odd ones with an alternative, answered with more or less right texts."""
     k = F.col("item_id") % 3
-    given = F.create_map(F.lit("blank_1"), F.when(k == 0, F.concat(F.lit(' "'), F.upper(w(1)), F.lit("';  "))).when(k == 1, "ALT").otherwise("wrong"), F.lit("blank_2"), F.when(k == 1, "").otherwise(w(2)))
+    name = lambda i: F.concat(F.lit("blank_"), (i + 1).cast("string"))
+    alternatives = lambda i: F.when(i % 2 == 0, F.array(F.lit("alt")))
+    told = lambda w, i: (
+        F.when(i % 2 == 0, F.when(k == 0, F.concat(F.lit(' "'), F.upper(w), F.lit("';  "))).when(k == 1, "ALT").otherwise("wrong")).otherwise(F.when(k == 1, "").otherwise(w))
+    )
+    words = F.split("text", " ")
+    blanks = F.transform(words, lambda w, i: F.struct(name(i).alias("key"), w.alias("answer"), alternatives(i).alias("alternatives")))
+    given = F.map_from_entries(F.transform(words, lambda w, i: F.struct(name(i), told(w, i))))
     return load(spark, sf_dir, "benchmark").select("item_id", F.round(quiz.cloze_mark(blanks, given), 6).alias("awarded"))
 
 
