@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def brute_hits(text, items, size=13):
     return len(w), len(hit), ",".join(sorted(found))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 6000, 200])
 def test_decontamination_equals_brute_force(spark, block_bytes):
     rng = random.Random(1)
     vocab = ["Alpha", "bêta", "c3", "δ", "e"]
@@ -48,6 +49,42 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert out == sorted((i, *brute_hits(t, items)) for i, t in rows)
 
 
+def test_window_index_tells_windows_of_one_hash_apart(monkeypatch):
+    rng, rolled = random.Random(3), decontaminate._rolled
+    monkeypatch.setattr(decontaminate, "_rolled", lambda windows, size: rolled(windows, size) % np.uint64(3))
+    for slice_rows in (1, 2, 5, 1 << 16):
+        monkeypatch.setattr(decontaminate, "SLICE", slice_rows)
+        for _ in range(15):
+            text = lambda most: " ".join(rng.choice("abcd") for _ in range(rng.randrange(most)))
+            items = [(str(i % 4), text(25)) for i in range(rng.randrange(7))]
+            index, own = decontaminate.WindowIndex([(i, t.encode()) for i, t in items], 3), text(40)
+            n, spans, found = index.scan(own.encode())
+            assert (n, sum(b - a for a, b in spans), ",".join(sorted(found))) == brute_hits(own, items, 3)
+
+
+def test_one_benchmark_block_is_out_at_a_time(spark, monkeypatch):
+    """An index holds no more than the bound for its words, and a broadcast is gone before the next one is made."""
+    live, made, broadcast = set(), [], spark.sparkContext.broadcast
+
+    def send(value):
+        assert not live
+        assert sum(x.nbytes for t in value.tables.values() for x in t) + value.words.nbytes <= decontaminate.HELD_A_WORD * len(value.words)
+        shared = broadcast(value)
+        destroy = shared.destroy
+        live.add(id(shared))
+        made.append(shared)
+        monkeypatch.setattr(shared, "destroy", lambda: (live.discard(id(shared)), destroy()))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: send(value))
+    items = [(i, f"item {i} " + " ".join(f"w{i * k}" for k in range(1, 30))) for i in range(40)]
+    rows = [(i, f"before {t} after " * (1 + i % 2)) for i, t in items] + [(100, "clean words"), (101, None)]
+    got = decontaminate.find_benchmark(docs(spark, rows), spark.createDataFrame([*items, *items], "item_id long, text string"), block_bytes=60_000)
+    assert len(made) > 3 and len(live) == 1
+    monkeypatch.undo()
+    assert sorted((r.doc_id, r.n, r.hit, ",".join(r["items"])) for r in got.select("doc_id", F.col("n_words").alias("n"), decontaminate.n_hit().alias("hit"), "items").collect()) == sorted((i, *brute_hits(t, items)) for i, t in rows)
+
+
 def test_decontamination_keeps_clean_documents_whole(spark):
     item = " ".join(f"w{i}" for i in range(20))
     rows = [(1, item), (2, "clean " * 50), (3, item + " z" * 500), (4, None)]
