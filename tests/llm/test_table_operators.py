@@ -76,6 +76,21 @@ def test_url_rules_equal_brute_force(spark):
     assert {r.verdict for r in url_filter.judge_urls(frame, url_filter.rules_frame(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_a_list_beyond_the_bits_of_a_plan_is_judged_in_shards(spark):
+    rules = [("block" if i % 3 else "allow", f"s{i % 41}.com", f"/{i:03}") for i in range(400)] + [("allow", "com", "/"), *url_filter.RULES[1:]]
+    urls = [f"http://a.s{i % 50}.com/{i % 500:03}/x?q" for i in range(1500)] + URLS
+    frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string").repartition(4)
+    total = url_filter.cascade_bits(len(rules), 4000)
+    made, build = [], url_filter.build_cascade
+    try:
+        url_filter.build_cascade = lambda *a, **k: made.append(build(*a, **k)) or made[-1]
+        got = url_filter.judge_urls(frame, url_filter.rules_frame(spark, rules), most_bits=total // 3)
+    finally:
+        url_filter.build_cascade = build
+    assert len(made) >= 6 and all(sum(x.bits for c in pair for x in c.levels) < total for pair in zip(made[::2], made[1::2], strict=True))
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()) == sorted((i, *brute_rule(u, rules)) for i, u in enumerate(urls))
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where("key rlike '[05]$' and length(key) < 5")
