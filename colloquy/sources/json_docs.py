@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import epoch_ms
-from .content import parts_of
+from .content import with_parts
 from .jsonl import OUT, is_string, s, scalar, v
 
 #: An array is one of messages if so many of its elements have a role or a type.
@@ -64,7 +64,8 @@ def read_json(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(kind == "continue", F.coalesce(s("message.role", "m"), s("role", "m"))).when(kind == "thread", F.coalesce(s("role", "m"), s("author.role", "m"), s("type", "m"))).otherwise(s("role", "m"))
     )
     content = F.when(kind == "continue", at("message.content", "message.parts", "content", "parts")).when(kind == "thread", at("content", "text", "message")).otherwise(at("content", "parts", "text"))
-    said = items.where("kind <> 'vscode'").select("path", F.col("pos").cast("long").alias("src_pos"), role.alias("role"), text("timestamp", "created", "ts").alias("ts"), parts_of(content).alias("p")).where("p.text <> '' or size(p.tools) > 0")
+    said = items.where("kind <> 'vscode'").select("path", F.col("pos").cast("long").alias("src_pos"), role.alias("role"), text("timestamp", "created", "ts").alias("ts"), content.alias("content"))
+    said = with_parts(said, F.col("content")).where("p.text <> '' or size(p.tools) > 0")
     said = said.select("path", "src_pos", "role", "p.text", epoch_ms(F.col("ts")).alias("ts_ms"), "p.tools", "p.thinking_chars")
     meta = held.select(
         "path", F.coalesce(s("workspaceDirectory"), s("workspace.workspaceLocation"), s("workspaceFolder.folderUri"), s("workspaceUri")).alias("cwd"), scalar("sessionId", "id").alias("native_id"),
