@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sqlite3
 import uuid
 from collections.abc import Iterator
@@ -183,29 +184,40 @@ def reader_line_export(spark, sf_dir):
     return exports.line_messages(jsonl.records(files)).select("path", "native_id", "title", "src_pos", "role", "text", "ts_ms")
 
 
-def _databases(spark: SparkSession, rows: DataFrame, key_value: bool, files: int = 4) -> list[str]:
-    """Databases in the shared folder, written by tasks: conversations dealt to a few files by their number."""
+#: Turns that a database holds, about: files grow in number, not in size.
+TURNS_PER_FILE = 200_000
+
+
+def _databases(spark: SparkSession, rows: DataFrame, key_value: bool, least: int = 4) -> list[str]:
+    """Databases in the shared folder, written by tasks: conversations dealt to files by their number, inserted as they come."""
     folder = f"{shared_folder(spark)}/sqlite-{uuid.uuid4().hex}".removeprefix("file://")
+    files = max(least, -(-rows.count() // TURNS_PER_FILE))
+    names = ("key", "value") if key_value else ("session_id", "role", "content", "created_at")
+
+    def dealt_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                yield from zip(*(part.column(n).to_pylist() for n in ("file", *names)), strict=True)
 
-    def write(key: tuple, table: pa.Table) -> pa.Table:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/{key[0].as_py()}.db"
-        part = f"{path}.{uuid.uuid4().hex}"
-        db = sqlite3.connect(part)
-        db.execute("CREATE TABLE cursorDiskKV(key TEXT, value BLOB)" if key_value else "CREATE TABLE messages(session_id TEXT, role TEXT, content TEXT, created_at INTEGER)")
-        marks = "?, ?" if key_value else "?, ?, ?, ?"
-        names = ("key", "value") if key_value else ("session_id", "role", "content", "created_at")
-        table = table.sort_by([("order", "ascending"), ("n", "ascending")])
-        db.executemany(f"INSERT INTO {'cursorDiskKV' if key_value else 'messages'} VALUES ({marks})", zip(*(table.column(n).to_pylist() for n in names), strict=True))
-        db.commit()
-        db.close()
-        os.replace(part, path)  # a task that is run again leaves the same file
-        return pa.table({"path": [path]})
-
-    dealt = rows.withColumns({"file": c("order") % files})
-    return sorted(r.path for r in dealt.groupBy("file").applyInArrow(write, "path string").collect())  # as many as files
+        for file, held in itertools.groupby(dealt_rows(batches), key=lambda r: r[0]):
+            path = f"{folder}/{file}.db"
+            part = f"{path}.{uuid.uuid4().hex}"
+            db = sqlite3.connect(part)
+            db.execute("CREATE TABLE cursorDiskKV(key TEXT, value BLOB)" if key_value else "CREATE TABLE messages(session_id TEXT, role TEXT, content TEXT, created_at INTEGER)")
+            marks = ", ".join("?" * len(names))
+            db.executemany(f"INSERT INTO {'cursorDiskKV' if key_value else 'messages'} VALUES ({marks})", (r[1:] for r in held))
+            db.commit()
+            db.close()
+            os.replace(part, path)  # a task that is run again leaves the same file
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    dealt = rows.withColumn("file", c("order") % files).repartition(files, "file").sortWithinPartitions("file", "order", "n")
+    return sorted(r.path for r in dealt.select("file", *names).mapInArrow(write, "path string").collect())  # as many as files
 
 
 def reader_sqlite_table(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition, StringStartsWith
 
 from ..functions.roles import epoch_ms
-from .content import parts_of
+from .content import with_parts
 from .jsonl import is_string, s, v
 
 #: Candidate columns, in order of preference.
@@ -265,7 +265,8 @@ def messages(rows: DataFrame) -> DataFrame:
     content = F.when(F.col("v").isNull(), F.col("payload").cast("variant")).when(boxed & (F.col("kind") == "kv"), F.coalesce(spoken, v("richText"), v("content"), v("message")))
     content = content.when(boxed, F.coalesce(v("content"), v("text"), v("message"), F.col("v"))).otherwise(F.col("v"))
     ts = F.coalesce("ts", F.try_variant_get("v", "$.createdAt", "string"), F.try_variant_get("v", "$.timestamp", "string"))
-    out = rows.withColumns({"role": role, "ts": ts, "p": parts_of(content)}).where("p.text <> ''")
+    told = rows.select("path", "session", "pos", role.alias("role"), ts.alias("ts"), content.alias("content"))
+    out = with_parts(told, F.col("content")).where("p.text <> ''")
     return out.select(
         F.concat_ws("#", "path", "session").alias("path"), F.col("session").alias("native_id"), F.col("pos").alias("src_pos"), "role", "p.text", epoch_ms(F.col("ts")).alias("ts_ms"), "p.tools", "p.thinking_chars",
     )
