@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import epoch_ms, number_ms
-from .content import parts_of
+from .content import with_parts
 from .jsonl import is_string, s, scalar, v
 
 _TOOLS = "array<struct<name: string, input: string>>"
@@ -56,7 +56,7 @@ def tree_messages(docs: DataFrame) -> DataFrame:
 
     rows = talks.select("path", "native_id", s("title", "c").alias("title"), F.posexplode(shown(F.to_json("c"))).alias("pos", "j")).withColumn("v", F.try_parse_json("j"))
     role, hidden = s("author.role"), F.coalesce(F.try_variant_get("v", "$.metadata.is_visually_hidden_from_conversation", "boolean"), F.lit(False))
-    rows = rows.where(role.isin("user", "assistant") & ~hidden).withColumn("p", parts_of(F.coalesce(v("content.parts"), v("content.text"), v("content"))))
+    rows = with_parts(rows.where(role.isin("user", "assistant") & ~hidden), F.coalesce(v("content.parts"), v("content.text"), v("content")))
     return rows.where("p.text <> ''").select(
         F.concat_ws("#", "path", "native_id").alias("path"), "native_id", "title", F.col("pos").cast("long").alias("src_pos"), role.alias("role"), "p.text",
         number_ms(F.try_variant_get("v", "$.create_time", "double")).alias("ts_ms"), "p.tools", "p.thinking_chars",
@@ -69,7 +69,7 @@ def line_messages(records: DataFrame) -> DataFrame:
     rows = talks.select("path", "native_id", F.coalesce(s("name"), s("title")).alias("title"), F.posexplode(F.try_variant_get("v", "$.chat_messages", "array<variant>")).alias("pos", "m"))
     role = F.when(s("sender", "m") == "human", "user").otherwise(F.coalesce(s("sender", "m"), s("role", "m")))
     plain = F.when(is_string(v("text", "m")) & (s("text", "m") != ""), v("text", "m"))
-    rows = rows.withColumn("p", parts_of(F.coalesce(plain, v("content", "m"))))
+    rows = with_parts(rows, F.coalesce(plain, v("content", "m")))
     return rows.where("p.text <> ''").select(
         F.concat_ws("#", "path", "native_id").alias("path"), "native_id", "title", F.col("pos").cast("long").alias("src_pos"), role.alias("role"), "p.text",
         epoch_ms(F.try_variant_get("m", "$.created_at", "string")).alias("ts_ms"), "p.tools", "p.thinking_chars",
