@@ -336,14 +336,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = scratch.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # Stored, for it is read three times below: the edges are joined once a round, whether or not Spark reuses exchanges.
+        hooked = first = scratch.stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-hooked")
         # A label's own better label reaches all that carry it.
         better = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("best"))
         hooked = hooked.join(better, F.col("old") == F.col("root"), "left").select("node", "old", F.least("label", "best").alias("label"))
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = scratch.stored(hooked.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "cc-labels")
         changed = new.where("label <> old").limit(1).count()
-        scratch.drop(labels)
+        scratch.drop(labels, first)
         labels = new
         if not changed:
             out = stored(new.select("node", F.col("label").alias("component")), "components")
@@ -551,10 +552,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", key, "rows")).alias("first")
     ones = keys.where("n > 0").join(named, key).groupBy("component").agg(first).select(f"first.{key}", "first.rows")
     kept = stored(ones.unionAll(keys.where("n = 0").select(key, F.lit(1).cast("long").alias("rows"))), "kept-keys")
-    out = keyed.join(kept.where("rows = 1").select(key), key, "left_semi").select(*docs.columns)
+    single = kept.where("rows = 1").select(key)
+    others = stored(keys.select(key).join(single, key, "left_anti"), "other-keys")
+    out = _among(keyed, single, others, key).select(*docs.columns)
     repeated = kept.where("rows > 1").select(key)
     if repeated.limit(1).count() == 0:
         return out
     row = F.struct(*docs.columns)
     one = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
     return out.unionAll(one.select("row.*"))
+
+
+def _among(rows: DataFrame, wanted: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows with a wanted key; wanted and others are all keys. The shorter list is broadcast if it may be, so that texts stay where they are."""
+    sizes = wanted.count(), others.count()
+    if min(sizes) > MOST_BROADCAST_ROWS:
+        return rows.join(wanted, key, "left_semi")
+    return rows.join(F.broadcast(wanted), key, "left_semi") if sizes[0] <= sizes[1] else rows.join(F.broadcast(others), key, "left_anti")

@@ -229,6 +229,37 @@ def test_keep_one_tells_rows_apart(spark):
     assert [(r.doc_id, r.text) for r in jaccard.keep_one(docs(spark, [(4, text("g")), (4, text("g", " y"))])).collect()] in ([(4, text("g"))], [(4, text("g", " y"))])
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_keep_one_leaves_texts_where_they_are(spark, monkeypatch, most):
+    """The list of keys is broadcast, whatever Spark's own threshold; beyond the bound the join is a shuffled one, with the same rows."""
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST_ROWS", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(30)]
+        got = jaccard.keep_one(docs(spark, rows + [(100 + i, rows[i % 3][1]) for i in range(5)]))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in got.collect()) == list(range(30))
+        assert ("Exchange hashpartitioning" in plan) == (most == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_components_join_the_edges_once_a_round(spark, monkeypatch):
+    plans, store = [], jaccard.Scratch.stored
+
+    def stored(self, df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return store(self, df, name)
+
+    monkeypatch.setattr(jaccard.Scratch, "stored", stored)
+    chain = [(i, i + 1) for i in range(0, 40) if i != 20] + [(7, 7), (3, 2)]
+    got = jaccard.components(spark.createDataFrame(chain, "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == {i: 0 if i <= 20 else 21 for i in range(41)}
+    rounds = plans[2:]  # the edges and the first labels come before
+    assert [p.count("Relation [a#") for name, p in rounds] == [1, 0] * (len(rounds) // 2) and len(rounds) > 2
+
+
 def test_keep_one_leaves_clashing_columns_alone(spark):
     same = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(1, same, "mine", "A"), (2, same, "yours", "B"), (3, "x", None, None), (3, "x", None, None)], "doc_id long, text string, _key string, `Key` string")
