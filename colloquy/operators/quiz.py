@@ -106,29 +106,38 @@ def validated(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     cards = cards.select("session_id", "topic_id", F.col("label").alias("topic_label"), strip(F.col("c.front")).alias("front"), strip(F.col("c.back")).alias("back"), cited(F.col("c.sourceTurns")).alias("source_turns"))
 
     q = rows.select("session_id", "topic_id", "label", "msg_from", "msg_to", "types", F.posexplode("r.questions").alias("pos", "q"))
-    asked = F.array_contains("types", F.col("q.type"))
+    kind = F.col("q.type")
+    only = lambda t, c: F.when(kind == t, c)
+    # What is trimmed is trimmed once: first all fields, then elements with an empty one go, and then keys are filled in.
+    filled = lambda x: F.coalesce(x, F.lit("")) != ""
+    options = F.transform("q.options", lambda o: F.struct(strip(o["key"]).alias("key"), strip(o["text"]).alias("text")))
+    options = F.filter(F.coalesce(options, F.array().cast("array<struct<key: string, text: string>>")), lambda o: filled(o["text"]))
+    options = F.transform(options, lambda o, i: F.struct(F.when(filled(o["key"]), o["key"]).otherwise(F.element_at(F.array(*map(F.lit, "ABCDEFGHIJ")), F.least(i + 1, F.lit(10)))).alias("key"), o["text"].alias("text")))
+    blanks = F.transform("q.blanks", lambda b: F.struct(strip(b["key"]).alias("key"), strip(b["answer"]).alias("answer"), b["alternatives"].alias("alternatives")))
+    blanks = F.filter(F.coalesce(blanks, F.array().cast("array<struct<key: string, answer: string, alternatives: array<string>>>")), lambda b: filled(b["answer"]))
+    blanks = F.transform(blanks, lambda b, i: F.struct(F.when(filled(b["key"]), b["key"]).otherwise(F.concat(F.lit("blank_"), (i + 1).cast("string"))).alias("key"), b["answer"].alias("answer"), b["alternatives"].alias("alternatives")))
+    rubric = F.transform("q.rubric", lambda r: F.struct(strip(r["criterion"]).alias("criterion"), F.when(r["weight"] > 0, r["weight"]).otherwise(F.lit(1.0)).alias("weight"), r["mustMention"].alias("must_mention")))
+    rubric = F.filter(F.coalesce(rubric, F.array().cast("array<struct<criterion: string, weight: double, must_mention: array<string>>>")), lambda r: filled(r["criterion"]))
+    parts = {
+        "prompt": strip(F.col("q.prompt")), "options": only("mcq", options), "correct": only("mcq", strip(F.coalesce("q.correctOptionKey", F.lit("")))),
+        "markers": only("cloze", F.regexp_extract_all("q.codeWithGaps", F.lit(r"\{\{(blank_\d+)\}\}"), F.lit(1))), "blanks": only("cloze", blanks), "rubric": only("open", rubric),
+    }
+    # A generator keeps these from being written out, and so computed, at every use.
+    q = q.select("*", F.inline(F.array(F.struct(F.struct(*(x.alias(k) for k, x in parts.items())).alias("x")))))
+    prompt, options, correct, markers, blanks, rubric = (F.col(f"x.{k}") for k in parts)
+    asked = F.array_contains("types", kind)
     number = F.row_number().over(Window.partitionBy("session_id", "topic_id", "q.type").orderBy("pos"))
-    options = F.filter(F.coalesce("q.options", F.array().cast("array<struct<key: string, text: string>>")), lambda o: _filled(o["text"]))
-    options = F.transform(options, lambda o, i: F.struct(F.when(_filled(o["key"]), strip(o["key"])).otherwise(F.element_at(F.array(*map(F.lit, "ABCDEFGHIJ")), F.least(i + 1, F.lit(10)))).alias("key"), strip(o["text"]).alias("text")))
-    blanks = F.filter(F.coalesce("q.blanks", F.array().cast("array<struct<key: string, answer: string, alternatives: array<string>>>")), lambda b: _filled(b["answer"]))
-    blanks = F.transform(blanks, lambda b, i: F.struct(F.when(_filled(b["key"]), strip(b["key"])).otherwise(F.concat(F.lit("blank_"), (i + 1).cast("string"))).alias("key"), strip(b["answer"]).alias("answer"), b["alternatives"].alias("alternatives")))
-    rubric = F.filter(F.coalesce("q.rubric", F.array().cast("array<struct<criterion: string, weight: double, mustMention: array<string>>>")), lambda r: _filled(r["criterion"]))
-    rubric = F.transform(rubric, lambda r: F.struct(strip(r["criterion"]).alias("criterion"), F.when(r["weight"] > 0, r["weight"]).otherwise(F.lit(1.0)).alias("weight"), r["mustMention"].alias("must_mention")))
-    markers = F.regexp_extract_all("q.codeWithGaps", F.lit(r"\{\{(blank_\d+)\}\}"), F.lit(1))
     missing = F.array_except(markers, F.transform(blanks, lambda b: b["key"]))
-    correct = strip(F.coalesce("q.correctOptionKey", F.lit("")))
-    kind = F.col("q.type")
     issue = (
-        F.when(~asked | kind.isNull(), "not requested").when(~_filled(F.col("q.prompt")), "empty prompt")
+        F.when(~asked | kind.isNull(), "not requested").when(~filled(prompt), "empty prompt")
         .when((kind == "mcq") & (F.size(options) < 2), "too few usable options").when((kind == "mcq") & ~F.exists(options, lambda o: o["key"] == correct), "correct key matches no option")
         .when((kind == "cloze") & (F.coalesce(F.size(markers), F.lit(0)) == 0), "no gap in the code").when((kind == "cloze") & (F.size(blanks) == 0), "no blanks")
         .when((kind == "cloze") & (F.size(missing) > 0), F.concat(F.lit("no answer for "), F.array_join(missing, ", "))).when((kind == "open") & (F.size(rubric) == 0), "no rubric")
     )
-    only = lambda t, c: F.when(kind == t, c)
     questions = q.select(
-        "session_id", "topic_id", F.concat_ws("-", "topic_id", kind, number.cast("string")).alias("question_id"), kind.alias("type"), strip(F.col("q.prompt")).alias("prompt"), strip(F.col("q.explanation")).alias("explanation"),
-        cited(F.col("q.sourceTurns")).alias("source_turns"), only("mcq", options).alias("options"), only("mcq", correct).alias("correct_key"), only("cloze", F.col("q.codeWithGaps")).alias("code_with_gaps"),
-        only("cloze", blanks).alias("blanks"), only("open", rubric).alias("rubric"), issue.alias("issue"),
+        "session_id", "topic_id", F.concat_ws("-", "topic_id", kind, number.cast("string")).alias("question_id"), kind.alias("type"), prompt.alias("prompt"), strip(F.col("q.explanation")).alias("explanation"),
+        cited(F.col("q.sourceTurns")).alias("source_turns"), options.alias("options"), correct.alias("correct_key"), only("cloze", F.col("q.codeWithGaps")).alias("code_with_gaps"),
+        blanks.alias("blanks"), rubric.alias("rubric"), issue.alias("issue"),
     )
     return questions, cards
 

@@ -1,3 +1,4 @@
+import json
 import random
 import threading
 from concurrent.futures import ThreadPoolExecutor
@@ -398,3 +399,19 @@ def test_failed_writes_leave_the_old_version_and_saves_write_changed_buckets_onl
     st.delete(_quiz(spark, *(f"q{i}" for i in range(39))))
     assert [r.quiz_id for r in st.table("quiz").collect()] == ["q39"] and st.table("quiz", 1).count() == 40
     assert st.vacuum(keep=1) > 0 and st.clear() == 1 and st.table("quiz").isEmpty() and st.version() == 4
+
+
+def test_question_parts_are_trimmed_once(spark):
+    """Lists of a question are worked out once, not at every use; keys are filled in for those that stay."""
+    reply = {"questions": [
+        {"type": "mcq", "prompt": " p ", "options": [{"key": "", "text": "\u00a0"}, {"key": " ", "text": " a "}, {"text": "b"}, {"key": " Z ", "text": "c\ufeff"}, None], "correctOptionKey": " B\n"},
+        {"type": "cloze", "prompt": "p", "codeWithGaps": "{{blank_1}} {{blank_2}}", "blanks": [{"answer": " "}, {"key": "", "answer": " x "}, {"key": " blank_2 ", "answer": "y", "alternatives": [" z "]}]},
+        {"type": "open", "prompt": "p", "rubric": [{"criterion": " "}, {"criterion": " c ", "weight": -1}], "options": [{"key": "A", "text": "no use"}]},
+    ]}
+    results = spark.createDataFrame([("s", "t", "L", 0, 9, ["mcq", "cloze", "open"], json.dumps(reply))], "session_id string, topic_id string, label string, msg_from int, msg_to int, types array<string>, json string")
+    found = quiz.validated(results)[0]
+    mcq, cloze, opened = sorted(found.collect(), key=lambda r: ["mcq", "cloze", "open"].index(r.type))
+    assert (mcq.prompt, mcq.correct_key, [tuple(o) for o in mcq.options], mcq.issue) == ("p", "B", [("A", "a"), ("B", "b"), ("Z", "c")], None)
+    assert ([tuple(b) for b in cloze.blanks], cloze.issue) == ([("blank_1", "x", None), ("blank_2", "y", [" z "])], None)
+    assert ([tuple(r) for r in opened.rubric], opened.options, opened.issue) == ([("c", 1.0, None)], None, None)
+    assert found.select("issue")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 7
