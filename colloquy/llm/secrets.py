@@ -1,8 +1,8 @@
 """Secret scans: Boolean trigram queries derived from each rule's regex, answered by a trigram inverted index.
 
-The index is sharded as the documents are: each Arrow batch of a partition is one shard, indexed in its task, so no
-posting crosses the network. A shard's index holds the trigrams that some rule asks for. Rules whose regex has no
-mandatory trigram are matched against every document.
+The index is sharded as the documents are: each slice of an Arrow batch of a partition, of about SHARD_BYTES of text, is
+one shard, indexed in its task, so no posting crosses the network. A shard's index holds the trigrams that some rule asks
+for. Rules whose regex has no mandatory trigram are matched against every document.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .shared import raw, released, with_fields
+from .shared import raw, released, slices, with_fields
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,10 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Bytes of text in a shard (a longer text is one of its own), and those whose trigrams are looked up at once: an index's
+#: scratch memory is some 20 times the latter, whatever the texts' lengths.
+SHARD_BYTES, BLOCK = 1 << 20, 1 << 18
+
 #: Alternatives that a repeated or optional part may be spelled out into before it counts as anything.
 MOST_SPELLINGS = 16
 
@@ -169,17 +173,15 @@ class Scanner:
                 a, b, c = t.encode()
                 self.table[a << 14 | b << 7 | c] = k + 1
             self.fold = np.array([b + 32 if 65 <= b <= 90 else b if b < 128 else 0 for b in range(256)], np.uint8)
-        pairs = []
-        for first, last in _chunks(texts):
-            ends = np.cumsum([len(t) + 1 for t in texts[first:last]])
-            data = self.fold[np.frombuffer(b"\0".join(texts[first:last]), np.uint8)].astype(np.int32)
-            if len(data) < 3:
-                continue
-            codes = self.table[data[:-2] << 14 | data[1:-1] << 7 | data[2:]]
+        data, ends = np.frombuffer(b"\0".join(texts), np.uint8), np.cumsum([len(t) + 1 for t in texts])
+        pairs = [np.zeros(0, np.int64)]
+        for first in range(0, len(data) - 2, BLOCK):
+            part = self.fold[data[first : first + BLOCK + 2]].astype(np.int32)
+            codes = self.table[part[:-2] << 14 | part[1:-1] << 7 | part[2:]]
             at = np.flatnonzero(codes)
-            docs = np.searchsorted(ends, at, side="right") + first
+            docs = np.searchsorted(ends, at + first, side="right")
             pairs.append(np.unique(codes[at].astype(np.int64) << 40 | docs))
-        found = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(pairs))  # a text may lie in several blocks
         which, docs = found >> 40, found & ((1 << 40) - 1)
         return {t: docs[which == k + 1] for k, t in enumerate(self.trigrams)}
 
@@ -223,18 +225,6 @@ def _is_run(rule: Rule) -> bool:
     return rule.group == 0 and not rule.any_case and bool(re.fullmatch(r"\[[0-9A-Za-z-]+\]\+", rule.pattern))
 
 
-def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about 4 MB, which bounds the index's scratch memory; a longer text is a range of its own."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) > most:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kind", StringType())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
@@ -254,8 +244,7 @@ def _scanned(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], name: str,
     @released
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 2000):
-                part = batch.slice(first, 2000)
+            for part in slices(batch, text_col, SHARD_BYTES):
                 texts = [bytes(t) if t is not None else b"" for t in raw(part.column(text_col))]
                 spans = [[{"start": a, "end": b, "kind": rules[k].kind} for a, b, k in x] for x in scanner.scan(texts)]
                 if not masking:
