@@ -45,3 +45,10 @@ def test_databases_grow_in_number(spark, monkeypatch, key_value):
         found.append([tuple(map(int, k.split(":")[1:])) for (k,) in mine])
         assert found[-1] == sorted(found[-1])
     assert sorted(sum(found, [])) == [(k // 7, k % 7) for k in range(2000)]
+
+
+def test_json_array_keeps_plain_texts_from_python(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", " yes ")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = readers.reader_json_array(spark, str(tmp_path))
+    assert _plan(out).count("ArrowEvalPython") == 1 and "_walked(CASE WHEN" in _plan(out)
+    assert sorted((r.path, r.src_pos, r.role, r.text) for r in out.collect()) == [("/logs/1.json", 0, "user", "hi"), ("/logs/1.json", 1, "assistant", "yes")]
