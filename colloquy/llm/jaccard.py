@@ -17,8 +17,9 @@ by hashes, and the plan is the same at every size.
    bounded twice: by token counts in FOLDS hash cells (a group's is the largest of its members' counts in a cell; the sum
    of the smaller counts is at least the overlap), which moves a few hundred bytes a pair, and then by the group's whole
    token union. Groups that reach the least overlap are opened in one call each: sizes and folded counts choose members,
-   and those are verified by exact set intersection, the best one first: what it links needs no further look.
-7. Components of all verified links, by repeated min-label hooking over tables in the shared folder.
+   and those are verified by exact set intersection, each query's best one first: what it links needs no further look.
+7. Components of verified links, joined to those of the links before: edges are drawn between roots of trees, so that few
+   are left for repeated min-label hooking; tables are in the shared folder.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ MOST_FOLDED = (1 << 16) - 1
 MOST_OVERLAP = 1 << 48
 #: Tokens that a query and a group must share in the matrix.
 SHARE = 4
+#: Times that edges are drawn between the roots of trees before the rounds of components.
+CONTRACTIONS = 2
+#: Rounds in which each query verifies its best member only.
+ROUNDS = 3
 #: Rows of a table of one long that may be broadcast: ids whose texts are looked up, so that texts needn't be shuffled.
 MOST_BROADCAST_ROWS = 1_000_000
 #: Bytes that are hashed at once.
@@ -352,6 +357,53 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
+def connected(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The components of these edges and of those whose components are known.
+
+    Edges within a known component go first. Then every node hooks on its smallest neighbour if that is smaller, and edges
+    are drawn between the roots of the trees so made, CONTRACTIONS times: a row is joined a few times at most, and only the
+    edges that are left, few but for odd graphs, take the rounds of ``components``.
+    """
+    scratch = Scratch(edges.sparkSession)
+    labels, live = known, scratch.stored(_contracted(edges, known), "cc-live")
+    for k in range(CONTRACTIONS + 1):
+        if live.limit(1).count() == 0:
+            break
+        roots = _rooted(live, scratch) if k < CONTRACTIONS else components(live)
+        if k < CONTRACTIONS:
+            before, live = live, scratch.stored(_contracted(live, roots), "cc-live")
+            scratch.drop(before)
+        if labels is not None:
+            moved = labels.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+            moved = moved.select("node", F.coalesce("root", "component").alias("component"))
+            roots = moved.unionAll(roots.join(labels.select("node"), "node", "left_anti"))
+        labels = scratch.stored(roots, "cc-labels")
+    out = stored(labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+    scratch.drop()
+    return out
+
+
+def _contracted(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The edges (a, b), a < b, between the components of their ends; a node without a label is one of its own."""
+    out = edges.select("a", "b")
+    for x in "ab" if labels is not None else "":
+        out = out.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")), x, "left").withColumn(x, F.coalesce(f"{x}_c", x)).drop(f"{x}_c")
+    return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rooted(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component: the root of each node of these edges, where its parent is the smallest of itself and its neighbours. Paths halve each round."""
+    ends = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    parents = scratch.stored(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "cc-roots")
+    while True:
+        up = parents.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        jumped = scratch.stored(parents.join(up, "component").select("node", F.col("up").alias("component"), F.expr("up <> component").alias("moved")), "cc-roots")
+        scratch.drop(parents)
+        parents = jumped
+        if parents.where("moved").limit(1).count() == 0:
+            return parents.select("node", "component")
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -370,10 +422,9 @@ def jaccard_components(
     scratch = Scratch(docs.sparkSession)
     sketch = scratch.stored(sketches(rows, size, percent, token_counts(rows, size)), "jaccard-sketch")
     named = scratch.stored(sketch.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "jaccard-named")
-    nodes, links = _links(sketch, rows, size, percent, group_size, scratch)
+    nodes, reached = _linked(sketch, rows, size, percent, group_size, scratch)
 
     # Labels of nodes, by the smallest id of their component.
-    reached = components(links)
     names = nodes.select("node", "rep")
     low = reached.join(names, "node").groupBy("component").agg(F.min("rep").alias("low"))
     labels = names.join(reached.join(low, "component").select("node", "low"), "node", "left").select("node", F.coalesce("low", "rep").alias("component_id"))
@@ -397,8 +448,8 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, sc
     return scratch.stored(found.select("node", "tokens"), "jaccard-tokens")
 
 
-def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (node, rep, n, folded) and verified links (a, b) of nodes that connect all similar sets. Drops sketch."""
+def _linked(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_size: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (node, rep, n, folded) and the components (node, component) of all that have a similar one. Drops sketch."""
     nodes = sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("stars").alias("stars"), F.first("prefix").alias("prefix"), F.first("folded").alias("folded"))
     nodes = scratch.stored(nodes, "jaccard-nodes")
     scratch.drop(sketch)
@@ -410,7 +461,7 @@ def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_si
     families = meetings.groupBy("b").agg(F.min("a").alias("family")).withColumnRenamed("b", "node")
     near = scratch.stored(bounded(meetings, nodes, percent), "jaccard-near")
     tokens = _sets_of(near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))), nodes, rows, size, scratch)
-    links = scratch.stored(verified(near, tokens, percent), "jaccard-links")
+    reached = connected(verified(near, tokens, percent))
     scratch.drop(tokens, near)
 
     # Matrix entries: tokens that several sets hold. One exchange serves the count and the filter.
@@ -419,12 +470,12 @@ def _links(sketch: DataFrame, rows: DataFrame, size: int, percent: int, group_si
     several = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     entries = scratch.stored(entries.join(several, "token", "left_semi"), "jaccard-entries")
     scratch.drop(full)
-    members = entries.select("node").distinct().join(components(links), "node", "left").join(families, "node", "left").join(nodes.select("node", "n"), "node")
+    members = entries.select("node").distinct().join(reached, "node", "left").join(families, "node", "left").join(nodes.select("node", "n"), "node")
     members = members.select("node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("family", "node").alias("family"))
     members = _dealt(scratch.stored(members, "jaccard-members"), group_size, scratch)
     dealt = scratch.stored(entries.join(members, "node"), "jaccard-dealt")
     scratch.drop(entries)
-    return nodes, links.unionAll(_opened(dealt, members, links, nodes, rows, size, percent, scratch))
+    return nodes, _opened(dealt, members, reached, nodes, rows, size, percent, scratch)
 
 
 def _dealt(members: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
@@ -438,8 +489,8 @@ def _dealt(members: DataFrame, group_size: int, scratch: Scratch) -> DataFrame:
     return scratch.stored(members, "jaccard-slots")
 
 
-def _opened(dealt: DataFrame, members: DataFrame, links: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Verified links that connect all similar sets of different components: such sets share SHARE matrix tokens, or all they have."""
+def _opened(dealt: DataFrame, members: DataFrame, reached: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The components reached, connected by links of similar sets of different ones: such sets share SHARE matrix tokens, or all they have."""
     group = ["large", "unit", "slot"]
     # Of two units the one with fewer sets asks the other, and within a unit the lower slot the higher. A large component
     # asks none on tokens where it is the last; tokens of one component are no question.
@@ -481,38 +532,67 @@ def _opened(dealt: DataFrame, members: DataFrame, links: DataFrame, nodes: DataF
     opened = scratch.stored(opened, "jaccard-open")
     scratch.drop(inside)
 
-    # The best member of each opened group first; the union of a lone member was its verification. Sets that are in one
-    # component then need no further look, and of the others all members that fit are verified.
-    best = opened.join(groups.select(*group, "held"), group).select("q", (F.size("held") == 1).alias("lone"), F.explode(_fitting_members(percent, True)("left", "q_n", "q_component", "held")).alias("node"))
-    best = best.select("lone", F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).groupBy("a", "b").agg(F.max("lone").alias("lone"))
-    best = scratch.stored(best, "jaccard-best")
-    first = scratch.stored(best.where("lone").select("a", "b").unionAll(verified(best.where("not lone").select("a", "b"), sets, percent)), "jaccard-links")
-    reached = components(links.unionAll(first))
-    label = lambda rows, node: rows.join(reached.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left")
-    relabelled = label(members, "node").withColumn("component", F.coalesce("_c", "component")).drop("_c")
-    again = label(opened, "q").withColumn("q_component", F.coalesce("_c", "q_component")).drop("_c").join(held(relabelled, opened).select(*group, "held"), group).where(F.size("held") > 1)
-    pairs = again.select("q", F.explode(_fitting_members(percent, False)("left", "q_n", "q_component", "held")).alias("node"))
+    # A query's best member over all its opened groups first, in a few rounds, so that a large cluster of near copies is
+    # connected by a pair or so for each query and round, not by one for each query and group. A query whose best is no link
+    # asks no further here. Sets that are in one component then need no further look, and of the others all members that
+    # fit are verified. The union of a lone member was its verification.
+    def labelled(rows: DataFrame, node: str, component: str) -> DataFrame:
+        now = reached.select(F.col("node").alias(node), F.col("component").alias("_c"))
+        return rows.join(now, node, "left").withColumn(component, F.coalesce("_c", component)).drop("_c")
+
+    def seen(queries: DataFrame) -> DataFrame:
+        return labelled(queries, "q", "q_component").join(held(labelled(members, "node", "component"), opened).select(*group, "held"), group)
+
+    asking = None
+    for _ in range(ROUNDS):
+        pairs = seen(opened.join(asking, "q", "left_semi")) if asking is not None else opened.join(groups.select(*group, "held"), group)
+        best = scratch.stored(pairs.select("q", (F.size("held") == 1).alias("lone"), _best_member(percent)("left", "q_n", "q_component", "held").alias("best")), "jaccard-bests")
+        best = best.where("best is not null").groupBy("q").agg(F.max(F.struct("best.share", "best.node", "lone")).alias("best")).select("q", "best.node", "best.lone")
+        best = scratch.stored(best.select("q", "lone", F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")), "jaccard-best")
+        unsure = scratch.stored(best.where("not lone").select("a", "b").distinct(), "jaccard-pairs")
+        first = scratch.stored(best.where("lone").select("a", "b").unionAll(verified(unsure, sets, percent)).distinct(), "jaccard-links")
+        asking = scratch.stored(best.join(first, ["a", "b"], "left_semi").select("q"), "jaccard-asking")
+        reached = connected(first, reached)
+        if asking.limit(1).count() == 0:
+            break
+    pairs = seen(opened).select("q", F.explode(_fitting_members(percent)("left", "q_n", "q_component", "held")).alias("node"))
     pairs = scratch.stored(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct(), "jaccard-pairs")
-    return first.unionAll(scratch.stored(verified(pairs, sets, percent), "jaccard-links"))
+    return connected(verified(pairs, sets, percent), reached)
+
+
+def _may(x, n: int, own: int, members: pa.Scalar, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of an opened group, whether they are of other components and sizes and folded counts allow them to be similar, and the share that these allow."""
+    node, size, component, folded = members.values.flatten()
+    node, size, component = (c.to_numpy() for c in (node, size, component))
+    may = (component != own) & (size * 100 >= n * percent) & (n * 100 >= size * percent)
+    most = np.array([MOST_OVERLAP if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64)) for y in raw(folded)])
+    return node, may & (most * (100 + percent) >= percent * (n + size)), most / (n + size)
+
+
+def _best_member(percent: int):
+    """The member of an opened group that may be the most similar, of those of other components that may be similar at all; null without one."""
+
+    @F.arrow_udf("share double, node long")
+    def best(left: pa.Array, q_n: pa.Array, q_component: pa.Array, held: pa.Array) -> pa.Array:
+        out = []
+        for x, n, own, members in zip(raw(left), q_n.to_pylist(), q_component.to_pylist(), held, strict=True):
+            node, may, share = _may(x, n, own, members, percent)
+            k = int(np.where(may, share, -1.0).argmax())
+            out.append({"share": float(share[k]), "node": int(node[k])} if may[k] else None)
+        return pa.array(out, pa.struct([("share", pa.float64()), ("node", pa.int64())]))
+
+    return best
 
 
-def _fitting_members(percent: int, best: bool):
-    """The members of an opened group that are of other components and that sizes and folded counts allow to be similar, or the best of them."""
+def _fitting_members(percent: int):
+    """The members of an opened group that are of other components and may be similar."""
 
     @F.arrow_udf(ArrayType(LongType()))
     def fit(left: pa.Array, q_n: pa.Array, q_component: pa.Array, held: pa.Array) -> pa.Array:
         out = []
         for x, n, own, members in zip(raw(left), q_n.to_pylist(), q_component.to_pylist(), held, strict=True):
-            node, size, component, folded = members.values.flatten()
-            node, size, component = (c.to_numpy() for c in (node, size, component))
-            may = (component != own) & (size * 100 >= n * percent) & (n * 100 >= size * percent)
-            bound = [MOST_OVERLAP if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64)) for y in raw(folded)]
-            most = np.array(bound)
-            may &= most * (100 + percent) >= percent * (n + size)
-            if best and may.any():
-                out.append([int(node[np.where(may, most / (n + size), -1.0).argmax()])])
-            else:
-                out.append(node[may].tolist())
+            node, may, _ = _may(x, n, own, members, percent)
+            out.append(node[may].tolist())
         return pa.array(out, pa.list_(pa.int64()))
 
     return fit

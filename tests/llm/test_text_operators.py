@@ -260,6 +260,46 @@ def test_components_join_the_edges_once_a_round(spark, monkeypatch):
     assert [p.count("Relation [a#") for name, p in rounds] == [1, 0] * (len(rounds) // 2) and len(rounds) > 2
 
 
+def test_connected_adds_edges_to_known_components(spark):
+    rng = random.Random(5)
+    first = [(i, i + 1) for i in range(60) if i not in (20, 40)] + [(7, 7), (3, 2)]
+    then = [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(90)] + [(20, 21), (5, 5), (90, 40)]
+    root = {i: i for edge in first + then for i in edge if edge[0] != edge[1]}
+    for _ in root:
+        for a, b in first + then:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = jaccard.connected(edges(first))
+    for got in (jaccard.connected(edges(then), known), jaccard.connected(edges(first + then))):
+        assert sorted(map(tuple, got.collect())) == sorted(root.items())
+    assert sorted(map(tuple, jaccard.connected(edges([(4, 4)]), known).collect())) == sorted(map(tuple, known.collect()))
+    assert jaccard.connected(edges([(4, 4)])).count() == 0
+
+
+def test_near_copies_are_joined_about_once_each(spark, monkeypatch):
+    rng, rows, joined = random.Random(3), [], {"verified": 0, "components": 0}
+    for i in range(240):
+        words = [f"w{j}" for j in range(150)]
+        for j in rng.sample(range(150), rng.randint(1, 3)):
+            words[j] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+
+    def counted(name):
+        real = getattr(jaccard, name)
+
+        def run(pairs, *rest):
+            joined[name] += pairs.count()
+            return real(pairs, *rest)
+
+        monkeypatch.setattr(jaccard, name, run)
+
+    counted("verified"), counted("components")
+    got = jaccard.jaccard_components(docs(spark, rows), size=5, percent=80, group_size=4)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 5, 80)
+    assert joined["verified"] < 8 * len(rows) and joined["components"] < len(rows), joined
+
+
 def test_keep_one_leaves_clashing_columns_alone(spark):
     same = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(1, same, "mine", "A"), (2, same, "yours", "B"), (3, "x", None, None), (3, "x", None, None)], "doc_id long, text string, _key string, `Key` string")
